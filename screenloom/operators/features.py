@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from screenloom.functions.sizes import broadcast_if_small
+from screenloom.functions.sizes import small
 from screenloom.functions.stats import pooled_m2
 from screenloom.functions.vector import repair
 
@@ -75,9 +75,13 @@ def cross_context_ratio(values: DataFrame, groups: DataFrame, context="batch", e
 def remap(values: DataFrame, groups: DataFrame, genes: DataFrame, wanted: DataFrame, keys: list[str], value="delta") -> DataFrame:
     """Values on the wanted symbol list: first native gene per symbol, zero when unmapped, then
     repair and clip.  ``genes`` is (gene_idx, symbol), ``wanted`` is (pos, symbol)."""
+    if not small(wanted):
+        raise ValueError("the wanted symbol list is not a feature list")
     first = genes.groupBy("symbol").agg(F.min("gene_idx").alias("gene_idx"))
-    mapping = broadcast_if_small(wanted.join(first, "symbol", "left"))
-    grid = groups.select(*keys).withColumn("_g", F.lit(0)).join(mapping.withColumn("_g", F.lit(0)), "_g").drop("_g")
+    mapping = wanted.join(first, "symbol", "left").agg(
+        F.collect_list(F.struct("pos", "symbol", "gene_idx")).alias("m")
+    )
+    grid = groups.select(*keys, F.explode(mapping.scalar()).alias("m")).select(*keys, "m.*")
     return grid.join(values, [*keys, "gene_idx"], "left").select(
         *keys, "pos", "symbol",
         F.col("gene_idx").isNotNull().alias("mapped"),

@@ -15,6 +15,7 @@ def local_session(cpus: int | str | None = None, memory: str = "12g") -> SparkSe
         .appName("screenloom")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
