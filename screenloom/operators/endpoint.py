@@ -11,53 +11,38 @@ from screenloom.functions.ordered import GROUP_LIMIT, largest_group, running
 EULER = 0.5772156649015329
 
 
-def _harmonic(n: Column) -> Column:
-    """H_n, summed directly up to 40 and by its asymptotic series beyond."""
-    exact = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(40)).cast("int")),
-        F.lit(0.0), lambda a, i: a + F.lit(1.0) / i,
-    )
-    x = n.cast("double")
-    series = F.log(x) + EULER + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4.0))) - 1 / (252 * F.pow(x, F.lit(6.0)))
-    return F.when(n < 1, 0.0).when(n <= 40, exact).otherwise(series)
-
-
-def _harmonic2(n: Column) -> Column:
-    """Sum of 1/i^2 for i = 1..n."""
-    exact = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(40)).cast("int")),
-        F.lit(0.0), lambda a, i: a + F.lit(1.0) / (i * i),
-    )
-    x = n.cast("double")
-    series = (
-        math.pi**2 / 6 - 1 / x + 1 / (2 * x * x) - 1 / (6 * F.pow(x, F.lit(3.0)))
-        + 1 / (30 * F.pow(x, F.lit(5.0))) - 1 / (42 * F.pow(x, F.lit(7.0)))
-    )
-    return F.when(n < 1, 0.0).when(n <= 40, exact).otherwise(series)
-
-
-def _sigma(n1: Column, n2: Column) -> Column:
-    """Null standard deviation of the two-sample statistic.
-
-    The double sum g of the published variance equals H2(N-1) - 2 H(N-1)/N, so the expression needs
-    no table of sample sizes."""
-    n = (n1 + n2).cast("double")
-    hs = F.lit(1.0) / n1 + F.lit(1.0) / n2
-    h = _harmonic((n1 + n2 - 1).cast("bigint"))
-    g = _harmonic2((n1 + n2 - 1).cast("bigint")) - 2 * h / n
-    a = (4 * g - 6) + (10 - 6 * g) * hs
-    b = (2 * g - 4) * 4 + 16 * h + (2 * g - 14 * h - 4) * hs - 8 * h + 4 * g - 6
-    c = (6 * h + 2 * g - 2) * 4 + (4 * h - 4 * g + 6) * 2 + (2 * h - 6) * hs + 4 * h
-    d = (2 * h + 6) * 4 - 8 * h
-    top = a * n * n * n + b * n * n + c * n + d
-    return F.sqrt(F.try_divide(top, (n - 1) * (n - 2) * (n - 3)))
+# H_n and the sum of 1/i^2: summed directly up to 40, by their asymptotic series beyond.
+_H = """CASE WHEN {n} <= 40
+  THEN aggregate(sequence(1, cast(least(greatest({n}, 1), 40) AS int)), 0D, (a, i) -> a + 1D / i)
+  ELSE ln({n}) + {euler}D + 1 / (2D * {n}) - 1 / (12D * {n} * {n}) + 1 / (120D * pow({n}, 4)) - 1 / (252D * pow({n}, 6)) END"""
+_H2 = """CASE WHEN {n} <= 40
+  THEN aggregate(sequence(1, cast(least(greatest({n}, 1), 40) AS int)), 0D, (a, i) -> a + 1D / (i * i))
+  ELSE {zeta2}D - 1D / {n} + 1 / (2D * {n} * {n}) - 1 / (6D * pow({n}, 3)) + 1 / (30D * pow({n}, 5)) - 1 / (42D * pow({n}, 7)) END"""
+
+
+def _with_sigma(df: DataFrame) -> DataFrame:
+    """Null standard deviation of the two-sample statistic for sizes n1 and n2.
+
+    The double sum g of the published variance equals H2(N-1) - 2 H(N-1)/N, so no table of sample
+    sizes is needed.  h and g become columns first, so that each is computed once."""
+    df = df.selectExpr("*", "cast(n1 + n2 AS double) AS _n", "1D / n1 + 1D / n2 AS _hs")
+    df = df.selectExpr("*", _H.format(n="(_n - 1)", euler=EULER) + " AS _h", _H2.format(n="(_n - 1)", zeta2=math.pi**2 / 6) + " AS _h2")
+    df = df.selectExpr("*", "_h2 - 2 * _h / _n AS _g")
+    a = "((4 * _g - 6) + (10 - 6 * _g) * _hs)"
+    b = "((2 * _g - 4) * 4 + 16 * _h + (2 * _g - 14 * _h - 4) * _hs - 8 * _h + 4 * _g - 6)"
+    c = "((6 * _h + 2 * _g - 2) * 4 + (4 * _h - 4 * _g + 6) * 2 + (2 * _h - 6) * _hs + 4 * _h)"
+    d = "((2 * _h + 6) * 4 - 8 * _h)"
+    top = f"((({a} * _n + {b}) * _n + {c}) * _n + {d})"
+    df = df.selectExpr("*", f"sqrt({top} / ((_n - 1) * (_n - 2) * (_n - 3))) AS _sigma")
+    return df.drop("_n", "_hs", "_h", "_h2", "_g")
 
 
 def anderson_darling(hist: DataFrame, keys: list[str], limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Statistic and label per group from ``(keys, value, f1, f2)``: how often each distinct value
     occurs in either sample.
 
-    NULL when a sample has fewer than two values, three or fewer are pooled, or all are equal."""
+    Groups are dropped when a sample has fewer than two values, three or fewer are pooled, or all
+    values are equal: their label is undefined."""
     run = running(hist, keys, ["value"], ["f1", "f2"], limit)
     n1, n2 = F.col("f1_total"), F.col("f2_total")
     n = (n1 + n2).cast("double")
@@ -69,14 +54,13 @@ def anderson_darling(hist: DataFrame, keys: list[str], limit: int | None = GROUP
     agg = run.select(*keys, n1.alias("n1"), n2.alias("n2"), term.alias("t")).groupBy(*keys).agg(
         F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.sum("t").alias("s"), F.count(F.lit(1)).alias("k")
     )
-    n1, n2 = F.col("n1"), F.col("n2")
-    n = (n1 + n2).cast("double")
-    a2 = (n - 1) / n * (F.lit(1.0) / n1 + F.lit(1.0) / n2) * F.col("s")
-    ok = (n1 >= 2) & (n2 >= 2) & (n > 3) & (F.col("k") >= 2)
-    stat = F.when(ok, F.try_divide(a2 - 1, _sigma(F.greatest(n1, F.lit(1)), F.greatest(n2, F.lit(1)))))
-    return agg.select(*keys, "n1", "n2", stat.alias("stat")).withColumn(
-        "y", F.log1p(F.greatest(F.lit(0.0), F.col("stat")))
-    ).withColumn("y", F.when(F.col("stat").isNotNull(), F.col("y")))
+    # the test runs on counts before the formulas: a filter on the label would copy them
+    agg = agg.where((F.col("n1") >= 2) & (F.col("n2") >= 2) & (F.col("n1") + F.col("n2") > 3) & (F.col("k") >= 2))
+    out = _with_sigma(agg).selectExpr(
+        *keys, "n1", "n2",
+        "((n1 + n2 - 1D) / (n1 + n2) * (1D / n1 + 1D / n2) * s - 1) / _sigma AS stat",
+    )
+    return out.selectExpr("*", "log1p(greatest(0D, stat)) AS y")
 
 
 def own_gene_histogram(
@@ -87,33 +71,31 @@ def own_gene_histogram(
     Control cells are reduced to one histogram per (batch, gene) before any group sees them, and
     cells without an entry count as zeros."""
     groups = sizes.select(*keys, "n_cells", own.alias("gene_idx"))
+    none = F.lit(0).cast("bigint")
     t = (
         norm.join(treated.select("cell_id", *keys), "cell_id")
         .where(F.col("gene_idx") == own)
         .groupBy(*keys, F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("f1"))
         .join(groups.select(*keys), keys, "left_semi")
+        .select(*keys, "value", "f1", none.alias("f2"))
     )
     c = (
         norm.join(controls.select("cell_id", "batch"), "cell_id")
         .groupBy("batch", "gene_idx", F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("f2"))
     )
-    n_ctrl = controls.groupBy("batch").agg(F.count(F.lit(1)).alias("n_ctrl"))
-    c_for = groups.select(*keys, "gene_idx").join(c, ["batch", "gene_idx"]).select(*keys, "value", "f2")
-    zeros = (
-        groups.join(n_ctrl, "batch")
-        .join(t.groupBy(*keys).agg(F.sum("f1").alias("s1")), keys, "left")
-        .join(c.groupBy("batch", "gene_idx").agg(F.sum("f2").alias("s2")), ["batch", "gene_idx"], "left")
-        .select(
-            *keys, F.lit(0.0).alias("value"),
-            (F.col("n_cells") - F.coalesce("s1", F.lit(0))).alias("f1"),
-            (F.col("n_ctrl") - F.coalesce("s2", F.lit(0))).alias("f2"),
-        )
+    c_for = groups.select(*keys, "gene_idx").join(c, ["batch", "gene_idx"]).select(
+        *keys, "value", none.alias("f1"), "f2"
     )
-    stacked = (
-        t.select(*keys, "value", "f1", F.lit(0).cast("bigint").alias("f2"))
-        .unionByName(c_for.select(*keys, "value", F.lit(0).cast("bigint").alias("f1"), "f2"))
-        .unionByName(zeros)
+    # each stored entry adds to its value and takes from the zeros, which start at all cells
+    moves = F.explode(F.array(
+        F.struct(F.col("value").alias("value"), F.col("f1").alias("f1"), F.col("f2").alias("f2")),
+        F.struct(F.lit(0.0).alias("value"), (-F.col("f1")).alias("f1"), (-F.col("f2")).alias("f2")),
+    )).alias("m")
+    n_ctrl = controls.groupBy("batch").agg(F.count(F.lit(1)).alias("n_ctrl"))
+    zeros = groups.join(n_ctrl, "batch").select(
+        *keys, F.lit(0.0).alias("value"), F.col("n_cells").alias("f1"), F.col("n_ctrl").alias("f2")
     )
+    stacked = t.unionByName(c_for).select(*keys, moves).select(*keys, "m.*").unionByName(zeros)
     return stacked.groupBy(*keys, "value").agg(F.sum("f1").alias("f1"), F.sum("f2").alias("f2")).where("f1 + f2 > 0")
 
 
@@ -123,7 +105,7 @@ def label_groups(norm, cells, treated, controls, sizes, own: Column, keys: list[
     A pooled group never exceeds its batch, so the size check counts cells, not histograms."""
     limit = None if largest_group(cells, ["batch"]) <= GROUP_LIMIT else 0
     hist = own_gene_histogram(norm, treated, controls, sizes, own, keys)
-    return anderson_darling(hist, keys, limit).where(F.col("y").isNotNull())
+    return anderson_darling(hist, keys, limit)
 
 
 def size_controlled_labels(

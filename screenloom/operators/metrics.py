@@ -57,9 +57,9 @@ def seed_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def partial_rank_correlation(df: DataFrame, keys: list[str], features: list[str], y: str, control: str) -> DataFrame:
+def partial_rank_correlation(df: DataFrame, keys: list[str], features: list[str], y: str, control: str, limit=GROUP_LIMIT, bound=None) -> DataFrame:
     """Rank correlation of each feature with y, pooled and given the control; one row per feature."""
-    ranked = average_rank(df, keys, {f"_r_{c}": c for c in [*features, y, control]})
+    ranked = average_rank(df, keys, {f"_r_{c}": c for c in [*features, y, control]}, limit, bound)
     aggs = [S.pearson(f"_r_{y}", f"_r_{control}").alias("r_yz")]
     for f in features:
         aggs += [S.pearson(f"_r_{f}", f"_r_{y}").alias(f"xy_{f}"), S.pearson(f"_r_{f}", f"_r_{control}").alias(f"xz_{f}")]
@@ -138,10 +138,11 @@ def density_weights(train: DataFrame, value: str, bins=20, sigma=2.0, cap=5.0, t
     ends = train.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
     step = (hi - lo) / F.lit(float(bins))
-    inner = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: lo + i * step)
+    # ends are columns first: a subquery may not stand inside a higher-order function
+    inner = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.col("_lo") + i * F.col("_step"))
     index = F.size(F.filter(inner, lambda e: F.col(value) >= e))
     spark = train.sparkSession
-    found = train.groupBy(index.alias("bin")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    found = train.select(value, lo.alias("_lo"), step.alias("_step")).groupBy(index.alias("bin")).agg(F.count(F.lit(1)).cast("double").alias("c"))
     table = spark.range(bins).select(F.col("id").cast("int").alias("bin")).join(found, "bin", "left")
     table = table.select("bin", F.coalesce("c", F.lit(0.0)).alias("c"))
     radius = int(4.0 * sigma + 0.5)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from screenloom.functions import stats as S
-from screenloom.functions.ordered import average_rank, ordinal
+from screenloom.functions.ordered import GROUP_LIMIT, average_rank, largest_group
 from screenloom.operators import endpoint as E, features as X, metrics as M
 from screenloom.plans.build import KEYS, MAG, MAGROWS, Screen, magnitude_rows
 from screenloom.plans.registry import query, r
@@ -64,7 +64,7 @@ def w6(spark, d):
     s = roles.scores(spark, d)
     train = s.where(F.col("row_key") % 10 < 6)
     edges = X.quantiles_by_rank(train, "y", PROBS, []).scalar()
-    return s.groupBy(X.bin_index("y", edges).alias("bin")).agg(F.count("*").alias("n"), r(F.min("y"), "lo"), r(F.max("y"), "hi"))
+    return s.withColumn("edges", edges).groupBy(X.bin_index("y", F.col("edges")).alias("bin")).agg(F.count("*").alias("n"), r(F.min("y"), "lo"), r(F.max("y"), "hi"))
 
 
 @query("A12_exact_percentiles", f"""WITH {SCORES} SELECT context, {rd('quantile_cont(y, 0.025)')} AS p025,
@@ -297,7 +297,8 @@ RLAB = "rl AS (SELECT split, batch, target, n_cells, log_n, round(y, 9) AS y, "
   c AS ({' UNION ALL '.join(f"SELECT split, '{c}' AS feature, {pear(f'r_{c}', 'ry')} AS xy, {pear(f'r_{c}', 'rz')} AS xz, {pear('ry', 'rz')} AS yz FROM k GROUP BY split" for c in MAG)})
   SELECT split, feature, {rd('xy')} AS pooled, {rd('xz')} AS with_control, {rd('(xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz))')} AS partial FROM c""")
 def m7(spark, d):
-    p = M.partial_rank_correlation(rounded(labelled(spark, d)), ["split"], MAG, "y", "log_n")
+    p = M.partial_rank_correlation(
+        rounded(labelled(spark, d)), ["split"], MAG, "y", "log_n", bound=Screen(spark, d).sizes)
     return p.select("split", "feature", r("pooled", "pooled"), r("with_control", "with_control"), r("partial", "partial"))
 
 
@@ -312,7 +313,9 @@ def m8(spark, d):
     t = t.join(X.quantile_edges(t, "n_cells", PROBS, ["split"]), "split").withColumn("stratum", X.bin_index("n_cells", F.col("edges")))
     long = t.select("split", "stratum", "y", *MAG).unpivot(["split", "stratum", "y"], MAG, "feature", "v")
     keys = ["split", "stratum", "feature"]
-    ranked = average_rank(long, keys, {"rv": "v", "ry": "y"})
+    # a stratum of one feature holds no more rows than its split has groups
+    fits_one_task = largest_group(Screen(spark, d).sizes, ["split"]) <= GROUP_LIMIT
+    ranked = average_rank(long, keys, {"rv": "v", "ry": "y"}, None if fits_one_task else 0)
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), r(S.pearson("rv", "ry"), "rho"))
 
 
@@ -328,7 +331,8 @@ def m23(spark, d):
     train = F.col("row_key") % 10 < 6
     edges = X.quantiles_by_rank(s.where(train), "y", PROBS, []).scalar()
     t = M.ecdf(s, "y", train).where(~train)
-    t = t.withColumn("wr", M.rank_tail_weight()).withColumn("wq", M.quintile_tail_weight(X.bin_index("y", edges)))
+    t = t.withColumn("edges", edges).withColumn("wr", M.rank_tail_weight())
+    t = t.withColumn("wq", M.quintile_tail_weight(X.bin_index("y", F.col("edges"))))
     return t.groupBy("context").agg(
         r(S.weighted_mse("y", "pred_b", "wr"), "rank_weighted_mse"), r(S.weighted_mse("y", "pred_b", "wq"), "quintile_weighted_mse"))
 
@@ -403,5 +407,5 @@ B6SQL = f"""{SCREEN}, dr AS (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS draw
 def b6(spark, d):
     s = Screen(spark, d)
     lab = E.size_controlled_labels(s.norm, s.treated, s.controls, roles.own_gene(), KEYS, 12, 30, 5, 20270201)
-    out = E.summarize_draws(lab.where(F.col("y").isNotNull()), KEYS)
+    out = E.summarize_draws(lab, KEYS)
     return out.select(*KEYS, *[r(c, c) for c in ("y_mean", "y_std", "y_p5", "y_p95", "y_iqr")], "n_valid")
