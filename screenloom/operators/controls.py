@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -38,18 +40,14 @@ def projection_matrix(spark, x_dim: int, out_dim: int, seed: int = SEEDS["C2"]):
 
 def project(df: DataFrame, col: str, matrix, name: str) -> DataFrame:
     """Multiply each row's vector by the broadcast matrix, one Arrow batch at a time."""
-    import numpy as np
-    import pandas as pd
-
     shared = df.sparkSession.sparkContext.broadcast(matrix)
 
-    @pandas_udf("array<double>")
-    def times(x: pd.Series) -> pd.Series:
+    def times(x):
         if not len(x):
             return pd.Series([], dtype=object)
         return pd.Series(list(np.stack(x.to_numpy()) @ shared.value))
 
-    return df.withColumn(name, times(F.col(col)))
+    return df.withColumn(name, pandas_udf(times, "array<double>")(F.col(col)))
 
 
 def shuffled(df: DataFrame, key: str, cols: list[str], seed: int, split="split", limit=GROUP_LIMIT) -> DataFrame:
