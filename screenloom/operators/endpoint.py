@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from screenloom.functions.hashing import order_key
 from screenloom.functions.ordered import GROUP_LIMIT, largest_group, running
+from screenloom.session import durable
 
 EULER = 0.5772156649015329
 
@@ -63,26 +64,27 @@ def anderson_darling(hist: DataFrame, keys: list[str], limit: int | None = GROUP
     return out.selectExpr("*", "log1p(greatest(0D, stat)) AS y")
 
 
-def own_gene_histogram(
-    norm: DataFrame, treated: DataFrame, controls: DataFrame, sizes: DataFrame, own: Column, keys: list[str]
-) -> DataFrame:
+def own_gene_histogram(norm: DataFrame, cells: DataFrame, sizes: DataFrame, own: Column, keys: list[str], control: str) -> DataFrame:
     """(keys, value, f1, f2) of each group and its batch's controls on the group's own gene.
 
-    Control cells are reduced to one histogram per (batch, gene) before any group sees them, and
-    cells without an entry count as zeros."""
+    One pass over the values keeps each treated cell's own gene and, for controls, the genes that
+    are some group's own, reduced to counts per distinct value and written once.  Controls are thus
+    one histogram per (batch, gene) before any group sees them; cells without an entry are zeros."""
     groups = sizes.select(*keys, "n_cells", own.alias("gene_idx"))
     none = F.lit(0).cast("bigint")
-    t = (
-        norm.join(treated.select("cell_id", *keys), "cell_id")
-        .where(F.col("gene_idx") == own)
-        .groupBy(*keys, F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("f1"))
-        .join(groups.select(*keys), keys, "left_semi")
-        .select(*keys, "value", "f1", none.alias("f2"))
+    ctrl = F.col("target") == control
+    entries = (
+        norm.join(groups.select("gene_idx").distinct(), "gene_idx", "left_semi")
+        .join(cells.select("cell_id", *keys), "cell_id")
+        .where(ctrl | (F.col("gene_idx") == own))
     )
-    c = (
-        norm.join(controls.select("cell_id", "batch"), "cell_id")
-        .groupBy("batch", "gene_idx", F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("f2"))
+    wide = [(F.col(k) if k in ("batch", "target") else F.when(~ctrl, F.col(k))).alias(k) for k in keys]
+    hist = durable(entries.groupBy(*wide, "gene_idx", F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("f")))
+    t = hist.where(~ctrl).join(groups.select(*keys), keys, "left_semi").select(
+        *keys, "value", F.col("f").alias("f1"), none.alias("f2")
     )
+    c = hist.where(ctrl).select("batch", "gene_idx", "value", F.col("f").alias("f2"))
+    controls = cells.where(ctrl)
     c_for = groups.select(*keys, "gene_idx").join(c, ["batch", "gene_idx"]).select(
         *keys, "value", none.alias("f1"), "f2"
     )
@@ -99,12 +101,12 @@ def own_gene_histogram(
     return stacked.groupBy(*keys, "value").agg(F.sum("f1").alias("f1"), F.sum("f2").alias("f2")).where("f1 + f2 > 0")
 
 
-def label_groups(norm, cells, treated, controls, sizes, own: Column, keys: list[str]) -> DataFrame:
+def label_groups(norm, cells, sizes, own: Column, keys: list[str], control: str) -> DataFrame:
     """keys, n1, n2, stat, y; groups without a label are dropped.
 
     A pooled group never exceeds its batch, so the size check counts cells, not histograms."""
     limit = None if largest_group(cells, ["batch"]) <= GROUP_LIMIT else 0
-    hist = own_gene_histogram(norm, treated, controls, sizes, own, keys)
+    hist = own_gene_histogram(norm, cells, sizes, own, keys, control)
     return anderson_darling(hist, keys, limit)
 
 

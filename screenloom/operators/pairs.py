@@ -131,13 +131,15 @@ def matched_values(pairs: DataFrame, df: DataFrame, row: str, value: str) -> Dat
     )
 
 
-def rank_consistency(values: DataFrame, limit=GROUP_LIMIT) -> DataFrame:
+def rank_consistency(values: DataFrame, limit=GROUP_LIMIT, bound: int | None = None) -> DataFrame:
     """Weighted mean rank correlation over context pairs, per tier and combined (tier 0).
-    Undefined pairs carry no weight."""
+    Undefined pairs carry no weight.  ``bound`` states the most row pairs a context pair can have."""
     from screenloom.functions.ordered import average_rank
     from screenloom.functions.stats import pearson
 
     keys = ["ctx_a", "ctx_b", "tier", "weight"]
+    if bound is not None and limit is not None:
+        limit = None if bound <= limit else 0
     ranked = average_rank(values.select(*keys, "a", "b"), keys, {"_ra": "a", "_rb": "b"}, limit)
     per = ranked.groupBy(*keys).agg(pearson("_ra", "_rb").alias("rho"))
     sets = per.groupingSets([["tier"], []], "tier")

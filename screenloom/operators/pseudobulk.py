@@ -9,18 +9,28 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 
-def group_mean(values: DataFrame, cells: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, gene_idx, mean for the groups listed in ``sizes`` (keys, n_cells).
+def group_sums(values: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, gene_idx, s: the one pass over the stored values.
 
-    Sums are taken per (group, gene) with partial sums before the shuffle, so a group of any size
-    spreads over all mappers; group sizes join only after the reduction.
-    """
-    sums = (
+    Partial sums run before the shuffle, so a group of any size spreads over all mappers."""
+    return (
         values.join(cells.select("cell_id", *keys), "cell_id")
         .groupBy(*keys, "gene_idx")
         .agg(F.sum("v").alias("s"))
     )
-    return sums.join(sizes, keys).select(
+
+
+def means(sums: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, gene_idx, mean, n_cells for the groups in ``sizes`` (keys, n_cells); coarser ``keys``
+    than those of the sums add them up first."""
+    s = sums.groupBy(*keys, "gene_idx").agg(F.sum("s").alias("s"))
+    return s.join(sizes, keys).select(
+        *keys, "gene_idx", (F.col("s") / F.col("n_cells")).alias("mean"), "n_cells"
+    )
+
+
+def group_mean(values: DataFrame, cells: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    return group_sums(values, cells, keys).join(sizes, keys).select(
         *keys, "gene_idx", (F.col("s") / F.col("n_cells")).alias("mean"), "n_cells"
     )
 

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from screenloom.functions import stats as S
 from screenloom.functions.hashing import order_key, uniform
 from screenloom.functions.ordered import GROUP_LIMIT, ordinal, weighted_rank
-from screenloom.functions.sizes import broadcast_if_small
+from screenloom.functions.sizes import BROADCAST_ROWS
 
 
-def _draws(indexed: DataFrame, pos: str, n: str, reps: int, seed) -> DataFrame:
-    """(rep, hit): draw number ``pos`` of replicate ``rep`` hits item floor(u * n).  Each item makes
-    its own draws, so the table of reps x n draws is produced where the items lie."""
-    u = uniform(seed, F.col("rep"), F.col(pos))
-    return indexed.select(pos, n, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select(
-        "rep", F.floor(u * F.col(n)).cast("bigint").alias("hit")
+def _draws(spark, n: int, reps: int, seed) -> DataFrame:
+    """(rep, hit): draw ``t`` of replicate ``rep`` hits item floor(u * n), for t = 0..n-1.
+
+    Draws are numbered, not taken from the items, so they spread over all cores whatever the
+    layout of the data; only the count n comes from it."""
+    u = uniform(seed, F.col("rep"), F.col("id"))
+    return spark.range(n).select("id", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select(
+        "rep", F.floor(u * F.lit(float(n))).cast("bigint").alias("hit")
     )
 
 
@@ -37,9 +39,11 @@ def row_bootstrap_delta_r2(
 
     Drawn rows are joined and reduced per replicate with partial aggregation, so past the join only
     one small record per task and replicate moves; multiplied rows are never written."""
-    rows = ordinal(df.select(key, y, *arm_a, *arm_b), [], [key], "_i", limit)
-    draws = _draws(rows.select("_i", "_i_n"), "_i", "_i_n", reps, seed)
-    items = broadcast_if_small(rows.select(F.col("_i").alias("hit"), y, *arm_a, *arm_b))
+    n = df.count()
+    rows = ordinal(df.select(key, y, *arm_a, *arm_b), [], [key], "_i", None if limit is None or n <= limit else 0)
+    draws = _draws(df.sparkSession, n, reps, seed)
+    items = rows.select(F.col("_i").alias("hit"), y, *arm_a, *arm_b)
+    items = F.broadcast(items) if n <= BROADCAST_ROWS else items
     a = sum((S.r2(y, p) for p in arm_a[1:]), S.r2(y, arm_a[0])) / len(arm_a)
     b = sum((S.r2(y, p) for p in arm_b[1:]), S.r2(y, arm_b[0])) / len(arm_b)
     return draws.join(items, "hit").groupBy("rep").agg((a - b).alias("delta"))
@@ -53,11 +57,13 @@ def cluster_bootstrap_rho(
     A drawn cluster's rows enter with its multiplicity as a weight; ranks are recomputed in every
     replicate as weighted average-tie ranks."""
     cols = sorted({c for cs in objects.values() for c in cs})
-    ids = ordinal(df.select(cluster).distinct(), [], [cluster], "_c", limit)
-    weights = _draws(ids, "_c", "_c_n", reps, seed).groupBy("rep", "hit").agg(F.count(F.lit(1)).alias("w"))
-    weights = weights.join(broadcast_if_small(ids.select(F.col("_c").alias("hit"), cluster)), "hit").drop("hit")
     rows = df.select(cluster, y, *cols)
-    fits_one_task = limit is None or rows.count() <= limit
+    n, n_clusters = rows.agg(F.count(F.lit(1)), F.count_distinct(cluster)).first()
+    fits_one_task = limit is None or n <= limit
+    ids = ordinal(df.select(cluster).distinct(), [], [cluster], "_c", None if fits_one_task else 0)
+    ids = ids.select(F.col("_c").alias("hit"), cluster)
+    weights = _draws(df.sparkSession, n_clusters, reps, seed).groupBy("rep", "hit").agg(F.count(F.lit(1)).alias("w"))
+    weights = weights.join(F.broadcast(ids) if n_clusters <= BROADCAST_ROWS else ids, "hit").drop("hit")
     boot = weights.join(rows, cluster).drop(cluster)
     for c in [y, *cols]:
         boot = weighted_rank(boot, ["rep"], c, "w", f"_r_{c}", None if fits_one_task else 0)

@@ -1,6 +1,8 @@
 """Scans, normalisation, group profiles, feature selection and scaling."""
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from screenloom.functions import vector as V
@@ -10,6 +12,7 @@ from screenloom.plans.sqltext import (
     BULK, CELLS, COUNTS, CTRL, EMB, FULL, NCTRL, NORM, SCREEN, SIZES, rd,
 )
 from screenloom.sources import roles
+from screenloom.session import durable
 from screenloom.sources.roles import CONTROL
 
 KEYS = ["split", "batch", "target"]
@@ -17,20 +20,52 @@ MAG = ["mean_abs", "l2", "max_abs", "sd"]
 
 
 class Screen:
-    """The lazily built stages of one screen."""
-
-    def __init__(self, spark, d, min_cells=10):
-        self.cells = roles.cells(spark, d)
-        self.counts = roles.counts(spark, d)
-        self.norm = N.library_log1p(self.counts)
-        self.treated = N.treated(self.cells, CONTROL)
-        self.controls = N.controls(self.cells, CONTROL)
-        self.sizes = N.group_sizes(self.treated, KEYS, min_cells)
-        self.profile = P.group_mean(self.norm, self.treated, self.sizes, KEYS)
-        self.base = P.group_mean(
-            self.norm, self.controls, N.group_sizes(self.controls, ["batch"]), ["batch"]
-        ).select("batch", "gene_idx", "mean")
-        self.delta = P.delta(self.profile, self.sizes, self.base, KEYS, ["batch"])
+    """The stages of one screen, each a lazy plan built when first asked for.
+
+    Profiles and baselines both come from the per-group sums of one pass over the counts.  With
+    ``keep`` these sums, a table of groups x genes, are written once, so that several uses in one
+    query do not read and normalise the counts again."""
+
+    def __init__(self, spark, d, min_cells=10, keep=True):
+        self.spark, self.d, self.min_cells, self.keep = spark, d, min_cells, keep
+
+    @cached_property
+    def cells(self):
+        return roles.cells(self.spark, self.d)
+
+    @cached_property
+    def norm(self):
+        return N.library_log1p(roles.counts(self.spark, self.d))
+
+    @cached_property
+    def treated(self):
+        return N.treated(self.cells, CONTROL)
+
+    @cached_property
+    def controls(self):
+        return N.controls(self.cells, CONTROL)
+
+    @cached_property
+    def sizes(self):
+        return N.group_sizes(self.treated, KEYS, self.min_cells)
+
+    @cached_property
+    def sums(self):
+        sums = P.group_sums(self.norm, self.cells, KEYS)
+        return durable(sums) if self.keep else sums
+
+    @cached_property
+    def profile(self):
+        return P.means(N.treated(self.sums, CONTROL), self.sizes, KEYS)
+
+    @cached_property
+    def base(self):
+        sizes = N.group_sizes(self.controls, ["batch"])
+        return P.means(N.controls(self.sums, CONTROL), sizes, ["batch"]).select("batch", "gene_idx", "mean")
+
+    @cached_property
+    def delta(self):
+        return P.delta(self.profile, self.sizes, self.base, KEYS, ["batch"])
 
 
 def magnitude_rows(s: Screen):
@@ -207,12 +242,12 @@ def p11(spark, d):
 
 @query("A1_control_mean", f"WITH {SCREEN}, {NCTRL}, {CTRL} SELECT batch, gene_idx, {rd('mean')} AS mean FROM ctrl")
 def a1(spark, d):
-    return Screen(spark, d).base.select("batch", "gene_idx", r("mean", "mean"))
+    return Screen(spark, d, keep=False).base.select("batch", "gene_idx", r("mean", "mean"))
 
 
 @query("A2_pseudobulk_mean", f"WITH {BULK} SELECT split, batch, target, gene_idx, {rd('mean')} AS mean FROM profile")
 def a2(spark, d):
-    return Screen(spark, d).profile.select(*KEYS, "gene_idx", r("mean", "mean"))
+    return Screen(spark, d, keep=False).profile.select(*KEYS, "gene_idx", r("mean", "mean"))
 
 
 @query("A3_delta_features", f"WITH {FULL} SELECT split, batch, target, gene_idx, {rd('delta')} AS delta FROM delta")
@@ -236,8 +271,8 @@ def construct_delta(spark, d):
     s = Screen(spark, d)
     keys = ["split", "target"]
     sizes = N.group_sizes(s.treated, keys)
-    prof = P.group_mean(s.norm, s.treated, sizes, keys)
-    base = P.group_mean(s.norm, s.controls, N.group_sizes(s.controls, ["split"]), ["split"])
+    prof = P.means(N.treated(s.sums, CONTROL), sizes, keys)
+    base = P.means(N.controls(s.sums, CONTROL), N.group_sizes(s.controls, ["split"]), ["split"])
     return P.delta(prof, sizes, base, keys, ["split"]), sizes
 
 
@@ -280,7 +315,7 @@ def a5_global(spark, d):
   SELECT gene_idx, count(*) AS n, {rd('avg(x)')} AS mean, {rd('var_pop(x)')} AS var, {rd('min(x)')} AS lo, {rd('max(x)')} AS hi
   FROM dense GROUP BY 1""")
 def a7(spark, d):
-    s = Screen(spark, d)
+    s = Screen(spark, d, keep=False)
     return X.gene_stats(s.profile, s.sizes).select("gene_idx", "n", *[r(c, c) for c in ("mean", "var", "lo", "hi")])
 
 
@@ -292,7 +327,7 @@ A8SQL = f"""{BULK}, dense AS (
 
 
 def _ratio(spark, d):
-    s = Screen(spark, d)
+    s = Screen(spark, d, keep=False)
     train = F.col("split") == "train"
     return X.cross_context_ratio(s.profile.where(train), s.sizes.where(train))
 
@@ -309,7 +344,7 @@ def a8(spark, d):
   v AS (SELECT gene_idx, var_pop(x) AS var FROM dense GROUP BY 1)
   SELECT gene_idx, {rd('var')} AS var FROM v ORDER BY v.var DESC, gene_idx LIMIT 16""")
 def w2(spark, d):
-    s = Screen(spark, d)
+    s = Screen(spark, d, keep=False)
     train = F.col("split") == "train"
     v = X.gene_stats(s.profile.where(train), s.sizes.where(train))
     return X.top_genes(v, "var", 16).select("gene_idx", r("var", "var")).orderBy("gene_idx")

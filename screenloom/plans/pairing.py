@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from screenloom.functions import stats as S, vector as V
-from screenloom.functions.ordered import average_rank
+from screenloom.functions.ordered import average_rank, largest_group
 from screenloom.operators import blocks as K, pairs as P
 from screenloom.plans.registry import query, r
 from screenloom.plans.scoring import R2, avg_rank, pear
@@ -76,7 +76,9 @@ RC = f"""{CTX}, vl AS (SELECT p.*, a.pred_b AS a, b.pred_b AS b FROM allp p JOIN
 
 def _rc(spark, d):
     c = ctx_rows(spark, d)
-    return P.rank_consistency(P.matched_values(cascade(spark, d), c, "row_key", "pred_b"))
+    # every tier makes at most one pair per row of the first context
+    most = largest_group(c, ["context"])
+    return P.rank_consistency(P.matched_values(cascade(spark, d), c, "row_key", "pred_b"), bound=most)
 
 
 @query("M9_rank_consistency", f"WITH {RC} SELECT {rd('sum(weight * rho) / sum(CASE WHEN rho IS NOT NULL THEN weight END)')} AS rho, count(*) AS n_ctx_pairs FROM pc")

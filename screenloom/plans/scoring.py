@@ -245,7 +245,7 @@ ADSQL = f"""{FULL},
 
 
 def labels_of(s: Screen):
-    return E.label_groups(s.norm, s.cells, s.treated, s.controls, s.sizes, roles.own_gene(), KEYS)
+    return E.label_groups(s.norm, s.cells, s.sizes, roles.own_gene(), KEYS, roles.CONTROL)
 
 
 @query("A6_anderson_darling_label", f"WITH {ADSQL} SELECT split, batch, target, n1, n2, {rd('stat')} AS stat, {rd('y')} AS y FROM labels_y")

@@ -6,9 +6,17 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def read(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """One Parquet table; ``columns`` limits the scan to what the caller names."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    """One Parquet table; ``columns`` limits the scan to what the caller names.
+
+    The schema is taken from the file footers once per path; files are listed afresh each time."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
     return df.select(*columns) if columns else df
 
 
