@@ -52,14 +52,14 @@ def anderson_darling(hist: DataFrame, keys: list[str], limit: int | None = GROUP
     mid1 = F.col("f1_before") + F.col("f1") / F.lit(2.0)
     gap = n * mid1 - n1 * mid
     term = F.try_divide(tie / n * gap * gap, mid * (n - mid) - n * tie / F.lit(4.0))
-    agg = run.select(*keys, n1.alias("n1"), n2.alias("n2"), term.alias("t")).groupBy(*keys).agg(
-        F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.sum("t").alias("s"), F.count(F.lit(1)).alias("k")
+    agg = run.select(*keys, n1.alias("n1"), n2.alias("n2"), term.alias("_t")).groupBy(*keys).agg(
+        F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.sum("_t").alias("_s"), F.count(F.lit(1)).alias("_k")
     )
     # the test runs on counts before the formulas: a filter on the label would copy them
-    agg = agg.where((F.col("n1") >= 2) & (F.col("n2") >= 2) & (F.col("n1") + F.col("n2") > 3) & (F.col("k") >= 2))
+    agg = agg.where((F.col("n1") >= 2) & (F.col("n2") >= 2) & (F.col("n1") + F.col("n2") > 3) & (F.col("_k") >= 2))
     out = _with_sigma(agg).selectExpr(
         *keys, "n1", "n2",
-        "((n1 + n2 - 1D) / (n1 + n2) * (1D / n1 + 1D / n2) * s - 1) / _sigma AS stat",
+        "((n1 + n2 - 1D) / (n1 + n2) * (1D / n1 + 1D / n2) * _s - 1) / _sigma AS stat",
     )
     return out.selectExpr("*", "log1p(greatest(0D, stat)) AS y")
 
