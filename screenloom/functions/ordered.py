@@ -28,6 +28,12 @@ def fits(df: DataFrame, keys: list[str], limit: int | None) -> bool:
     return limit is None or largest_group(df, keys) <= limit
 
 
+def path(df: DataFrame, keys: list[str], limit: int | None = GROUP_LIMIT) -> int | None:
+    """One size check for several ranked columns: the limit to pass on, ``None`` when every group
+    fits one task and 0 when the range path is needed."""
+    return None if fits(df, keys, limit) else 0
+
+
 def _part(keys: list[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 

@@ -271,6 +271,33 @@ def rbf_cka(df: DataFrame, context: str, key: str, x: str, y: str, size: int = B
     )
 
 
+def nearest(df: DataFrame, context: str, key: str, vec: str, k: int = 1, done: DataFrame | None = None, size: int = BLOCK) -> DataFrame:
+    """ctx_a, ctx_b, row_a, row_b, d2: for every row of the first context its k nearest rows of the
+    second by squared distance, ties to the smaller key.  Exact for any width: a block pair returns
+    the k best of each row, and the best of all blocks are kept.  ``done`` lists context pairs to
+    leave out.  For a scalar coordinate :func:`screenloom.operators.pairs.tier3` needs no distances."""
+    met = meet(pack(df, context, key, vec, size), across=True).where("ctx_a < ctx_b")
+    if done is not None:
+        met = met.join(done, ["ctx_a", "ctx_b"], "left_anti")
+
+    def best(va, vb):
+        out = []
+        for x, y in zip(va, vb):
+            a, b = _matrix(x), _matrix(y)
+            d = ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1) if a.size * len(b) <= 4_000_000 else _d2(a, b)
+            at = np.argsort(d, axis=1, kind="stable")[:, :k]
+            out.append({"at": at.tolist(), "d2": np.take_along_axis(d, at, 1).tolist()})
+        return pd.DataFrame(out)
+
+    n = pandas_udf(best, "at array<array<bigint>>, d2 array<array<double>>")("vecs_a", "vecs_b").alias("n")
+    rows = met.select("ctx_a", "ctx_b", "keys_a", "keys_b", n).select(
+        "ctx_a", "ctx_b", "keys_b", F.explode(F.arrays_zip(F.col("keys_a").alias("row"), F.col("n.at").alias("at"), F.col("n.d2").alias("d2"))).alias("z"))
+    cand = rows.select("ctx_a", "ctx_b", "keys_b", F.col("z.row").alias("row_a"), F.explode(F.arrays_zip(F.col("z.at").alias("at"), F.col("z.d2").alias("d2"))).alias("c"))
+    cand = cand.select("ctx_a", "ctx_b", "row_a", F.get("keys_b", F.col("c.at")).alias("row_b"), F.col("c.d2").alias("d2"))
+    w = Window.partitionBy("ctx_a", "ctx_b", "row_a").orderBy("d2", "row_b")
+    return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
 def soft_ranks(df: DataFrame, group: str, key: str, cols: list[str], tau: float = 0.1, size: int = BLOCK) -> DataFrame:
     """group, key and for each column its soft rank: the sum over other rows of the logistic of the
     scaled difference."""

@@ -1,7 +1,7 @@
 """Feature statistics, selection, remapping and train-only scaling."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from screenloom.functions.sizes import small
 from screenloom.functions.stats import pooled_m2
@@ -195,7 +195,9 @@ def equal_width_bin(value, lo, hi, bins: int) -> Column:
 def id_registry(names: list[DataFrame], control: str, name="target") -> DataFrame:
     """Distinct names in order, numbered from 0, the control label last unless it is listed.
 
-    The window runs over distinct names: the label vocabulary, not the rows."""
+    Only distinct names are put in order, never the rows they label."""
+    from screenloom.functions.ordered import ordinal
+
     allnames = names[0].select(name)
     for d in names[1:]:
         allnames = allnames.unionByName(d.select(name))
@@ -205,8 +207,7 @@ def id_registry(names: list[DataFrame], control: str, name="target") -> DataFram
         .unionByName(spark.range(1).select(F.lit(control).alias(name), F.lit(1).alias("late")))
         .groupBy(name).agg(F.min("late").alias("late"))
     )
-    w = Window.partitionBy(F.lit(0)).orderBy("late", name)
-    return marked.select(name, (F.row_number().over(w) - 1).cast("bigint").alias("target_id"))
+    return ordinal(marked, [], ["late", name], "target_id").select(name, "target_id")
 
 
 def evenly_spaced(df: DataFrame, order: str, m: int) -> DataFrame:

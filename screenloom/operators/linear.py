@@ -115,31 +115,25 @@ def ridge_weights(g: DataFrame, by: list[str], width: int, n_targets: int, alpha
 
 
 def r2_from_gram(weights: DataFrame, g: DataFrame, by: list[str], width: int, target: str = "target") -> DataFrame:
-    """R2 of each fit on the rows behind ``g``, from their products alone: no scoring pass."""
-    wide = g.groupBy(*by).agg(F.collect_list(F.struct("i", "j", "s")).alias("m")) if by else g.agg(F.collect_list(F.struct("i", "j", "s")).alias("m"))
-    j = weights.join(wide, by) if by else weights.withColumn("m", wide.scalar())
-    fields = [f for f in weights.schema.fields if f.name != "w"]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "r2 double"])
-    names = [f.name for f in fields]
-
-    def score(batches):
-        for pdf in batches:
-            out = []
-            for rec in pdf.to_dict("records"):
-                ij = rec["m"]
-                n = max(x["i"] for x in ij) + 1
-                m = np.zeros((n, n))
-                for x in ij:
-                    m[x["i"], x["j"]] = x["s"]
-                t = width + 1 + int(rec[target])
-                w = np.asarray(rec["w"])
-                rows = m[width, width]
-                sst = m[t, t] - m[t, width] ** 2 / rows
-                sse = m[t, t] - 2 * w @ m[: width + 1, t] + w @ m[: width + 1, : width + 1] @ w
-                out.append(1.0 - sse / sst if sst > 0 else None)
-            yield pdf[names].assign(r2=out)
-
-    return j.mapInPandas(score, schema)
+    """R2 of each fit on the rows behind ``g``, from their products alone: no scoring pass.
+
+    The squared error is yy - 2 w'Xy + w'XXw, with each product one row of ``g``."""
+    fit = [*by, target, "alpha"]
+    w = weights.select(*fit, F.posexplode("w").alias("j", "_w"))
+    inside = (F.col("i") <= width) & (F.col("j") <= width)
+    image = g.where(inside).join(w, [*by, "j"]).groupBy(*fit, "i").agg(F.sum(F.col("s") * F.col("_w")).alias("_aw"))
+    wi = w.withColumnRenamed("j", "i")
+    quad = image.join(wi, [*fit, "i"]).groupBy(*fit).agg(F.sum(F.col("_aw") * F.col("_w")).alias("_waw"))
+    xy = g.where((F.col("i") <= width) & (F.col("j") > width)).withColumn(target, F.col("j") - (width + 1)).drop("j")
+    lin = xy.join(wi, [*by, target, "i"]).groupBy(*fit).agg(F.sum(F.col("s") * F.col("_w")).alias("_wxy"))
+    own = g.where((F.col("i") == F.col("j")) & (F.col("i") > width)).select(*by, (F.col("i") - (width + 1)).alias(target), F.col("s").alias("_yy"))
+    sums = g.where((F.col("i") == width) & (F.col("j") > width)).select(*by, (F.col("j") - (width + 1)).alias(target), F.col("s").alias("_y"))
+    rows = g.where((F.col("i") == width) & (F.col("j") == width)).select(*by, F.col("s").alias("_n"))
+    j = quad.join(lin, fit).join(own, [*by, target]).join(sums, [*by, target])
+    j = j.join(rows, by) if by else j.withColumn("_n", rows.scalar())
+    sst = F.col("_yy") - F.col("_y") * F.col("_y") / F.col("_n")
+    sse = F.col("_yy") - 2 * F.col("_wxy") + F.col("_waw")
+    return j.select(*fit, F.when(sst > 0, 1 - F.try_divide(sse, sst)).alias("r2"))
 
 
 def fit_linear(df: DataFrame, features: list[str], label: str, alpha: float = 0.0, prediction: str = "prediction"):

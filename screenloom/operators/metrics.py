@@ -6,7 +6,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from screenloom.functions import stats as S
-from screenloom.functions.ordered import GROUP_LIMIT, average_rank, ordinal, running
+from screenloom.functions.ordered import GROUP_LIMIT, average_rank, ordinal, path, running
 
 
 def spearman(df: DataFrame, keys: list[str], pairs: dict[str, tuple[str, str]], limit=GROUP_LIMIT, bound=None) -> DataFrame:
@@ -28,9 +28,10 @@ def top_k_size(k, n: Column) -> Column:
 def ndcg(df: DataFrame, keys: list[str], y: str, yhat: str, row_key: str, k: int | float = 0.1, limit=GROUP_LIMIT) -> DataFrame:
     """Discounted gain of the top k by prediction over that of the best order; ties by row key.
     Gains are shifted when the smallest is negative; NULL when the best order gains nothing."""
+    limit = path(df, keys, limit)
     base = df.select(*keys, F.col(row_key).alias("_k"), F.col(y).alias("_y"), (-F.col(yhat)).alias("_p"), (-F.col(y)).alias("_q"))
     ranked = ordinal(base, keys, ["_p", "_k"], "_i", limit)
-    ranked = ordinal(ranked.drop("_i_n"), keys, ["_q", "_k"], "_j", None if limit is None else limit)
+    ranked = ordinal(ranked.drop("_i_n"), keys, ["_q", "_k"], "_j", limit)
     low = base.groupBy(*keys).agg(F.min("_y").alias("_lo")) if keys else base.agg(F.min("_y").alias("_lo"))
     ranked = ranked.join(low, keys) if keys else ranked.withColumn("_lo", low.scalar())
     n = F.col("_j_n")
@@ -43,12 +44,13 @@ def ndcg(df: DataFrame, keys: list[str], y: str, yhat: str, row_key: str, k: int
 
 
 def predictive_bundle(df: DataFrame, keys: list[str], y: str, yhat: str, row_key: str, k: int | float = 0.1, limit=GROUP_LIMIT) -> DataFrame:
+    limit = path(df, keys, limit)
     ranked = average_rank(df, keys, {"_ry": y, "_rp": yhat}, limit)
     main = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), S.r2(y, yhat).alias("r2"), S.pearson(y, yhat).alias("pearson"),
         S.pearson("_ry", "_rp").alias("spearman"),
     )
-    return main.join(ndcg(df, keys, y, yhat, row_key, k, None if limit is None else limit), keys)
+    return main.join(ndcg(df, keys, y, yhat, row_key, k, limit), keys)
 
 
 def seed_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:

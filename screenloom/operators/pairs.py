@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from screenloom.functions.ordered import GROUP_LIMIT, largest_group, ordinal, running
+from screenloom.functions.ordered import GROUP_LIMIT, largest_group, ordinal, path, running
 from screenloom.session import durable
 
 # Trust in a match by tier.
@@ -155,6 +155,7 @@ def order_agreement(df: DataFrame, keys: list[str], a: str, b: str, limit=GROUP_
     Pairs are counted, never made.  Rows get the bit pattern of their dense place in ``a``; two rows
     part at exactly one bit, and there a running count over ``b`` gives the concordant and the
     discordant partners.  Work is n log n, and each level's groups go through running sums."""
+    limit = path(df, keys, limit)
     ties = df.groupBy(*keys, a).agg(F.lit(1).cast("bigint").alias("_one"))
     place = running(ties, keys, [a], ["_one"], limit).select(
         *keys, a, F.col("_one_before").alias("_p"), F.col("_one_total").alias("_d")
@@ -169,7 +170,7 @@ def order_agreement(df: DataFrame, keys: list[str], a: str, b: str, limit=GROUP_
         F.when(F.call_function("shiftright", F.col("_p"), F.col("_l")) % 2 == 0, F.col("_c")).otherwise(0).alias("_low"),
         F.when(F.call_function("shiftright", F.col("_p"), F.col("_l")) % 2 == 1, F.col("_c")).otherwise(0).alias("_high"),
     ).groupBy(*keys, "_l", "_g", "_b").agg(F.sum("_low").alias("_low"), F.sum("_high").alias("_high"))
-    run = running(split, [*keys, "_l", "_g"], ["_b"], ["_low"], limit, bound=df if not keys else None)
+    run = running(split, [*keys, "_l", "_g"], ["_b"], ["_low"], limit)
     conc = F.sum(F.col("_high") * F.col("_low_before"))
     disc = F.sum(F.col("_high") * (F.col("_low_total") - F.col("_low_before") - F.col("_low")))
     out = run.groupBy(*keys) if keys else run.groupBy()

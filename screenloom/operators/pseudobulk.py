@@ -61,15 +61,15 @@ def embedding_delta(
 ) -> DataFrame:
     """Mean embedding of a construct minus the control mean, inside each ``scope`` value.
 
-    ``scope=["batch"]`` takes the same batch's controls; ``scope=[]`` the pooled ones, as a single
-    row that every executor can hold.
+    ``scope=["batch"]`` takes the same batch's controls; ``scope=[]`` the pooled ones, one vector
+    read as a scalar subquery.
     """
     keys = [*scope, construct]
     groups = vector_mean(emb.where(F.col(construct) != control), keys).where(F.col("n_cells") >= min_cells)
     base = vector_mean(emb.where(F.col(construct) == control), scope).select(
         *scope, F.col("mean").alias("base")
     )
-    both = groups.join(base, scope) if scope else groups.join(F.broadcast(base))
+    both = groups.join(base, scope) if scope else groups.withColumn("base", base.select("base").scalar())
     return both.select(
         *keys, "n_cells", F.zip_with("mean", "base", lambda a, b: a - b).alias("z")
     )

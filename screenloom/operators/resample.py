@@ -9,6 +9,10 @@ from screenloom.functions.ordered import GROUP_LIMIT, ordinal, weighted_rank
 from screenloom.functions.sizes import BROADCAST_ROWS
 
 
+PART_ROWS = 200_000
+MAX_PARTS = 10_000
+
+
 def _draws(spark, n: int, reps: int, seed) -> DataFrame:
     """(rep, hit): draw ``t`` of replicate ``rep`` hits item floor(u * n), for t = 0..n-1.
 
@@ -55,16 +59,27 @@ def cluster_bootstrap_rho(
     """rep and one rank correlation per object, resampling whole clusters with replacement.
 
     A drawn cluster's rows enter with its multiplicity as a weight; ranks are recomputed in every
-    replicate as weighted average-tie ranks."""
+    replicate as weighted average-tie ranks.  A cluster with very many rows is cut into numbered
+    parts and its weights are repeated per part, so that no join task holds it whole."""
     cols = sorted({c for cs in objects.values() for c in cs})
     rows = df.select(cluster, y, *cols)
-    n, n_clusters = rows.agg(F.count(F.lit(1)), F.count_distinct(cluster)).first()
+    per = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
+    n, n_clusters, largest = per.agg(F.sum("_n"), F.count(F.lit(1)), F.max("_n")).first()
     fits_one_task = limit is None or n <= limit
     ids = ordinal(df.select(cluster).distinct(), [], [cluster], "_c", None if fits_one_task else 0)
     ids = ids.select(F.col("_c").alias("hit"), cluster)
     weights = _draws(df.sparkSession, n_clusters, reps, seed).groupBy("rep", "hit").agg(F.count(F.lit(1)).alias("w"))
     weights = weights.join(F.broadcast(ids) if n_clusters <= BROADCAST_ROWS else ids, "hit").drop("hit")
-    boot = weights.join(rows, cluster).drop(cluster)
+    part = max(PART_ROWS, n // MAX_PARTS)
+    if largest > part:
+        # at most n / part <= MAX_PARTS clusters can be this large
+        hot = F.broadcast(per.where(F.col("_n") > part).select(cluster, F.ceil(F.col("_n") / part).alias("_parts")))
+        one = F.coalesce("_parts", F.lit(1).cast("bigint"))
+        rows = rows.join(hot, cluster, "left").withColumn("_part", F.pmod(F.xxhash64(y, *cols), one)).drop("_parts")
+        weights = weights.join(hot, cluster, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), one - 1))).drop("_parts")
+        boot = weights.join(rows, [cluster, "_part"]).drop(cluster, "_part")
+    else:
+        boot = weights.join(rows, cluster).drop(cluster)
     for c in [y, *cols]:
         boot = weighted_rank(boot, ["rep"], c, "w", f"_r_{c}", None if fits_one_task else 0)
     rho = {c: S.weighted_pearson(f"_r_{c}", f"_r_{y}", "w") for c in cols}

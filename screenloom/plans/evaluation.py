@@ -62,6 +62,10 @@ def sweep(rows: DataFrame, arms: dict[str, list[str]], families: dict, seeds: li
                 parts.append(model.transform(rows.where(F.col("split") != "train")).select(
                     F.lit(arm).alias("arm"), F.lit(family).alias("family"), F.lit(seed).alias("seed"), "split",
                     F.col(key).alias("key"), F.col(label).alias("y"), F.col("prediction").alias("yhat")))
+    if not parts:
+        kinds = dict(rows.dtypes)
+        return rows.sparkSession.createDataFrame(
+            [], f"arm string, family string, seed int, split string, key {kinds[key]}, y {kinds[label]}, yhat double")
     return functools.reduce(DataFrame.unionByName, parts)
 
 

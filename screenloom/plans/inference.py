@@ -4,11 +4,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from screenloom.functions import stats as S, vector as V
-from screenloom.operators import controls as C, normalize as N, pseudobulk as P, resample as B
+from screenloom.operators import controls as C, features as X, normalize as N, pseudobulk as P, resample as B
 from screenloom.plans.build import KEYS, MAG, Screen, magnitude_rows
 from screenloom.plans.registry import query, r
 from screenloom.plans.scoring import R2
 from screenloom.plans.sqltext import CELLS, COUNTS, EMB, NCTRL, CTRL, NORM, SCORES, SCREEN, SIZES, digest, normal, rd, unit
+from screenloom.session import durable
 from screenloom.sources import roles
 
 SPLITOF = "CASE WHEN cell_id % 10 < 6 THEN 'train' WHEN cell_id % 10 < 8 THEN 'val' ELSE 'test' END"
@@ -142,13 +143,17 @@ def b4(spark, d):
     picked = B.matched_cells(s.treated, KEYS, 10, [20270201, 20270202, 20270203])
     sizes = N.group_sizes(picked, keys)
     prof = P.group_mean(s.norm, picked, sizes, keys)
-    delta = P.delta(prof, sizes, s.base, keys, ["batch"])
+    delta = durable(P.delta(prof, sizes, s.base, keys, ["batch"]))
     g, x = roles.N_GENES, F.col("delta")
     m = delta.groupBy(*keys).agg(
         (F.sum(F.abs(x)) / g).alias("mean_abs"), F.sqrt(F.sum(x * x)).alias("l2"), F.max(F.abs(x)).alias("max_abs"),
         F.sqrt(F.sum(x * x) / g - F.pow(F.sum(x) / g, F.lit(2))).alias("sd"))
-    return m.groupBy("split", "seed").agg(
-        F.count("*").alias("n_kept"), *[r(F.percentile(c, F.lit(0.5)), c) for c in MAG])
+    long = m.unpivot(["split", "seed"], MAG, "feature", "value")
+    med = X.quantiles_by_rank(long, "value", [0.5], ["split", "seed", "feature"])
+    n = m.groupBy("split", "seed").agg(F.count("*").alias("n_kept"))
+    wide = med.groupBy("split", "seed").agg(*[
+        r(F.max(F.when(F.col("feature") == c, F.col("edges")[0])), c) for c in MAG])
+    return n.join(wide, ["split", "seed"])
 
 
 @query("B4_depth_matched_embedding", f"""WITH {EMB}, sd AS (SELECT unnest([20270201, 20270202, 20270203]) AS seed),

@@ -55,6 +55,35 @@ def _classes(df, col):
     return [x[0] for x in df.select(col).distinct().orderBy(col).collect()]
 
 
+PROBE1 = f"""{EMB}, p AS (SELECT cell_id, sum(x) FILTER (d = 1) AS z, sum(x) FILTER (d IN (1, 41)) AS u0, sum(x) FILTER (d = 42) AS u1 FROM embl GROUP BY 1),
+  g AS (SELECT sum(z * z) + 1e-3 AS a, sum(z) AS b, count(*) + 1e-3 AS c, sum(z * u0) AS p0, sum(u0) AS q0, sum(z * u1) AS p1, sum(u1) AS q1 FROM p),
+  w AS (SELECT (c * p0 - b * q0) / (a * c - b * b) AS w0, (a * q0 - b * p0) / (a * c - b * b) AS b0, (c * p1 - b * q1) / (a * c - b * b) AS w1, (a * q1 - b * p1) / (a * c - b * b) AS b1 FROM g)
+  SELECT {rd('(1 - sum((u0 - w0 * z - b0) * (u0 - w0 * z - b0)) / (var_pop(u0) * count(*)) + 1 - sum((u1 - w1 * z - b1) * (u1 - w1 * z - b1)) / (var_pop(u1) * count(*))) / 2')} AS probe_r2 FROM p, w"""
+
+
+@query("M20_linear_probe_r2_scalar", f"WITH {PROBE1}")
+def m20s(spark, d):
+    e = roles.cell_embeddings(spark, d).withColumn("u0", F.col("emb")[40] + F.col("emb")[0]).withColumn("u1", F.col("emb")[41])
+    return L.probe_r2(e, [], F.slice("emb", 1, 1), ["u0", "u1"]).select(r("probe_r2", "probe_r2"))
+
+
+SEP1 = f"""{EMB}, z AS (SELECT cell_id, construct, sum(x) FILTER (d <= 8) AS z FROM embl GROUP BY ALL),
+  f AS (SELECT *, CAST(ntile(5) OVER (PARTITION BY construct ORDER BY md5(concat_ws('|', '0', cell_id))) - 1 AS INTEGER) AS fold FROM z),
+  k AS (SELECT DISTINCT fold FROM f), c AS (SELECT DISTINCT construct AS cls FROM f),
+  g AS (SELECT k.fold, cls, sum(z * z) + 1 AS a, sum(z) AS b, count(*) + 1 AS c, sum(z * CASE WHEN construct = cls THEN 1 ELSE -1 END) AS p, sum(CASE WHEN construct = cls THEN 1 ELSE -1 END) AS q
+    FROM k CROSS JOIN c JOIN f ON f.fold <> k.fold GROUP BY ALL),
+  w AS (SELECT fold, cls, (c * p - b * q) / (a * c - b * b) AS w, (a * q - b * p) / (a * c - b * b) AS w0 FROM g),
+  s AS (SELECT cell_id, construct, f.fold, cls, row_number() OVER (PARTITION BY cell_id ORDER BY w * z + w0 DESC, cls) AS rn FROM f JOIN w USING (fold)),
+  acc AS (SELECT fold, avg(CASE WHEN cls = construct THEN 1.0 ELSE 0 END) AS acc FROM s WHERE rn = 1 GROUP BY 1)
+  SELECT {rd('avg(acc)')} AS accuracy, count(*) AS n_folds, {rd('any_value(1.0 / n)')} AS chance FROM acc, (SELECT count(*) AS n FROM c)"""
+
+
+@query("M21_context_separability_scalar", f"WITH {SEP1}")
+def m21s(spark, d):
+    e = roles.cell_embeddings(spark, d).withColumn("z", F.array(V.vsum(F.slice("emb", 1, 8))))
+    return L.separability(e, "cell_id", "z", "construct", _classes(e, "construct")).select(r("accuracy", "accuracy"), "n_folds", r("chance", "chance"))
+
+
 @query("M21_context_separability")
 def m21(spark, d):
     e = roles.cell_embeddings(spark, d)
@@ -200,21 +229,52 @@ def l4(spark, d):
                       "selected_alpha", r("selected_r2", "selected_r2", 4), "n_finite", "tie_applied", "status", agree.alias("repeats_identical"))
 
 
-@query("L5_zero_shot_scoring")
-def l5(spark, d):
-    """Fit on one screen's training rows; score another screen (order status F) with frozen pieces."""
+ZS = f"""{SCORES}, st AS (SELECT s.*, o_orderstatus AS os FROM scores s JOIN orders ON row_key = o_orderkey),
+  f AS (SELECT regr_slope(y, pred_b) AS b1, regr_intercept(y, pred_b) AS b0 FROM st WHERE os <> 'F' AND row_key % 10 < 6)
+  SELECT row_key, {rd('b0 + b1 * pred_b')} AS prediction FROM st, f WHERE os = 'F'"""
+
+
+def _away(spark, d, feats):
+    """Scaler and model from one screen's training rows; the rows of another (order status F)."""
     from screenloom.sources.tables import read
     s = split_scores(spark, d)
     st = read(spark, d, "orders", ["o_orderkey", "o_orderstatus"]).withColumnRenamed("o_orderkey", "row_key")
     s = s.join(st, "row_key")
     home = s.where("o_orderstatus <> 'F'")
-    feats = ["pred_a", "pred_b"]
     stats = durable(X.fit_scaler(home, feats))
     model = L.fit_linear(X.apply_scaler(home.where("split = 'train'"), stats, feats), feats, "y")
-    away = E.zero_shot(model, stats, s.where("o_orderstatus = 'F'"), feats)
+    return E.zero_shot(model, stats, s.where("o_orderstatus = 'F'"), feats)
+
+
+@query("L5_zero_shot_one_feature", f"WITH {ZS}")
+def l5one(spark, d):
+    return _away(spark, d, ["pred_b"]).select("row_key", r("prediction", "prediction"))
+
+
+@query("L5_zero_shot_scoring")
+def l5(spark, d):
+    away = _away(spark, d, ["pred_a", "pred_b"])
     return M.spearman(away, ["context"], {"rho": ("prediction", "y")}).select("context", r("rho", "rho", 4))
 
 
+LIN = f"""{SCORES}, fe AS (SELECT row_key, row_key % 10 AS m, y, 'a' AS arm, pred_a AS x FROM scores UNION ALL SELECT row_key, row_key % 10, y, 'b', pred_b FROM scores),
+  t AS (SELECT arm, avg(x) mx, avg(y) my, var_pop(x) * count(*) sxx, covar_pop(x, y) * count(*) sxy FROM fe WHERE m < 6 GROUP BY 1),
+  fm AS (SELECT * FROM (VALUES ('ols', 0.0), ('ridge', 1000.0)) v(family, al)),
+  pr AS (SELECT arm, family, m, y, my + sxy / (sxx + al) * (x - mx) AS p FROM fe JOIN t USING (arm), fm WHERE m >= 6),
+  vr AS (SELECT arm, family, {R2.format(p='p')} AS r2 FROM pr WHERE m < 8 GROUP BY ALL),
+  ch AS (SELECT arm, family FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY r2 DESC, family) AS rn FROM vr) WHERE rn = 1)
+  SELECT arm, family, {rd(R2.format(p='p'))} AS r2_mean, CAST(1 AS BIGINT) AS n_seeds FROM pr JOIN ch USING (arm, family) WHERE m >= 8 GROUP BY ALL"""
+
+
+@query("L3_linear_sweep_select_freeze_test", f"WITH {LIN}")
+def l3lin(spark, d):
+    rows = split_scores(spark, d)
+    fams = {"ols": lambda t, f, y, seed: L.fit_linear(t, f, y), "ridge": lambda t, f, y, seed: L.fit_linear(t, f, y, alpha=1000.0)}
+    s = durable(E.sweep(rows, {"a": ["pred_a"], "b": ["pred_b"]}, fams, [0], "row_key", "y"))
+    frozen = E.freeze(E.validation_table(s.where("split = 'val'")))
+    return E.test_table(frozen, s).select("arm", "family", r("r2_mean", "r2_mean"), "n_seeds")
+
+
 @query("L7_reproduction_gate", f"""WITH {SCORES}, m AS (SELECT 'pred_' || CASE WHEN k = 0 THEN 'a' ELSE 'b' END AS item, seed, {R2.format(p='p')} AS r2 FROM (
     SELECT 0 AS k, 0 AS seed, y, pred_a AS p FROM scores UNION ALL SELECT 1, row_key % 3, y, pred_b FROM scores) GROUP BY ALL),
   a AS (SELECT item, avg(r2) AS mean, stddev_samp(r2) AS sd, min(r2) AS lo, max(r2) AS hi, count(*) AS k FROM m GROUP BY 1),

@@ -69,6 +69,15 @@ def j12(spark, d):
     return P.tier_counts(cascade(spark, d))
 
 
+@query("J11_nearest_vector_pairs", f"""WITH {EMB}, dd AS (SELECT a.batch AS ctx_a, b.batch AS ctx_b, a.cell_id AS row_a, b.cell_id AS row_b, sum((a.x - b.x) * (a.x - b.x)) AS d2
+    FROM embl a JOIN embl b ON a.d = b.d AND a.batch < b.batch GROUP BY ALL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY ctx_a, ctx_b, row_a ORDER BY d2, row_b) AS rn FROM dd)
+  SELECT ctx_a, ctx_b, row_a, row_b, {rd('d2')} AS d2 FROM o WHERE rn <= 2""")
+def j11v(spark, d):
+    out = K.nearest(roles.cell_embeddings(spark, d), "batch", "cell_id", "emb", k=2)
+    return out.select("ctx_a", "ctx_b", "row_a", "row_b", r("d2", "d2"))
+
+
 RC = f"""{CTX}, vl AS (SELECT p.*, a.pred_b AS a, b.pred_b AS b FROM allp p JOIN cx a ON a.row_key = row_a JOIN cx b ON b.row_key = row_b),
   rk AS (SELECT *, {avg_rank('a', 'ctx_a, ctx_b, tier')} AS ra, {avg_rank('b', 'ctx_a, ctx_b, tier')} AS rb FROM vl),
   pc AS (SELECT ctx_a, ctx_b, tier, weight, {pear('ra', 'rb')} AS rho FROM rk GROUP BY ALL)"""

@@ -36,7 +36,7 @@ def s6(spark, d):
     return spark.read.schema("context bigint, r2 double").json(path)
 
 
-@query("S7_variant_guard")
+@query("S7_variant_guard", "SELECT 2 AS n_refused, 'variants/delta_hvg' AS resolved, count(*) AS n_cells FROM orders")
 def s7(spark, d):
     """Forbidden requests are refused before any read; the allowed one resolves."""
     refused = 0

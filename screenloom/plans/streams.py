@@ -76,7 +76,7 @@ def t5(spark, d):
     return A.read_state(spark, state, ["construct"]).join(sub, "construct", "left").select("construct", "n", r("s", "s"), "n_subset")
 
 
-@query("T6_progress_rate")
+@query("T6_progress_rate", "SELECT CAST(count(*) AS BIGINT) AS n_state, count(*) AS n_reported, true AS has_rate FROM events")
 def t6(spark, d):
     state, ckpt, _ = _paths(spark)
     q = _run(_cells(spark, d), state, ckpt)

@@ -244,6 +244,25 @@ def test_nearest_pairs_equal_all_distances(spark, k):
             assert got[i] == set((40 + np.argsort(abs(u[i] - u[40:]), kind="stable")[:k]).tolist())
 
 
+def test_nearest_vectors_across_blocks(spark):
+    x = {c: RNG.normal(size=(n, 3)) for c, n in ((0, 21), (1, 34))}
+    df = spark.createDataFrame([(c, c * 100 + i, v.tolist()) for c, m in x.items() for i, v in enumerate(m)], "c int, k int, v array<double>")
+    got = {}
+    for r in K.nearest(df, "c", "k", "v", k=3, size=8).collect():
+        got.setdefault(r["row_a"], set()).add(r["row_b"])
+    d = brute.sqdist(x[0], x[1])
+    assert got == {i: set((100 + np.argsort(d[i])[:3]).tolist()) for i in range(21)}
+
+
+def test_hot_cluster_is_cut_without_changing_the_result(spark, monkeypatch):
+    n = 120
+    df = frame(spark, ["c", "y", "p"], c=[0] * 80 + list(range(1, 41)), y=RNG.normal(size=n), p=RNG.normal(size=n))
+    whole = sorted(B.cluster_bootstrap_rho(df, "c", "y", {"o": ["p"]}, 3, 1).collect())
+    monkeypatch.setattr(B, "PART_ROWS", 10)
+    cut = sorted(B.cluster_bootstrap_rho(df, "c", "y", {"o": ["p"]}, 3, 1).collect())
+    assert [r["o"] for r in cut] == pytest.approx([r["o"] for r in whole])
+
+
 @pytest.mark.parametrize("size", [1024, 7])
 def test_mmd_equals_direct_kernel(spark, size):
     x = {c: RNG.normal(c / 3, 1, (n, 5)) for c, n in ((0, 20), (1, 31), (2, 11))}

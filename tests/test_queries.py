@@ -21,7 +21,8 @@ def test_against_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
+    """Fits need more groups than the smallest tables have."""
+    assert QUERIES[name](spark, FOLDER.replace("sf0.001", "sf0.01")).count() > 0
 
 
 def test_entry(spark):
