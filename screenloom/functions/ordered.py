@@ -118,10 +118,10 @@ def average_rank(
     if fits(bound if bound is not None else df, keys, limit):
         out = df
         for name, v in values.items():
-            lead = F.rank().over(_part(keys).orderBy(v))
-            same = F.count(F.lit(1)).over(
-                Window.partitionBy(*keys, v) if keys else Window.partitionBy(F.lit(0), v)
-            )
+            # ties come from a peer frame of the same ordering, so each column is sorted once
+            w = _part(keys).orderBy(v)
+            lead = F.rank().over(w)
+            same = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
             out = out.withColumn(name, lead + (same - 1) / F.lit(2.0))
         return out
     out = df
@@ -145,10 +145,10 @@ def average_rank(
 def weighted_rank(df, keys, value, weight, name, limit=GROUP_LIMIT, bound=None) -> DataFrame:
     """Average-tie rank of ``value`` when each row stands for ``weight`` equal rows."""
     if fits(bound if bound is not None else df, keys, limit):
-        below = _part(keys).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        ties = Window.partitionBy(*keys, value) if keys else Window.partitionBy(F.lit(0), value)
-        tie = F.sum(weight).over(ties)
-        return df.withColumn(name, F.sum(weight).over(below) - tie + (tie + 1) / F.lit(2.0))
+        w = _part(keys).orderBy(value)
+        upto = F.sum(weight).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        tie = F.sum(weight).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+        return df.withColumn(name, upto - tie + (tie + 1) / F.lit(2.0))
     ties = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
     ranks = running(ties, keys, [value], ["_w"], limit)
     ranks = ranks.select(
