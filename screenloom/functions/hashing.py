@@ -23,6 +23,12 @@ def uniform(seed, *keys) -> Column:
     return _unit(_digest(seed, keys), 1)
 
 
+def four_uniforms(seed, *keys) -> list[Column]:
+    """Four independent uniforms from the four words of one digest."""
+    d = _digest(seed, keys)
+    return [_unit(d, 1 + 8 * i) for i in range(4)]
+
+
 def order_key(seed, *keys) -> Column:
     """A string whose order is a keyed random permutation; 128 bits, so ties do not occur."""
     return _digest(seed, keys)

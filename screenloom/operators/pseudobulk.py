@@ -8,6 +8,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
+from screenloom.functions.sizes import small
+
 
 def group_sums(values: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """keys, gene_idx, s: the one pass over the stored values.
@@ -35,13 +37,27 @@ def group_mean(values: DataFrame, cells: DataFrame, sizes: DataFrame, keys: list
     )
 
 
+SALT = 64
+
+
+def _every_gene(groups: DataFrame, baseline: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """Each group with its baseline's genes.  A join on the baseline's few keys alone would write a
+    hot batch's groups x genes from one task: a measured small baseline is broadcast to where the
+    groups are, a larger one is repeated per salt and the groups spread over the salts."""
+    if small(baseline):
+        return groups.join(F.broadcast(baseline), on)
+    left = groups.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALT)).cast("int"))
+    right = baseline.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
 def delta(profile: DataFrame, sizes: DataFrame, baseline: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
     """``mean - baseline`` for every gene that either side has.
 
     Profile rows and negated baseline rows are stacked and summed: one shuffle on (group, gene)
     does the full outer join, and no group is pulled onto the baseline's few keys.
     """
-    minus = sizes.select(*keys).join(baseline, on).select(
+    minus = _every_gene(sizes.select(*keys), baseline, keys, on).select(
         *keys, "gene_idx", (-F.col("mean")).alias("part")
     )
     stacked = profile.select(*keys, "gene_idx", F.col("mean").alias("part")).unionByName(minus)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from screenloom.functions import stats as S
-from screenloom.functions.hashing import order_key, uniform
+from screenloom.functions.hashing import four_uniforms, order_key
 from screenloom.functions.ordered import GROUP_LIMIT, ordinal, weighted_rank
 from screenloom.functions.sizes import BROADCAST_ROWS
 
@@ -17,11 +17,12 @@ def _draws(spark, n: int, reps: int, seed) -> DataFrame:
     """(rep, hit): draw ``t`` of replicate ``rep`` hits item floor(u * n), for t = 0..n-1.
 
     Draws are numbered, not taken from the items, so they spread over all cores whatever the
-    layout of the data; only the count n comes from it."""
-    u = uniform(seed, F.col("rep"), F.col("id"))
-    return spark.range(n).select("id", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select(
-        "rep", F.floor(u * F.lit(float(n))).cast("bigint").alias("hit")
-    )
+    layout of the data; only the count n comes from it.  One digest serves four replicates."""
+    fours = spark.range(n).select("id", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 4))).alias("four"))
+    words = F.array(*four_uniforms(seed, F.col("four"), F.col("id")))
+    return fours.select("four", F.posexplode(words).alias("word", "u")).select(
+        (F.col("four") * 4 + F.col("word") + 1).alias("rep"), F.floor(F.col("u") * F.lit(float(n))).cast("bigint").alias("hit")
+    ).where(F.col("rep") <= reps)
 
 
 def summarize(deltas: DataFrame, value="delta", keys: list[str] = []) -> DataFrame:

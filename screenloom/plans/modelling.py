@@ -266,15 +266,30 @@ LIN = f"""{SCORES}, fe AS (SELECT row_key, row_key % 10 AS m, y, 'a' AS arm, pre
   SELECT arm, family, {rd(R2.format(p='p'))} AS r2_mean, CAST(1 AS BIGINT) AS n_seeds FROM pr JOIN ch USING (arm, family) WHERE m >= 8 GROUP BY ALL"""
 
 
-@query("L3_linear_sweep_select_freeze_test", f"WITH {LIN}")
-def l3lin(spark, d):
+def _linear_sweep(spark, d):
     rows = split_scores(spark, d)
     fams = {"ols": lambda t, f, y, seed: L.fit_linear(t, f, y), "ridge": lambda t, f, y, seed: L.fit_linear(t, f, y, alpha=1000.0)}
     s = durable(E.sweep(rows, {"a": ["pred_a"], "b": ["pred_b"]}, fams, [0], "row_key", "y"))
-    frozen = E.freeze(E.validation_table(s.where("split = 'val'")))
+    return s, E.freeze(E.validation_table(s.where("split = 'val'")))
+
+
+@query("L3_linear_sweep_select_freeze_test", f"WITH {LIN}")
+def l3lin(spark, d):
+    s, frozen = _linear_sweep(spark, d)
     return E.test_table(frozen, s).select("arm", "family", r("r2_mean", "r2_mean"), "n_seeds")
 
 
+@query("Q14_freeze_before_test", f"""WITH {LIN.split('  SELECT arm, family, ')[0]} SELECT 'freeze_before_test' AS check_name, count(*) FILTER (n <> 1) AS n_bad, count(*) FILTER (n <> 1) = 0 AS pass
+  FROM (SELECT arm, count(*) AS n FROM ch GROUP BY 1)""")
+def q14(spark, d):
+    """Every tested (arm, family) is the frozen one, and every frozen one is tested."""
+    from screenloom.operators.audit import key_sets
+    s, frozen = _linear_sweep(spark, d)
+    tested = E.test_table(frozen, s).select("arm", "family")
+    chosen = frozen.table.select("arm", F.col("selected").alias("family"))
+    return key_sets(chosen, tested, ["arm", "family"], "freeze_before_test").select("check_name", "n_bad", "pass")
+
+
 @query("L7_reproduction_gate", f"""WITH {SCORES}, m AS (SELECT 'pred_' || CASE WHEN k = 0 THEN 'a' ELSE 'b' END AS item, seed, {R2.format(p='p')} AS r2 FROM (
     SELECT 0 AS k, 0 AS seed, y, pred_a AS p FROM scores UNION ALL SELECT 1, row_key % 3, y, pred_b FROM scores) GROUP BY ALL),
   a AS (SELECT item, avg(r2) AS mean, stddev_samp(r2) AS sd, min(r2) AS lo, max(r2) AS hi, count(*) AS k FROM m GROUP BY 1),

@@ -58,6 +58,14 @@ def unit(seed, *keys: str, start: int = 1) -> str:
     return f"(CAST('0x' || substr(md5(concat_ws('|', {parts})), {start}, 8) AS BIGINT) / 4294967296.0)"
 
 
+def draw(seed, t: str, rep: str = "rep") -> str:
+    """Uniform number of draw ``t`` in replicate ``rep``: word (rep - 1) % 4 of the digest of its four."""
+    return (
+        f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', ({rep} - 1) // 4, {t})), CAST(({rep} - 1) % 4 * 8 + 1 AS BIGINT), 8) AS BIGINT)"
+        " / 4294967296.0)"
+    )
+
+
 def digest(seed, *keys: str) -> str:
     return f"md5(concat_ws('|', '{seed}', {', '.join(keys)}))"
 

@@ -72,6 +72,16 @@ def test_delta_has_genes_of_either_side(spark):
     assert got == {0: 1.5, 1: -1.5}
 
 
+def test_large_baseline_is_salted_not_broadcast(spark, monkeypatch):
+    prof = spark.createDataFrame([("b", f"A{i}", 0, 2.0) for i in range(9)], "batch string, target string, gene_idx int, mean double")
+    base = spark.createDataFrame([("b", g, 0.5) for g in range(5)], "batch string, gene_idx int, mean double")
+    sizes = prof.select("batch", "target").withColumn("n_cells", F.lit(10))
+    whole = sorted(PB.delta(prof, sizes, base, ["batch", "target"], ["batch"]).collect())
+    monkeypatch.setattr(PB, "small", lambda df: False)
+    salted = PB.delta(prof, sizes, base, ["batch", "target"], ["batch"])
+    assert sorted(salted.collect()) == whole and len(whole) == 45
+
+
 def test_magnitude_norm_is_not_divided(spark):
     row = spark.createDataFrame([([1.0, 2.0, 3.0],)], "x array<double>").select(*V.magnitude("x")).first()
     assert row["l2"] == pytest.approx(math.sqrt(14)) and row["sd"] == pytest.approx(np.std([1, 2, 3]))
