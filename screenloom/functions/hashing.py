@@ -35,8 +35,17 @@ def order_key(seed, *keys) -> Column:
 
 
 def normal(seed, *keys) -> Column:
-    """Standard normal by Box-Muller from two halves of one digest."""
-    d = _digest(seed, keys)
+    return _box_muller(_digest(seed, keys))
+
+
+def normals(seed, key: Column, dim: int) -> Column:
+    """Vector of standard normals; each element's digest is made once and then used twice."""
+    digests = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: _digest(seed, [key, i]))
+    return F.transform(digests, _box_muller)
+
+
+def _box_muller(d: Column) -> Column:
+    """Standard normal from two words of one digest."""
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - _unit(d, 1))) * F.cos(
         F.lit(2.0 * math.pi) * _unit(d, 9)
     )

@@ -137,6 +137,15 @@ def digest(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
+def portable_digest(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Order-free digest that any engine with MD5 can repeat; for columns whose text form is the same
+    everywhere (integers, strings)."""
+    word = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols])), 1, 8), 16, 10).cast("bigint")
+    return df.select(word.alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.bit_xor("h").alias("hash_xor")
+    )
+
+
 def repeats_agree(df: DataFrame, keys: list[str], value: str, name="repeats_agree") -> DataFrame:
     per = df.groupBy(*keys).agg(F.count_distinct(value).alias("k"), F.count_if(F.col(value).isNull()).alias("nulls"), F.count(F.lit(1)).alias("n"))
     return check(per, name, (F.col("k") > 1) | ((F.col("nulls") > 0) & (F.col("nulls") < F.col("n"))))

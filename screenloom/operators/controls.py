@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from screenloom.functions.hashing import normal, order_key
+from screenloom.functions.hashing import normal, normals, order_key
 from screenloom.functions.ordered import GROUP_LIMIT, ordinal
 
 # The stream number added to a control's seed for each split or screen.
@@ -26,8 +26,7 @@ def split_seed(seed: int, split="split") -> Column:
 
 def noise(key: str, dim: int, seed: int, split="split") -> Column:
     """A vector of independent standard normals per row."""
-    s = split_seed(seed, split)
-    return F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: normal(s, F.col(key), i))
+    return normals(split_seed(seed, split), F.col(key), dim)
 
 
 def projection_matrix(spark, x_dim: int, out_dim: int, seed: int = SEEDS["C2"]):

@@ -125,12 +125,12 @@ def s3(spark, d):
     return read_list(spark, path, "target string, eligible boolean", "eligible").select("target").distinct()
 
 
-@query("S4_flat_columns_to_vector", """SELECT vec_id, """ + rd("list_sum(list_transform(embedding[1:12], lambda x: CAST(x AS DOUBLE)))") +
+@query("S4_flat_columns_to_vector", """SELECT vec_id, """ + rd("list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))") +
        """ AS total, """ + rd("CAST(embedding[11] AS DOUBLE)") + """ AS eleventh FROM embeddings""")
 def s4(spark, d):
     from screenloom.sources.tables import pack_columns, read
     e = read(spark, d, "embeddings")
-    flat = e.select("vec_id", *[F.col("embedding")[i].alias(f"gf_z_emb_{i}") for i in range(12)])
+    flat = e.select("vec_id", *[F.col("embedding")[i].alias(f"gf_z_emb_{i}") for i in range(64)])
     packed = pack_columns(flat, r"gf_z_emb_\d+", "z", ["vec_id"])
     return packed.select("vec_id", r(V.vsum("z"), "total"), r(F.col("z")[10], "eleventh"))
 

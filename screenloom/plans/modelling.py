@@ -15,14 +15,14 @@ from screenloom.plans.sqltext import CELLS, EMB, SCORES, rd
 from screenloom.sources import roles
 from screenloom.session import durable
 
-COV = f"""{EMB}, half AS (SELECT batch, cell_id, d, x FROM embl WHERE d <= 32),
+COV = f"""{EMB}, half AS (SELECT batch, cell_id, d, x FROM embl),
   c AS (SELECT a.batch, a.d AS i, b.d AS j, covar_samp(a.x, b.x) AS c, covar_pop(a.x, b.x) * count(*) AS s FROM half a JOIN half b USING (batch, cell_id) GROUP BY ALL)"""
 
 
-@query("A15_cross_covariance_penalty", f"""WITH {COV} SELECT batch, {rd('sum(CASE WHEN i <= 16 AND j > 16 THEN c * c END) / (sqrt(sum(CASE WHEN i <= 16 AND j <= 16 THEN c * c END)) * sqrt(sum(CASE WHEN i > 16 AND j > 16 THEN c * c END)) + 1e-8)')} AS penalty FROM c GROUP BY 1""")
+@query("A15_cross_covariance_penalty", f"""WITH {COV} SELECT batch, {rd('sum(CASE WHEN i <= 32 AND j > 32 THEN c * c END) / (sqrt(sum(CASE WHEN i <= 32 AND j <= 32 THEN c * c END)) * sqrt(sum(CASE WHEN i > 32 AND j > 32 THEN c * c END)) + 1e-8)')} AS penalty FROM c GROUP BY 1""")
 def a15(spark, d):
-    g = L.gram(roles.cell_embeddings(spark, d), ["batch"], F.slice("emb", 1, 32))
-    return L.covariance_penalty(g, ["batch"], 16, 32).select("batch", r("penalty", "penalty"))
+    g = L.gram(roles.cell_embeddings(spark, d), ["batch"], F.col("emb"))
+    return L.covariance_penalty(g, ["batch"], 32, 64).select("batch", r("penalty", "penalty"))
 
 
 @query("A16_gram", f"""WITH {EMB}, y AS (SELECT cell_id, CAST(substr(construct, 2) AS DOUBLE) AS y FROM emb),
@@ -35,10 +35,10 @@ def a16(spark, d):
     return g.where("i < 64 AND (j < 64 OR j = 65)").select("i", "j", r("s", "s"))
 
 
-@query("M15_linear_cka", f"""WITH {COV} SELECT batch, {rd('sum(CASE WHEN i <= 16 AND j > 16 THEN s * s END) / (sqrt(sum(CASE WHEN i <= 16 AND j <= 16 THEN s * s END)) * sqrt(sum(CASE WHEN i > 16 AND j > 16 THEN s * s END)))')} AS linear_cka FROM c GROUP BY 1""")
+@query("M15_linear_cka", f"""WITH {COV} SELECT batch, {rd('sum(CASE WHEN i <= 32 AND j > 32 THEN s * s END) / (sqrt(sum(CASE WHEN i <= 32 AND j <= 32 THEN s * s END)) * sqrt(sum(CASE WHEN i > 32 AND j > 32 THEN s * s END)))')} AS linear_cka FROM c GROUP BY 1""")
 def m15(spark, d):
-    g = L.gram(roles.cell_embeddings(spark, d), ["batch"], F.slice("emb", 1, 32))
-    return L.linear_cka(g, ["batch"], 16, 32).select("batch", r("linear_cka", "linear_cka"))
+    g = L.gram(roles.cell_embeddings(spark, d), ["batch"], F.col("emb"))
+    return L.linear_cka(g, ["batch"], 32, 64).select("batch", r("linear_cka", "linear_cka"))
 
 
 def _probe(spark, d):
@@ -111,17 +111,17 @@ def m22(spark, d):
 @query("M26_composite_objective", f"""WITH {MMD}, {SOFT[len(EMB) + 2:]}, {COV[len(EMB) + 2:]},
   e AS (SELECT avg((x - y) * (x - y)) AS l_pred FROM (SELECT cell_id, x FROM embl WHERE d = 1) a JOIN (SELECT cell_id, x AS y FROM embl WHERE d = 2) b USING (cell_id)),
   pooled AS (SELECT a.d AS i, b.d AS j, covar_samp(a.x, b.x) AS c FROM half a JOIN half b USING (cell_id) GROUP BY ALL),
-  s AS (SELECT sum(CASE WHEN i <= 16 AND j > 16 THEN c * c END) / (sqrt(sum(CASE WHEN i <= 16 AND j <= 16 THEN c * c END)) * sqrt(sum(CASE WHEN i > 16 AND j > 16 THEN c * c END)) + 1e-8) AS l_sep FROM pooled),
+  s AS (SELECT sum(CASE WHEN i <= 32 AND j > 32 THEN c * c END) / (sqrt(sum(CASE WHEN i <= 32 AND j <= 32 THEN c * c END)) * sqrt(sum(CASE WHEN i > 32 AND j > 32 THEN c * c END)) + 1e-8) AS l_sep FROM pooled),
   t AS (SELECT l_pred, (SELECT avg(mmd2) FROM mm) AS l_stab, (SELECT avg(1 - rho) FROM sc) AS l_rel, l_sep FROM e, s)
   SELECT {rd('l_pred')} AS l_pred, {rd('l_stab')} AS l_stab, {rd('l_rel')} AS l_rel, {rd('l_sep')} AS l_sep, CAST(0 AS DOUBLE) AS l_off,
          {rd('l_pred + 0.5 * l_stab + 0.1 * l_rel + 0.2 * l_sep')} AS total FROM t""")
 def m26(spark, d):
     e = roles.cell_embeddings(spark, d)
-    g = L.gram(e, [], F.slice("emb", 1, 32))
+    g = L.gram(e, [], F.col("emb"))
     out = E.objective(spark, {
         "l_pred": e.agg(S.mse(F.col("emb")[0], F.col("emb")[1]).alias("v")),
         "l_stab": K.mean_mmd2(e, "batch", "cell_id", "emb").select("mean_mmd2"),
-        "l_rel": soft_loss(spark, d).select("loss"), "l_sep": L.covariance_penalty(g, [], 16, 32).select("penalty"), "l_off": None,
+        "l_rel": soft_loss(spark, d).select("loss"), "l_sep": L.covariance_penalty(g, [], 32, 64).select("penalty"), "l_off": None,
     }, {"l_stab": 0.5, "l_rel": 0.1, "l_sep": 0.2, "l_off": 3.0})
     return out.select(*[r(c, c) for c in ("l_pred", "l_stab", "l_rel", "l_sep", "l_off", "total")])
 
@@ -219,10 +219,10 @@ def l4(spark, d):
     from screenloom.operators.audit import repeats_agree
     e = emb_rows(spark, d).select("*", *V.magnitude("emb"))
     e = C.project(e, "emb", C.projection_matrix(spark, 64, 16), "c2")
-    e = e.join(C.shuffled(e.select("split", "cell_id", F.slice("emb", 1, 32).alias("c3")), "cell_id", ["c3"], C.SEEDS["C3"]).select("cell_id", "c3"), "cell_id")
+    e = e.join(C.shuffled(e.select("split", "cell_id", F.col("emb").alias("c3")), "cell_id", ["c3"], C.SEEDS["C3"]).select("cell_id", "c3"), "cell_id")
     e = durable(e)
-    arms = {"z": F.slice("emb", 1, 32), "ceiling_x": F.transform("emb", lambda v: F.abs(v)), "C2": F.col("c2"), "C3": F.col("c3")}
-    grid = durable(E.probe_grid(e.where("split = 'train'"), e.where("split = 'val'"), arms, {"z": 32, "ceiling_x": 64, "C2": 16, "C3": 32}, MAG, repeats=2))
+    arms = {"z": F.col("emb"), "ceiling_x": F.transform("emb", lambda v: F.abs(v)), "C2": F.col("c2"), "C3": F.col("c3")}
+    grid = durable(E.probe_grid(e.where("split = 'train'"), e.where("split = 'val'"), arms, {"z": 64, "ceiling_x": 64, "C2": 16, "C3": 64}, MAG, repeats=2))
     agree = repeats_agree(grid.withColumn("r2", F.round("r2", 9)), ["arm", "target", "alpha"], "r2").select("pass").scalar()
     sel = M.select_alpha(grid.where("repeat = 1"), ["arm", "target"])
     return sel.select("arm", F.element_at(F.array(*[F.lit(m) for m in MAG]), F.col("target") + 1).alias("component"),

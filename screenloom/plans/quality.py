@@ -165,7 +165,7 @@ def q6(spark, d):
     return roles.cells(spark, d).where(F.col("split").isin(splits)).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("Q7_partition_completeness", "SELECT 'covers_once' AS check_name, CAST(0 AS BIGINT) AS n_bad, true AS pass FROM (SELECT count(*) FROM orders)")
+@query("Q7_partition_completeness", "SELECT 'covers_once' AS check_name, count(*) FILTER (n <> 1) AS n_bad, count(*) FILTER (n <> 1) = 0 AS pass FROM (SELECT o_orderkey, count(*) AS n FROM orders GROUP BY 1)")
 def q7(spark, d):
     o = read(spark, d, "orders", ["o_orderkey"])
     units = [o.where(F.col("o_orderkey") % 3 == i) for i in range(3)]
@@ -216,6 +216,13 @@ def q11(spark, d):
     return Q.digest(read(spark, d, "orders", ["o_orderkey", "o_custkey", "o_totalprice"]), ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
+@query("Q11_portable_digest", """WITH h AS (SELECT CAST('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)), 1, 8) AS BIGINT) AS h FROM orders)
+  SELECT count(*) AS n, CAST(sum(h) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM h""")
+def q11p(spark, d):
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    return Q.portable_digest(read(spark, d, "orders", cols), cols)
+
+
 @query("Q12_repeat_determinism", "SELECT 'repeats_agree' AS check_name, CAST(0 AS BIGINT) AS n_bad, true AS pass FROM (SELECT count(*) FROM orders)")
 def q12(spark, d):
     o = read(spark, d, "orders", ["o_orderkey", "o_custkey"])
