@@ -236,7 +236,7 @@ def p10(spark, d):
   FROM mag, t GROUP BY split""")
 def p11(spark, d):
     # rounded so that a train minimum is not outside its own range by the last bit of a second pass
-    m = magnitude_rows(Screen(spark, d)).select(*KEYS, *[F.round(c, 9).alias(c) for c in MAG])
+    m = durable(magnitude_rows(Screen(spark, d)).select(*KEYS, *[F.round(c, 9).alias(c) for c in MAG]))
     return X.out_of_range(m, MAG)
 
 
@@ -379,7 +379,8 @@ def a9(spark, d):
   SELECT split, batch, target, {rd('(mean_abs - m1) / s1')} AS mean_abs, {rd('(l2 - m2) / s2')} AS l2,
          {rd('(max_abs - m3) / s3')} AS max_abs, {rd('(sd - m4) / s4')} AS sd FROM mag, p""")
 def a10(spark, d):
-    m = magnitude_rows(Screen(spark, d))
+    # fitted and applied: the groups x genes table behind it is reduced once
+    m = durable(magnitude_rows(Screen(spark, d)))
     return X.apply_scaler(m, X.fit_scaler(m, MAG), MAG).select(*KEYS, *[r(c, c) for c in MAG])
 
 

@@ -150,7 +150,7 @@ def l1r(spark, d):
 
 
 def _mag_model_rows(spark, d):
-    rows = labelled(spark, d)
+    rows = durable(labelled(spark, d))
     stats = X.fit_scaler(rows, [*MAG, "log_n"])
     return durable(X.apply_scaler(rows, stats, [*MAG, "log_n"]).withColumn("key", F.concat_ws("|", *KEYS)))
 
@@ -160,7 +160,7 @@ def _mag_model_rows(spark, d):
   SELECT split, {rd(R2.format(p='pm'))} AS max_r2, {rd(R2.format(p='pc'))} AS count_r2 FROM p WHERE split <> 'train' GROUP BY 1""")
 def l6(spark, d):
     """One-feature closed forms on unscaled features: scaling does not change their predictions."""
-    lab = labelled(spark, d)
+    lab = durable(labelled(spark, d))
     f = lab.where("split = 'train'").agg(
         F.regr_slope("y", "max_abs").alias("a1"), F.regr_intercept("y", "max_abs").alias("a0"),
         F.regr_slope("y", "log_n").alias("c1"), F.regr_intercept("y", "log_n").alias("c0"))

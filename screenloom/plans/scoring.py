@@ -9,6 +9,7 @@ from screenloom.operators import endpoint as E, features as X, metrics as M
 from screenloom.plans.build import KEYS, MAG, MAGROWS, Screen, magnitude_rows
 from screenloom.plans.registry import query, r
 from screenloom.plans.sqltext import CELLS, EMB, FULL, NCTRL, SCORES, SCREEN, SIZES, digest, rd
+from screenloom.session import durable
 from screenloom.sources import roles
 
 PEAR = "CASE WHEN var_pop({a}) * var_pop({b}) > 0 THEN covar_pop({a}, {b}) / sqrt(var_pop({a}) * var_pop({b})) END"
@@ -309,7 +310,7 @@ def m7(spark, d):
   k AS (SELECT split, stratum, feature, {avg_rank('v', 'split, stratum, feature')} AS rv, {avg_rank('y', 'split, stratum, feature')} AS ry FROM l)
   SELECT split, stratum, feature, count(*) AS n, {rd(pear('rv', 'ry'))} AS rho FROM k GROUP BY ALL""")
 def m8(spark, d):
-    t = rounded(labelled(spark, d))
+    t = durable(rounded(labelled(spark, d)))
     t = t.join(X.quantile_edges(t, "n_cells", PROBS, ["split"]), "split").withColumn("stratum", X.bin_index("n_cells", F.col("edges")))
     long = t.select("split", "stratum", "y", *MAG).unpivot(["split", "stratum", "y"], MAG, "feature", "v")
     keys = ["split", "stratum", "feature"]
