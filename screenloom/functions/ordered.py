@@ -24,7 +24,10 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 
 
 def fits(df: DataFrame, keys: list[str], limit: int | None) -> bool:
-    """True when every group of ``df`` has at most ``limit`` rows; ``None`` states a known bound."""
+    """True when every group of ``df`` has at most ``limit`` rows.  ``None`` states that they do, 0
+    that they do not; neither costs a count."""
+    if limit == 0:
+        return False
     return limit is None or largest_group(df, keys) <= limit
 
 

@@ -32,6 +32,7 @@ def pack(df: DataFrame, context: str, key: str, vec: str, size: int = BLOCK) ->
     hashing them spreads any context evenly over its blocks."""
     per = df.groupBy(F.col(context).alias("ctx")).agg(F.count(F.lit(1)).alias("n_ctx"))
     per = per.withColumn("nb", F.ceil(F.col("n_ctx") / F.lit(size)).cast("bigint"))
+    # one row per context
     w = Window.partitionBy(F.lit(0)).orderBy("ctx")
     per = per.withColumn("off", F.sum("nb").over(w) - F.col("nb"))
     rows = df.select(F.col(context).alias("ctx"), F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).join(per, "ctx")

@@ -130,8 +130,8 @@ def s3(spark, d):
 def s4(spark, d):
     from screenloom.sources.tables import pack_columns, read
     e = read(spark, d, "embeddings")
-    flat = e.select("vec_id", *[F.col("embedding")[i].alias(f"gf_z_emb_{i}") for i in range(64)])
-    packed = pack_columns(flat, r"gf_z_emb_\d+", "z", ["vec_id"])
+    flat = e.select("vec_id", *[F.col("embedding")[i].alias(f"z_emb_{i}") for i in range(64)])
+    packed = pack_columns(flat, r"z_emb_\d+", "z", ["vec_id"])
     return packed.select("vec_id", r(V.vsum("z"), "total"), r(F.col("z")[10], "eleventh"))
 
 
