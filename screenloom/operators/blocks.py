@@ -54,11 +54,11 @@ def meet(blocks: DataFrame, across: bool) -> DataFrame:
     return left.join(right, "gid").withColumnRenamed("gid", "gid_b")
 
 
-def _pooled(counts: DataFrame, value: str) -> DataFrame:
+def _pooled(counts: DataFrame, value: str, pairs: DataFrame) -> DataFrame:
     """From counts per (ctx_a, ctx_b) to counts per unordered context pair of pooled rows: within
-    the one, within the other, and between."""
+    the one, within the other, and between.  ``pairs`` lists all pairs: a sweep over few bins may
+    have counts for one part of a pair only."""
     cross = counts.where("ctx_a < ctx_b").select(F.col("ctx_a").alias("pa"), F.col("ctx_b").alias("pb"), "code", value, "n")
-    pairs = context_pairs(counts.select(F.col("ctx_a").alias("c")), "c").select(F.col("ctx_a").alias("pa"), F.col("ctx_b").alias("pb"))
     own = counts.where("ctx_a = ctx_b").select(F.col("ctx_a").alias("c"), "code", value, "n")
     a = pairs.join(own.withColumnRenamed("c", "pa"), "pa").select("pa", "pb", "code", value, "n")
     b = pairs.join(own.withColumnRenamed("c", "pb"), "pb").select("pa", "pb", "code", value, "n")
@@ -110,13 +110,13 @@ def _values(va, vb, ga, gb, top, want):
 _COUNTS = "code array<bigint>, value array<double>, n array<bigint>"
 
 
-def _sweep(met, fn, args, pooled) -> DataFrame:
+def _sweep(met, fn, args, pairs) -> DataFrame:
     """pa, pb, code, value, n: what ``fn`` counts over all block pairs."""
     h = met.select("ctx_a", "ctx_b", pandas_udf(fn, _COUNTS)("vecs_a", "vecs_b", "gid_a", "gid_b", *args).alias("h"))
     long = h.select("ctx_a", "ctx_b", F.explode(F.arrays_zip("h.code", "h.value", "h.n")).alias("z")).select("ctx_a", "ctx_b", "z.*")
     long = long.groupBy("ctx_a", "ctx_b", "code", "value").agg(F.sum("n").alias("n"))
-    if pooled:
-        long = _pooled(long, "value")
+    if pairs is not None:
+        long = _pooled(long, "value", pairs)
     else:
         long = long.where("ctx_a = ctx_b").withColumnsRenamed({"ctx_a": "pa", "ctx_b": "pb"})
     return long.groupBy("pa", "pb", "code", "value").agg(F.sum("n").alias("n"))
@@ -150,17 +150,19 @@ def median_sq_distance(met: DataFrame, pooled: bool) -> DataFrame:
         F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)).alias("m")
     )
     met = met.withColumn("top", bound.select((4.0 * F.col("m") + 1e-12).alias("top")).scalar())
-    one = durable(_sweep(met, _coarse, ["top"], pooled))
+    # every context meets itself, so the first column names them all
+    pairs = durable(context_pairs(met.select(F.col("ctx_a").alias("c")), "c").withColumnsRenamed({"ctx_a": "pa", "ctx_b": "pb"})) if pooled else None
+    one = durable(_sweep(met, _coarse, ["top"], pairs))
     total = one.groupBy("pa", "pb").agg(F.sum("n").alias("t"))
     goals = total.select("pa", "pb", F.explode(F.array(
         F.struct(F.lit(0).alias("which"), F.floor((F.col("t") - 1) / 2).alias("rank")),
         F.struct(F.lit(1).alias("which"), F.floor(F.col("t") / 2).alias("rank")))).alias("g")).select("pa", "pb", "g.*")
     at = _locate(one.withColumn("outer", F.lit(0)), goals.withColumn("outer", F.lit(0)))
-    two = _sweep(_with_wanted(met, at, pooled), _fine, ["top", "want"], pooled)
+    two = _sweep(_with_wanted(met, at, pooled), _fine, ["top", "want"], pairs)
     at = at.select("pa", "pb", "which", "rank", F.col("code").alias("outer"))
     two = two.withColumn("outer", F.floor(F.col("code") / BINS))
     at2 = _locate(two, at)
-    three = _sweep(_with_wanted(met, at2, pooled), _values, ["top", "want"], pooled).withColumn("outer", F.col("code"))
+    three = _sweep(_with_wanted(met, at2, pooled), _values, ["top", "want"], pairs).withColumn("outer", F.col("code"))
     at3 = _locate(three, at2.select("pa", "pb", "which", "rank", F.col("code").alias("outer")))
     return at3.groupBy("pa", "pb").agg(F.greatest(F.avg("value"), F.lit(1e-12)).alias("med"))
 

@@ -273,9 +273,11 @@ def test_hot_cluster_is_cut_without_changing_the_result(spark, monkeypatch):
     assert [r["o"] for r in cut] == pytest.approx([r["o"] for r in whole])
 
 
-@pytest.mark.parametrize("size", [1024, 7])
-def test_mmd_equals_direct_kernel(spark, size):
-    x = {c: RNG.normal(c / 3, 1, (n, 5)) for c, n in ((0, 20), (1, 31), (2, 11))}
+@pytest.mark.parametrize("size,seed", [(1024, 0), (1024, 1), (7, 2), (7, 3)])
+def test_mmd_equals_direct_kernel(spark, size, seed):
+    """Few rows per context, so that a middle distance often lies within one context only."""
+    rng = np.random.default_rng(seed)
+    x = {c: rng.normal(c / 3, 1, (n, 5)) for c, n in ((0, 20), (1, 31), (2, 11), (3, 2), (4, 1))}
     rows = [(c, c * 100 + i, v.tolist()) for c, m in x.items() for i, v in enumerate(m)]
     df = spark.createDataFrame(rows, "c int, k int, v array<double>")
     for r in K.mmd2_pairs(df, "c", "k", "v", size=size).collect():
