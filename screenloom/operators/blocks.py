@@ -228,8 +228,8 @@ def rbf_cka(df: DataFrame, context: str, key: str, x: str, y: str, size: int = B
     each.  Centred Gram products follow from the plain sums and the row sums, so no Gram matrix is
     kept."""
     both = df.select(context, key, F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>")).alias("_xy"), x, y)
-    bx = median_sq_distance(meet(pack(both, context, key, x, size), False), False).select(F.col("pa").alias("ctx_a"), F.col("med").alias("mx"))
-    by = median_sq_distance(meet(pack(both, context, key, y, size), False), False).select(F.col("pa").alias("ctx_a"), F.col("med").alias("my"))
+    bx = median_sq_distance(meet(durable(pack(both, context, key, x, size)), False), False).select(F.col("pa").alias("ctx_a"), F.col("med").alias("mx"))
+    by = median_sq_distance(meet(durable(pack(both, context, key, y, size)), False), False).select(F.col("pa").alias("ctx_a"), F.col("med").alias("my"))
     dims = both.agg(F.max(F.size(x)).alias("d")).scalar()
     met = meet(pack(both, context, key, "_xy", size), across=False).withColumn("dx", dims)
     met = met.join(bx, "ctx_a").join(by, "ctx_a")
