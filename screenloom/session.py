@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,7 @@ def local_session(cpus: int | str | None = None, memory: str = "12g") -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a scratch folder of its own: executors on
+    Only a one-process local session without that setting gets a scratch folder of its own: executors on
     other machines could not read it back.
     """
     sc = spark.sparkContext
@@ -38,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     own = tempfile.mkdtemp(prefix="screenloom-")
     sc.setCheckpointDir(own)
@@ -46,9 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there: later branches see the
-    same rows, and a lost executor costs a re-read, not a recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as Parquet to the shared folder and read it from there.
+
+    Later branches see the same rows, read only the columns they need, and a lost executor costs a
+    re-read, not a recomputation.  The files go when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/screenloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
