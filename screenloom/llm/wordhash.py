@@ -9,6 +9,8 @@ import numpy as np
 
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 1 << 20
+#: Rows handled at once inside a task, however short they are.
+SLICE_ROWS = 1 << 14
 #: Odd multipliers; powers are inverted modulo 2**64.
 P = 0x9E3779B97F4A7C15
 Q1, Q2 = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
@@ -35,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def row_slices(texts):
+def row_slices(texts, most_rows: int = SLICE_ROWS):
     """(first row, rows as bytes, offsets) of consecutive slices of an Arrow text array; null counts as empty."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -52,7 +54,7 @@ def row_slices(texts):
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1)
-        to = min(to, n)
+        to = min(to, at + most_rows, n)
         yield at, data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
         at = to
 
