@@ -1,4 +1,117 @@
 """DuckDB SQL for the operators that SQL can express over whole tables."""
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from screenloom.llm import mixing, secrets, winnow
+
+_ANY_CASE = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+_NAMES = "|".join([*map(_ANY_CASE, ("password", "passwd", "secret", "token")), _ANY_CASE("api") + "_?" + _ANY_CASE("key")])
+
+
+def _op1() -> str:
+    """Places from the lengths of matches and of what lies between; entropy counted anew in every window."""
+    assign = rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    plain = {
+        "assign": (assign, f"length(regexp_extract(hit, '{assign}', 2)) >= {secrets.LEAST['assign']}"),
+        "access": (secrets.ACCESS, f"length(hit) >= {secrets.LEAST['access']}"),
+        "hex": (secrets.HEX, f"length(hit) >= {secrets.LEAST['hex']}"),
+    }
+
+    def located(kind: str, pattern: str, ok: str) -> str:
+        return f"""
+  {kind}_cut AS (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS hits, string_split_regex(t, '{pattern}') AS gaps FROM d),
+  {kind}_row AS (SELECT doc_id, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM {kind}_cut),
+  {kind} AS (SELECT * FROM (SELECT doc_id, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) - length(hit) AS s
+             FROM {kind}_row) WHERE {ok})"""
+
+    parts = [located(k, *v) for k, v in plain.items()]
+    found = [f"SELECT doc_id, s, {i} AS k, s + length(hit) AS e FROM {k}" for i, k in enumerate(plain)]
+    parts.append("\n  base AS (" + " UNION ALL ".join(found) + ")")
+    earlier = "base"
+    for kind, (pattern, alphabet, window, bits, needs) in secrets.CLASSES.items():
+        ok = " AND ".join([f"regexp_matches(hit, '{n}')" for n in needs] + [f"NOT regexp_matches(hit, '{a}')" for a in secrets.ALLOWED])
+        fold = "lower(hit)" if alphabet == alphabet.lower() else "hit"
+        weights = ", ".join(str(secrets.weight(c)) for c in range(1, window + 1))
+        parts.append(located(kind, pattern, ok))
+        parts.append(f"""
+  {kind}_win AS (SELECT doc_id, s, hit, unnest(range(length(hit) - {window} + 1)) AS o FROM {kind}),
+  {kind}_chr AS (SELECT doc_id, s, o, unnest(string_split(substr({fold}, o + 1, {window}), '')) AS c FROM {kind}_win),
+  {kind}_sum AS (SELECT doc_id, s, o, sum([{weights}][n]) AS w FROM
+    (SELECT doc_id, s, o, c, count(*) AS n FROM {kind}_chr GROUP BY ALL) GROUP BY ALL),
+  {kind}_rng AS (SELECT doc_id, s + min(o) AS s, {secrets.KINDS.index(kind)} AS k, s + max(o) + {window} AS e
+    FROM {kind}_sum x WHERE w <= {secrets.most_weight(window, bits)} GROUP BY doc_id, x.s),
+  {kind}_all AS (SELECT * FROM {earlier} UNION ALL SELECT doc_id, s, k, e FROM {kind}_rng r WHERE NOT EXISTS
+    (SELECT 1 FROM {earlier} b WHERE b.doc_id = r.doc_id AND b.s <= r.s AND b.e >= r.e))""")
+        earlier = f"{kind}_all"
+    names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+    lst = f"string_agg({names}[k + 1] || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k, e)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),{",".join(parts)},
+  n AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, {lst} AS l FROM base GROUP BY 1),
+  m AS (SELECT doc_id, {lst} AS l FROM {earlier} GROUP BY 1)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+  sha256(coalesce(n.l, '')) AS base_sha256, coalesce(m.l, '') AS spans
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+def _op5() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{winnow.WORD}')"
+    cut = "SELECT {id}, w, n, unnest(range(len(w) - n + 1)) AS i FROM {src} WHERE len(w) >= n"
+    return f"""WITH b AS (SELECT item_id, w, least(len(w), {winnow.SPAN}) AS n FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
+  bw AS (SELECT DISTINCT item_id, array_to_string(w[i + 1 : i + n], ' ') AS g, n FROM ({cut.format(id="item_id", src="b")})),
+  d AS (SELECT doc_id, {words} AS w FROM documents),
+  dn AS (SELECT doc_id, w, n FROM d, (SELECT DISTINCT n FROM bw)),
+  dw AS (SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS g FROM ({cut.format(id="doc_id", src="dn")})),
+  hit AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
+  pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+  it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS h FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+def _op6() -> str:
+    """Shares level by level, then one running sum per leaf."""
+    id_ = "coalesce(doc_id::VARCHAR, '')"
+    parts, above = [], []
+    for level in mixing.LEVELS:
+        path = [*above, level]
+        cols = ", ".join(path)
+        same = " AND ".join(f"c.{c} IS NOT DISTINCT FROM p.{c}" for c in above) or "true"
+        over = f"PARTITION BY {', '.join(above)}" if above else ""
+        parent = f"s_{above[-1]}" if above else "s_"
+        keep = ", ".join(f"c.{c}" for c in path)
+        parts.append(f"""
+  c_{level} AS (SELECT {keep}, c.capacity, 1 AS weight, p.share FROM (SELECT {cols}, sum(capacity)::BIGINT AS capacity FROM leaves GROUP BY ALL) c
+    JOIN {parent} p ON {same}),
+  o_{level} AS (SELECT *, sum(weight) OVER ({over}) AS aw, coalesce(sum(capacity) OVER e, 0) AS cb, coalesce(sum(weight) OVER e, 0) AS wb
+    FROM c_{level} WINDOW e AS ({over} ORDER BY capacity / weight, {level} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  f_{level} AS (SELECT *, cb * weight + capacity * (aw - wb) <= share * weight AS isfull FROM o_{level}),
+  g_{level} AS (SELECT *, coalesce(sum(capacity) FILTER (isfull) OVER ({over}), 0) AS cf, coalesce(sum(weight) FILTER (isfull) OVER ({over}), 0) AS wf FROM f_{level}),
+  s_{level} AS (SELECT {cols}, CASE WHEN isfull THEN capacity ELSE ((weight * (share - cf)) // nullif(aw - wf, 0)) END::BIGINT AS share FROM g_{level})""")
+        above = path
+    leaf = ", ".join(mixing.LEVELS)
+    on = " AND ".join(f"l.{c} IS NOT DISTINCT FROM s.{c}" for c in mixing.LEVELS)
+    on2 = " AND ".join(f"r.{c} IS NOT DISTINCT FROM q.{c}" for c in mixing.LEVELS)
+    # crc32 is not in DuckDB: the bits of the polynomial, byte by byte
+    crc = (
+        "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(coalesce(source, '')))), "
+        "lambda i: ascii(substr(coalesce(source, ''), (i + 1)::INT, 1))::BIGINT)), lambda a, x: "
+        "list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))"
+    )
+    return f"""WITH named AS (SELECT doc_id, lang, source, 'd' || (xor({crc}, 4294967295) % 4) AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens, md5('{mixing.SEED}:' || {id_}) AS place FROM documents),
+  r AS (SELECT * FROM named WHERE n_tokens > 0),
+  leaves AS (SELECT {leaf}, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {mixing.MOST_EPOCHS})::BIGINT AS capacity FROM r GROUP BY ALL),
+  s_ AS (SELECT least(sum(capacity), sum(tokens) * {mixing.BUDGET_PERCENT} // 100)::BIGINT AS share FROM leaves),{",".join(parts)},
+  q AS (SELECT l.*, share // tokens AS whole, share % tokens AS rest FROM leaves l JOIN s_{mixing.LEVELS[-1]} s ON {on}),
+  t AS (SELECT r.doc_id, {", ".join("r." + c for c in mixing.LEVELS)}, n_tokens, whole, rest,
+    sum(n_tokens) OVER (PARTITION BY {", ".join("r." + c for c in mixing.LEVELS)} ORDER BY place, {id_.replace("doc_id", "r.doc_id")}, n_tokens) AS upto,
+    sum(n_tokens) OVER (PARTITION BY {", ".join("r." + c for c in mixing.LEVELS)}, place, r.doc_id, n_tokens) AS own
+    FROM r JOIN q ON {on2})
+SELECT doc_id, {leaf}, n_tokens::BIGINT AS n_tokens, (whole + CASE WHEN upto - own < rest THEN 1 ELSE 0 END)::INTEGER AS epochs FROM t
+WHERE whole + CASE WHEN upto - own < rest THEN 1 ELSE 0 END > 0"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_secret_scans": _op1(), "op5_benchmark_decontamination": _op5(), "op6_source_mixing": _op6(),
+}
