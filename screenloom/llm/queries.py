@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenloom.llm import brown, circulant, ftrl, latent, mixing, secrets, winnow
+from screenloom.llm import brown, circulant, ftrl, latent, mixing, secrets, spots, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -52,3 +52,8 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.fingerprints(table(spark, sf_dir, "documents"))
