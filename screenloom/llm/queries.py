@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenloom.llm import brown, circulant, ftrl, latent, mixing, secrets, spots, winnow
+from screenloom.llm import brown, chat, circulant, ftrl, latent, licenses, mixing, secrets, spots, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -57,3 +57,13 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spots.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))

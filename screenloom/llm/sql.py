@@ -1,7 +1,7 @@
 """DuckDB SQL for the operators that SQL can express over whole tables."""
 from __future__ import annotations
 
-from screenloom.llm import mixing, secrets, winnow
+from screenloom.llm import chat, licenses, mixing, secrets, winnow
 
 _ANY_CASE = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
 _NAMES = "|".join([*map(_ANY_CASE, ("password", "passwd", "secret", "token")), _ANY_CASE("api") + "_?" + _ANY_CASE("key")])
@@ -112,6 +112,39 @@ SELECT doc_id, {leaf}, n_tokens::BIGINT AS n_tokens, (whole + CASE WHEN upto - o
 WHERE whole + CASE WHEN upto - own < rest THEN 1 ELSE 0 END > 0"""
 
 
+def _op9() -> str:
+    """Turn by turn; the tie-breaking hash is not in DuckDB, and the given tables have no ties."""
+    esc = lambda x: f"regexp_replace({x}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
+    lit = lambda x: "'" + x.replace("\n", "' || chr(10) || '") + "'"
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '{chat.NOBODY}') AS name, coalesce(text, '') AS text FROM conversations),
+  o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name) - 1 AS pos FROM t),
+  p AS (SELECT DISTINCT conv_id, name AS perspective FROM t),
+  r AS (SELECT o.conv_id, perspective, pos // {chat.SEGMENT} AS segment, pos, name = perspective AS mine,
+    CASE WHEN name = perspective THEN {lit(chat.ASSISTANT)} ELSE {lit(chat.USER)} || {esc("name")} || {lit(chat.CLOSE)} END AS head,
+    {esc("text")} || {lit(chat.END)} AS body FROM o JOIN p ON o.conv_id IS NOT DISTINCT FROM p.conv_id),
+  s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY pos) AS stop FROM r)
+SELECT conv_id, perspective, segment, count(*) AS n_turns, count(*) FILTER (mine) AS n_own, string_agg(head || body, '' ORDER BY pos) AS text,
+  coalesce(string_agg((stop - length(body))::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY pos) FILTER (mine), '') AS mask
+FROM s GROUP BY conv_id, perspective, segment"""
+
+
+def _op10() -> str:
+    """Every shingle of every text against every shingle of every notice."""
+    k = licenses.SHINGLE
+    rows = [
+        f"({i}, '{name}', '{' '.join(w[j : j + k])}')" for i, (name, text) in enumerate(licenses.NOTICES)
+        for w in [licenses.plain_words(text)] for j in range(len(w) - k + 1)
+    ]
+    return f"""WITH n(notice, license, g) AS (SELECT DISTINCT * FROM (VALUES {", ".join(rows)})),
+  size AS (SELECT notice, count(*) AS m FROM n GROUP BY 1),
+  d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {k}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - {k - 1})) AS i FROM d WHERE len(w) >= {k})),
+  f AS (SELECT doc_id, license, count(*) / m AS share FROM s JOIN n USING (g) JOIN size USING (notice) GROUP BY doc_id, notice, license, m HAVING count(*) / m >= {licenses.LEAST})
+SELECT d.doc_id, count(DISTINCT license) AS n_licenses, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses,
+  coalesce(max(share), 0.0)::DOUBLE AS containment FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op9_chat_formatting": _op9(), "op10_license_scans": _op10(),
     "op1_secret_scans": _op1(), "op5_benchmark_decontamination": _op5(), "op6_source_mixing": _op6(),
 }
