@@ -80,7 +80,7 @@ class WordHasher:
     """Hashes words by prefix sums of a polynomial; keeps its tables of powers between slices."""
 
     def __init__(self):
-        self.n = 0
+        self.n = -1
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         if len(data) > self.n:
