@@ -61,10 +61,6 @@ def partial_corr(r_xy, r_xz, r_yz) -> Column:
     return F.when(left > 0, F.try_divide(r_xy - r_xz * r_yz, F.sqrt(left)))
 
 
-def sd_ratio(a, b) -> Column:
-    return F.try_divide(_c(a), _c(b))
-
-
 def pooled_m2(n_present, mean_present, var_present, n_total) -> Column:
     """Sum of squared deviations over ``n_total`` rows when the absent ones are zeros."""
     zeros = n_total - n_present

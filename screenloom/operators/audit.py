@@ -5,6 +5,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from screenloom.operators.features import quantiles_by_rank
+from screenloom.session import durable
+
 
 class Forbidden(ValueError):
     """A column, split or artefact that must not be read."""
@@ -101,15 +104,16 @@ def path_equality(a: DataFrame, b: DataFrame, keys: list[str], value: str, exact
         b.select(*keys, F.col(value).alias("vb")), keys, "full_outer"
     )
     diff = F.abs(F.coalesce("va", F.lit(0.0)) - F.coalesce("vb", F.lit(0.0)))
-    agg = j.select(diff.alias("diff"), (F.col("va").isNull() | F.col("vb").isNull()).alias("lone")).agg(
+    j = durable(j.select(diff.alias("diff"), (F.col("va").isNull() | F.col("vb").isNull()).alias("lone")))
+    agg = j.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("lone").alias("n_unpaired"),
         F.max("diff").alias("max_diff"),
         F.avg("diff").alias("mean_diff"),
-        F.percentile_approx("diff", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(10000)).alias("q"),
         F.count_if(F.col("diff") > exact).alias("n_over_exact"),
         F.count_if(F.col("diff") > equivalent).alias("n_over_equivalent"),
     )
+    agg = agg.withColumn("q", quantiles_by_rank(j, "diff", [0.5, 0.95, 0.99], []).scalar())
     verdict = (
         F.when(F.col("max_diff") <= exact, "EXACT")
         .when(F.col("max_diff") <= equivalent, "NUMERICALLY_EQUIVALENT")

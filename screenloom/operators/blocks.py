@@ -274,6 +274,10 @@ def rbf_cka(df: DataFrame, context: str, key: str, x: str, y: str, size: int = B
     )
 
 
+#: Coordinate differences held at once in a task.
+DIFFERENCES = 4_000_000
+
+
 def nearest(df: DataFrame, context: str, key: str, vec: str, k: int = 1, done: DataFrame | None = None, size: int = BLOCK) -> DataFrame:
     """ctx_a, ctx_b, row_a, row_b, d2: for every row of the first context its k nearest rows of the
     second by squared distance, ties to the smaller key.  Exact for any width: a block pair returns
@@ -287,9 +291,15 @@ def nearest(df: DataFrame, context: str, key: str, vec: str, k: int = 1, done: D
         out = []
         for x, y in zip(va, vb):
             a, b = _matrix(x), _matrix(y)
-            d = ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1) if a.size * len(b) <= 4_000_000 else _d2(a, b)
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append({"at": at.tolist(), "d2": np.take_along_axis(d, at, 1).tolist()})
+            # differences are summed at every size, a few rows at a time
+            step = max(1, DIFFERENCES // max(1, b.size))
+            at, d2 = [], []
+            for i in range(0, len(a), step):
+                d = ((a[i : i + step, None, :] - b[None, :, :]) ** 2).sum(-1)
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                at += near.tolist()
+                d2 += np.take_along_axis(d, near, 1).tolist()
+            out.append({"at": at, "d2": d2})
         return pd.DataFrame(out)
 
     n = pandas_udf(best, "at array<array<bigint>>, d2 array<array<double>>")("vecs_a", "vecs_b").alias("n")

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from screenloom.functions.sizes import small
 from screenloom.functions.stats import pooled_m2
 from screenloom.functions.vector import repair
 
@@ -72,16 +71,24 @@ def cross_context_ratio(values: DataFrame, groups: DataFrame, context="batch", e
     )
 
 
+#: Names of a wanted list in one row.
+PIECE = 10_000
+
+
 def remap(values: DataFrame, groups: DataFrame, genes: DataFrame, wanted: DataFrame, keys: list[str], value="delta") -> DataFrame:
     """Values on the wanted symbol list: first native gene per symbol, zero when unmapped, then
-    repair and clip.  ``genes`` is (gene_idx, symbol), ``wanted`` is (pos, symbol)."""
-    if not small(wanted):
-        raise ValueError("the wanted symbol list is not a feature list")
+    repair and clip.  ``genes`` is (gene_idx, symbol), ``wanted`` is (pos, symbol).
+
+    The result is groups x wanted rows by definition; the list travels in pieces of ``PIECE`` names, so
+    it can have any length."""
     first = genes.groupBy("symbol").agg(F.min("gene_idx").alias("gene_idx"))
-    mapping = wanted.join(first, "symbol", "left").agg(
+    piece = F.floor(F.col("pos") / PIECE).cast("bigint").alias("_piece")
+    mapping = wanted.join(first, "symbol", "left").groupBy(piece).agg(
         F.collect_list(F.struct("pos", "symbol", "gene_idx")).alias("m")
     )
-    grid = groups.select(*keys, F.explode(mapping.scalar()).alias("m")).select(*keys, "m.*")
+    pieces = mapping.agg(F.max("_piece")).scalar()
+    spread = groups.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), pieces)).alias("_piece"))
+    grid = spread.join(mapping, "_piece").select(*keys, F.explode("m").alias("m")).select(*keys, "m.*")
     return grid.join(values, [*keys, "gene_idx"], "left").select(
         *keys, "pos", "symbol",
         F.col("gene_idx").isNotNull().alias("mapped"),

@@ -74,10 +74,6 @@ def partial_rank_correlation(df: DataFrame, keys: list[str], features: list[str]
     )
 
 
-def unpivot(df: DataFrame, keep: list[str], features: list[str], name="feature", value="value") -> DataFrame:
-    return df.unpivot(keep, features, name, value)
-
-
 def selection_table(val: DataFrame, arm: str, option: str, mean: str, sd: str) -> DataFrame:
     """Best and second option per arm on a finite validation mean, the margin, and whether the
     margin lies inside the seed SD.  Undefined means are never ranked."""

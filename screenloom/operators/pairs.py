@@ -61,31 +61,37 @@ def context_pairs(df: DataFrame, context: str) -> DataFrame:
 
 
 def tier3(df: DataFrame, context: str, row: str, u: str, done: DataFrame, k: int = 1, limit=GROUP_LIMIT) -> DataFrame:
-    """For every row of the first context its k nearest rows of the second in coordinate ``u``.
+    """For every row of the first context its k nearest rows of the second in coordinate ``u``, equal
+    distances to the smaller row key.
 
-    Distances are never taken between all rows: the second context is numbered in order of u, a
-    running count places every row of the first among them, and the k neighbours can only be among
-    the k places below and the k above."""
+    Distances are never taken between all rows: the distinct coordinates of the second context are
+    numbered in order, a running count places every row of the first among them, and the k
+    neighbours can only be at the k coordinates below and the k above, of each the k smallest keys."""
     if limit is not None:
         # a line holds the rows of two contexts
         limit = None if 2 * largest_group(df, [context]) <= limit else 0
     todo = context_pairs(df, context).join(done, ["ctx_a", "ctx_b"], "left_anti")
     rows = df.select(F.col(context).alias("_ctx"), F.col(row).alias("_row"), F.col(u).cast("double").alias("_u"))
-    a = todo.join(rows.withColumnRenamed("_ctx", "ctx_a"), "ctx_a").withColumn("_b", F.lit(0).cast("bigint"))
-    b = todo.join(rows.withColumnRenamed("_ctx", "ctx_b"), "ctx_b").withColumn("_b", F.lit(1).cast("bigint"))
-    cols = ["ctx_a", "ctx_b", "_row", "_u", "_b"]
-    # at equal u rows of the second context come first, by row key
-    line = a.select(*cols).unionByName(b.select(*cols)).withColumn("_side", 1 - F.col("_b"))
+    first = Window.partitionBy("_ctx", "_u").orderBy("_row")
+    spots = rows.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= k)
+    spots = spots.groupBy("_ctx", "_u").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    a = todo.join(rows.withColumnRenamed("_ctx", "ctx_a"), "ctx_a")
+    b = todo.join(spots.withColumnRenamed("_ctx", "ctx_b"), "ctx_b")
+    key = dict(df.dtypes)[row]
+    # at equal u the coordinate of the second context comes first
+    line = a.select("ctx_a", "ctx_b", "_row", "_u", F.lit(0).cast("bigint").alias("_b"), F.lit(None).cast(f"array<{key}>").alias("_rows")).unionByName(
+        b.select("ctx_a", "ctx_b", F.lit(None).cast(key).alias("_row"), "_u", F.lit(1).cast("bigint").alias("_b"), "_rows"))
+    line = line.withColumn("_side", 1 - F.col("_b"))
     placed = running(line, ["ctx_a", "ctx_b"], ["_u", "_side", "_row"], ["_b"], limit)
     mine = placed.where("_b = 0").select("ctx_a", "ctx_b", F.col("_row").alias("row_a"), F.col("_u").alias("_ua"),
                                         F.col("_b_before").alias("_at"), F.col("_b_total").alias("_nb"))
-    theirs = placed.where("_b = 1").select("ctx_a", "ctx_b", F.col("_row").alias("row_b"), F.col("_u").alias("_ub"), F.col("_b_before").alias("_pos"))
+    theirs = placed.where("_b = 1").select("ctx_a", "ctx_b", "_rows", F.col("_u").alias("_ub"), F.col("_b_before").alias("_pos"))
     near = mine.select(
         "ctx_a", "ctx_b", "row_a", "_ua",
         F.explode(F.sequence(F.greatest(F.col("_at") - k, F.lit(0)), F.least(F.col("_at") + k - 1, F.col("_nb") - 1))).alias("_pos"),
     )
-    hit = near.join(theirs, ["ctx_a", "ctx_b", "_pos"])
-    w = Window.partitionBy("ctx_a", "ctx_b", "row_a").orderBy(F.abs(F.col("_ua") - F.col("_ub")), "_pos")
+    hit = near.join(theirs, ["ctx_a", "ctx_b", "_pos"]).withColumn("row_b", F.explode("_rows"))
+    w = Window.partitionBy("ctx_a", "ctx_b", "row_a").orderBy(F.abs(F.col("_ua") - F.col("_ub")), "row_b")
     return _tag(hit.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k), 3)
 
 

@@ -41,14 +41,18 @@ SALT = 64
 
 
 def _every_gene(groups: DataFrame, baseline: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
-    """Each group with its baseline's genes.  A join on the baseline's few keys alone would write a
-    hot batch's groups x genes from one task: a measured small baseline is broadcast to where the
-    groups are, a larger one is repeated per salt and the groups spread over the salts."""
-    if small(baseline):
-        return groups.join(F.broadcast(baseline), on)
-    left = groups.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALT)).cast("int"))
-    right = baseline.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return left.join(right, [*on, "_salt"]).drop("_salt")
+    """Each group with its baseline's genes.  A baseline travels as one array per key, not as a row per
+    gene.  A join on the baseline's few keys alone would write a hot batch's groups x genes from one
+    task: measured small arrays are broadcast to where the groups are, larger ones are repeated per
+    salt and the groups spread over the salts."""
+    packed = baseline.groupBy(*on).agg(F.collect_list(F.struct("gene_idx", "mean")).alias("_genes"))
+    if small(packed):
+        met = groups.join(F.broadcast(packed), on)
+    else:
+        left = groups.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALT)).cast("int"))
+        right = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        met = left.join(right, [*on, "_salt"])
+    return met.select(*groups.columns, F.inline("_genes"))
 
 
 def delta(profile: DataFrame, sizes: DataFrame, baseline: DataFrame, keys: list[str], on: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from screenloom.functions import stats as S
 from screenloom.functions.hashing import four_uniforms, order_key
 from screenloom.functions.ordered import GROUP_LIMIT, ordinal, weighted_rank
-from screenloom.functions.sizes import BROADCAST_ROWS
+from screenloom.functions.sizes import broadcast_if_small
 
 
 PART_ROWS = 200_000
@@ -48,35 +48,37 @@ def row_bootstrap_delta_r2(
     rows = ordinal(df.select(key, y, *arm_a, *arm_b), [], [key], "_i", None if limit is None or n <= limit else 0)
     draws = _draws(df.sparkSession, n, reps, seed)
     items = rows.select(F.col("_i").alias("hit"), y, *arm_a, *arm_b)
-    items = F.broadcast(items) if n <= BROADCAST_ROWS else items
+    items = broadcast_if_small(items)
     a = sum((S.r2(y, p) for p in arm_a[1:]), S.r2(y, arm_a[0])) / len(arm_a)
     b = sum((S.r2(y, p) for p in arm_b[1:]), S.r2(y, arm_b[0])) / len(arm_b)
     return draws.join(items, "hit").groupBy("rep").agg((a - b).alias("delta"))
 
 
 def cluster_bootstrap_rho(
-    df: DataFrame, cluster: str, y: str, objects: dict[str, list[str]], reps=10000, seed=20260901, limit=GROUP_LIMIT
+    df: DataFrame, cluster: str, y: str, objects: dict[str, list[str]], reps=10000, seed=20260901, limit=GROUP_LIMIT,
+    key: str | None = None,
 ) -> DataFrame:
     """rep and one rank correlation per object, resampling whole clusters with replacement.
 
     A drawn cluster's rows enter with its multiplicity as a weight; ranks are recomputed in every
     replicate as weighted average-tie ranks.  A cluster with very many rows is cut into numbered
-    parts and its weights are repeated per part, so that no join task holds it whole."""
+    parts and its weights are repeated per part, so that no join task holds it whole.  Rows go to parts by
+    a hash of ``key``, the row's name; without one by their values, which keeps equal rows together."""
     cols = sorted({c for cs in objects.values() for c in cs})
-    rows = df.select(cluster, y, *cols)
+    rows = df.select(cluster, y, *cols, F.xxhash64(*([key] if key else [y, *cols])).alias("_h"))
     per = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
     n, n_clusters, largest = per.agg(F.sum("_n"), F.count(F.lit(1)), F.max("_n")).first()
     fits_one_task = limit is None or n <= limit
     ids = ordinal(df.select(cluster).distinct(), [], [cluster], "_c", None if fits_one_task else 0)
     ids = ids.select(F.col("_c").alias("hit"), cluster)
     weights = _draws(df.sparkSession, n_clusters, reps, seed).groupBy("rep", "hit").agg(F.count(F.lit(1)).alias("w"))
-    weights = weights.join(F.broadcast(ids) if n_clusters <= BROADCAST_ROWS else ids, "hit").drop("hit")
+    weights = weights.join(broadcast_if_small(ids), "hit").drop("hit")
     part = max(PART_ROWS, n // MAX_PARTS)
     if largest > part:
         # at most n / part <= MAX_PARTS clusters can be this large
         hot = F.broadcast(per.where(F.col("_n") > part).select(cluster, F.ceil(F.col("_n") / part).alias("_parts")))
         one = F.coalesce("_parts", F.lit(1).cast("bigint"))
-        rows = rows.join(hot, cluster, "left").withColumn("_part", F.pmod(F.xxhash64(y, *cols), one)).drop("_parts")
+        rows = rows.join(hot, cluster, "left").withColumn("_part", F.pmod(F.col("_h"), one)).drop("_parts")
         weights = weights.join(hot, cluster, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), one - 1))).drop("_parts")
         boot = weights.join(rows, [cluster, "_part"]).drop(cluster, "_part")
     else:

@@ -102,7 +102,7 @@ B2SQL = f"""{SCORES}, ids AS (SELECT cluster, row_number() OVER (ORDER BY cluste
 
 @query("B2_paired_cluster_bootstrap", f"WITH {B2SQL} {SUMM} FROM d")
 def b2(spark, d):
-    boot = B.cluster_bootstrap_rho(roles.scores(spark, d), "cluster", "y", {"a": ["pred_a"], "b": ["pred_b"]}, reps=20)
+    boot = B.cluster_bootstrap_rho(roles.scores(spark, d), "cluster", "y", {"a": ["pred_a"], "b": ["pred_b"]}, reps=20, key="row_key")
     return _summary(B.contrast(boot, "a", "b"))
 
 

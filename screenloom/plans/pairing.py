@@ -39,12 +39,9 @@ CTX = f"""{SCORES}, cx AS (SELECT row_key, CAST(row_key % 4 AS INTEGER) AS conte
   t2 AS (SELECT a.context AS ctx_a, b.context AS ctx_b, a.row_key AS row_a, b.row_key AS row_b, 0.5::DOUBLE AS weight, CAST(2 AS INTEGER) AS tier FROM ps a JOIN ps b USING (bucket, i)
     WHERE a.context < b.context AND (a.context, b.context) NOT IN (SELECT ctx_a, ctx_b FROM t1)),
   dn AS (SELECT ctx_a, ctx_b FROM t1 UNION SELECT ctx_a, ctx_b FROM t2),
-  ob AS (SELECT context, row_key, y, row_number() OVER (PARTITION BY context ORDER BY y, row_key) AS pos FROM cx),
   cp AS (SELECT a.c AS ctx_a, b.c AS ctx_b FROM (SELECT DISTINCT context AS c FROM cx) a, (SELECT DISTINCT context AS c FROM cx) b WHERE a.c < b.c AND (a.c, b.c) NOT IN (SELECT ctx_a, ctx_b FROM dn)),
-  lo AS (SELECT cp.ctx_a, cp.ctx_b, x.row_key AS row_a, x.y AS ya, max(z.pos) AS pos FROM cp JOIN cx x ON x.context = cp.ctx_a LEFT JOIN ob z ON z.context = cp.ctx_b AND z.y <= x.y GROUP BY ALL),
-  nb AS (SELECT l.ctx_a, l.ctx_b, l.row_a, z.row_key AS row_b, row_number() OVER (PARTITION BY l.ctx_a, l.ctx_b, l.row_a ORDER BY abs(l.ya - z.y), z.pos) AS rn
-    FROM lo l JOIN ob z ON z.context = l.ctx_b AND z.pos BETWEEN coalesce(l.pos, 0) AND coalesce(l.pos, 0) + 1),
-  t3 AS (SELECT ctx_a, ctx_b, row_a, row_b, 0.25::DOUBLE AS weight, CAST(3 AS INTEGER) AS tier FROM nb WHERE rn = 1),
+  nb AS (SELECT cp.ctx_a, cp.ctx_b, x.row_key AS row_a, min((abs(x.y - z.y), z.row_key)) AS best FROM cp JOIN cx x ON x.context = cp.ctx_a JOIN cx z ON z.context = cp.ctx_b GROUP BY ALL),
+  t3 AS (SELECT ctx_a, ctx_b, row_a, best[2] AS row_b, 0.25::DOUBLE AS weight, CAST(3 AS INTEGER) AS tier FROM nb),
   allp AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)"""
 
 
@@ -63,6 +60,18 @@ def j11(spark, d):
     return cascade(spark, d).where("tier = 3")
 
 
+@query("J11_tier3_nearest_with_ties", f"""WITH {SCORES}, g AS (SELECT row_key, CAST(row_key % 4 AS INTEGER) AS context, floor(y * 4) AS u FROM scores),
+  m AS (SELECT a.context AS ctx_a, b.context AS ctx_b, a.row_key AS row_a, min((abs(a.u - b.u), b.row_key), 3) AS bests FROM g a JOIN g b ON a.context < b.context GROUP BY ALL),
+  o AS (SELECT ctx_a, ctx_b, row_a, unnest(bests) AS best FROM m)
+  SELECT ctx_a, ctx_b, row_a, best[2] AS row_b, 0.25::DOUBLE AS weight, CAST(3 AS INTEGER) AS tier FROM o""")
+def j11t(spark, d):
+    """Three neighbours where a few coordinates hold all rows, so every place is a tie."""
+    s = roles.scores(spark, d)
+    g = s.select("row_key", (F.col("row_key") % 4).cast("int").alias("context"), F.floor(F.col("y") * 4).cast("double").alias("u"))
+    none = g.select(F.col("context").alias("ctx_a"), F.col("context").alias("ctx_b")).where("false")
+    return P.tier3(g, "context", "row_key", "u", none, k=3)
+
+
 @query("J12_tier_cascade", f"""WITH {CTX} SELECT CAST(t.tier AS INTEGER) AS tier, count(DISTINCT (ctx_a, ctx_b)) FILTER (ctx_a IS NOT NULL) AS n_ctx_pairs, count(ctx_a) AS n_row_pairs
   FROM (SELECT unnest([1, 2, 3]) AS tier) t LEFT JOIN allp USING (tier) GROUP BY 1""")
 def j12(spark, d):

@@ -1,8 +1,12 @@
-"""Group means over a stream of cells: running sums and counts, replay-safe and restartable."""
+"""Group means over a stream of chunks: partial sums per micro-batch, replay-safe and restartable."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from screenloom.operators.normalize import library_log1p
+
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events", per_trigger: int = 64) -> DataFrame:
     """File stream over one table; the schema is taken from the stored table, not inferred per file."""
@@ -13,33 +17,71 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events", per_tri
     )
 
 
-def once(stream: DataFrame, ids: list[str], time: str, delay: str = "3650 days") -> DataFrame:
-    """Drop repeats of a (chunk, cell).  The watermark bounds the state; ``delay`` has to cover how late a
-    replay can come, because older rows would be dropped."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(ids)
+def chunk_stream(spark: SparkSession, folder: str, schema: str, per_trigger: int = 8) -> DataFrame:
+    """File stream over delivered chunks, at any depth below ``folder``; a chunk is one file."""
+    return (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+        .option("recursiveFileLookup", True).parquet(folder)
+    )
 
 
 def partial_sums(batch: DataFrame, keys: list[str], value: str) -> DataFrame:
     return batch.groupBy(*keys).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
 
 
+def refuse_bad_counts(batch: DataFrame) -> None:
+    """Fail on a count that is negative or not finite, on a count without gene, and on a row without cell or construct."""
+    c = F.col("cnt").cast("double")
+    bad = (
+        F.col("cell_id").isNull() | F.col("construct").isNull() | (F.col("cnt").isNotNull() & F.col("gene_idx").isNull())
+        | (c < 0) | F.isnan(c) | (c == float("inf"))
+    )
+    n = batch.agg(F.count_if(bad)).first()[0]
+    if n:
+        raise ValueError(f"{n} bad count rows in a chunk")
+
+
+def gene_sums(batch: DataFrame) -> DataFrame:
+    """construct, gene_idx, s: each cell normalised by its own total, then summed."""
+    stored = batch.where(F.col("gene_idx").isNotNull())
+    owner = stored.select("cell_id", "construct").distinct()
+    return library_log1p(stored).join(owner, "cell_id").groupBy("construct", "gene_idx").agg(F.sum("v").alias("s"))
+
+
+def cell_counts(batch: DataFrame) -> DataFrame:
+    """construct, n: cells, those without any stored count included."""
+    return batch.select("construct", "cell_id").distinct().groupBy("construct").agg(F.count(F.lit(1)).alias("n"))
+
+
 def accumulate(
-    stream: DataFrame, keys: list[str], value: str, state: str, checkpoint: str, extra: dict | None = None,
+    stream: DataFrame, state: str, checkpoint: str, outputs: dict[str, Callable[[DataFrame], DataFrame]],
+    chunk: str | None = None, row: list[str] | None = None, check: Callable[[DataFrame], None] | None = None,
 ):
-    """Write each micro-batch's partial sums under its batch number.
-
-    A batch that runs again after a failure overwrites its own folder, so every batch counts once; the
-    state is one small file set per batch, summed when read.  ``extra`` maps a path to a function of the
-    batch for further outputs of the same pass, from a batch that is read once."""
+    """Write each micro-batch's ``outputs`` under their name and the batch number.
+
+    A batch that runs again after a failure overwrites its own folders, so every batch counts once; the
+    state is one small file set per batch, summed when read.  With ``chunk`` a ledger lists the chunks
+    that earlier batches consumed, and a later delivery of one of them is skipped, whenever it comes; so
+    the state grows with chunks, never with cells.  ``row`` names a row inside a chunk, for a chunk that
+    is delivered twice to one batch.  A chunk has to arrive whole, in one file."""
+    spark = stream.sparkSession
+    if chunk:
+        kind = dict(stream.dtypes)[chunk]
+        spark.createDataFrame([], f"{chunk} {kind}").write.mode("overwrite").parquet(f"{state}/ledger/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
-        if extra:
-            batch = batch.persist()
-        partial_sums(batch, keys, value).write.mode("overwrite").parquet(f"{state}/batch={number}")
-        for path, fn in (extra or {}).items():
-            fn(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        if extra:
-            batch.unpersist()
+        if check:
+            check(batch)
+        if chunk:
+            known = batch.sparkSession.read.option("basePath", f"{state}/ledger").parquet(f"{state}/ledger")
+            known = known.where(F.col("batch") != number).select(chunk).distinct()
+            batch = batch.join(known, chunk, "left_anti").dropDuplicates([chunk, *(row or [])] if row else None)
+        batch = batch.persist()
+        for name, fn in outputs.items():
+            fn(batch).write.mode("overwrite").parquet(f"{state}/{name}/batch={number}")
+        if chunk:
+            batch.select(chunk).distinct().write.mode("overwrite").parquet(f"{state}/ledger/batch={number}")
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -47,10 +89,14 @@ def accumulate(
     )
 
 
-def read_state(spark: SparkSession, state: str, keys: list[str]) -> DataFrame:
+def read_output(spark: SparkSession, state: str, name: str) -> DataFrame:
+    """One output over all batches, with its batch number."""
+    return spark.read.option("basePath", f"{state}/{name}").parquet(f"{state}/{name}/batch=*")
+
+
+def read_state(spark: SparkSession, state: str, keys: list[str], name: str = "sums") -> DataFrame:
     """Total sum and count per key over all batches."""
-    return spark.read.option("basePath", state).parquet(f"{state}/batch=*").groupBy(*keys).agg(
-        F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return read_output(spark, state, name).groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def finalize_checks(state: DataFrame, construct: str, control: str) -> DataFrame:
@@ -65,19 +111,27 @@ def finalize_checks(state: DataFrame, construct: str, control: str) -> DataFrame
         "c.check_name", "c.n_bad", (F.col("c.n_bad") == 0).alias("pass"))
 
 
-def finalize(state: DataFrame, construct: str, control: str) -> DataFrame:
-    """Construct mean minus control mean.  Fails when a check does: no control, no treated, zero count."""
-    wrong = [x["check_name"] for x in finalize_checks(state, construct, control).where(~F.col("pass")).collect()]
+def _refuse_unfinished(cells: DataFrame, construct: str, control: str) -> None:
+    wrong = [x["check_name"] for x in finalize_checks(cells, construct, control).where(~F.col("pass")).collect()]
     if wrong:
         raise ValueError(f"cannot finalize: {wrong}")
+
+
+def finalize(state: DataFrame, construct: str, control: str) -> DataFrame:
+    """Construct mean minus control mean.  Fails when a check does: no control, no treated, zero count."""
+    _refuse_unfinished(state, construct, control)
     base = state.where(F.col(construct) == control).agg((F.sum("s") / F.sum("n")).alias("m")).scalar()
     return state.where(F.col(construct) != control).select(
         construct, "n", (F.col("s") / F.col("n")).alias("mean"), (F.col("s") / F.col("n") - base).alias("delta"))
 
 
-def progress(query) -> dict | None:
-    """Rows and rate of the last micro-batch."""
-    p = query.lastProgress
-    if p is None:
-        return None
-    return {"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p.get("processedRowsPerSecond")}
+def finalize_genes(spark: SparkSession, state: str, control: str) -> DataFrame:
+    """construct, gene_idx, n, mean, delta for every gene a construct has a count of: its mean over all its
+    cells, and minus the mean over all control cells."""
+    cells = read_output(spark, state, "cells").groupBy("construct").agg(F.sum("n").alias("n"))
+    _refuse_unfinished(cells, "construct", control)
+    sums = read_output(spark, state, "sums").groupBy("construct", "gene_idx").agg(F.sum("s").alias("s"))
+    means = sums.join(cells, "construct").select("construct", "gene_idx", "n", (F.col("s") / F.col("n")).alias("mean"))
+    base = means.where(F.col("construct") == control).select("gene_idx", F.col("mean").alias("base"))
+    return means.where(F.col("construct") != control).join(base, "gene_idx", "left").select(
+        "construct", "gene_idx", "n", "mean", (F.col("mean") - F.coalesce("base", F.lit(0.0))).alias("delta"))

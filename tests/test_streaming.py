@@ -2,7 +2,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from screenloom.streaming import accumulate as A
 
@@ -22,10 +21,9 @@ def stream(spark, folder):
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def run(s, root):
-    q = A.accumulate(s, ["construct"], "value", f"{root}/state", f"{root}/ckpt")
-    q.awaitTermination()
-    return q
+def run(s, root, **more):
+    outputs = {"sums": lambda b: A.partial_sums(b, ["construct"], "value"), **more}
+    A.accumulate(s, f"{root}/state", f"{root}/ckpt", outputs, "chunk_id", ["cell_id"]).awaitTermination()
 
 
 def final(spark, root):
@@ -46,22 +44,29 @@ def test_chunk_boundaries_do_not_matter(spark, tmp_path, cuts):
     assert final(spark, tmp_path) == direct()
 
 
-def test_replayed_cells_count_once(spark, tmp_path):
-    chunks(spark, f"{tmp_path}/in", [5])
-    chunks(spark, f"{tmp_path}/in", [5])
-    run(A.once(stream(spark, f"{tmp_path}/in"), ["chunk_id", "cell_id"], "ts"), tmp_path)
+@pytest.mark.parametrize("per_trigger", [1, 4])
+def test_replayed_chunks_count_once(spark, tmp_path, per_trigger):
+    """However late, and also when both deliveries reach one batch."""
+    for _ in range(3):
+        chunks(spark, f"{tmp_path}/in", [5])
+    run(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", per_trigger).parquet(f"{tmp_path}/in"), tmp_path)
     assert final(spark, tmp_path) == direct()
+    for _ in range(2):  # years later, a new run on the same checkpoint
+        chunks(spark, f"{tmp_path}/in", [5])
+        run(stream(spark, f"{tmp_path}/in"), tmp_path)
+    assert final(spark, tmp_path) == direct()
+    ledger = spark.read.parquet(f"{tmp_path}/state/ledger")
+    assert sorted(r["chunk_id"] for r in ledger.collect()) == [0, 1]
 
 
 def test_restart_equals_uninterrupted(spark, tmp_path):
-    rows = [CELLS[:4], CELLS[4:9], CELLS[9:]]
-    for part in rows:
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        q = run(stream(spark, f"{tmp_path}/in"), tmp_path)
+    for n, part in enumerate([CELLS[:4], CELLS[4:9], CELLS[9:]]):
+        rows = [(t, n, i, c, v) for t, _, i, c, v in part]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run(stream(spark, f"{tmp_path}/in"), tmp_path)
     assert final(spark, tmp_path) == direct()
     run(stream(spark, f"{tmp_path}/in"), tmp_path)
     assert final(spark, tmp_path) == direct()
-    assert q.lastProgress is None or A.progress(q)["rows"] >= 0
 
 
 def test_failed_batch_is_not_counted_twice(spark, tmp_path):
@@ -71,13 +76,38 @@ def test_failed_batch_is_not_counted_twice(spark, tmp_path):
     def breaks(batch):
         raise RuntimeError("stop here")
 
-    q = A.accumulate(stream(spark, f"{tmp_path}/in"), ["construct"], "value", f"{tmp_path}/state", f"{tmp_path}/ckpt", {f"{tmp_path}/x": breaks})
     with pytest.raises(Exception, match="stop here"):
-        q.awaitTermination()
+        run(stream(spark, f"{tmp_path}/in"), tmp_path, broken=breaks)
     run(stream(spark, f"{tmp_path}/in"), tmp_path)
     assert final(spark, tmp_path) == direct()
 
 
+COUNTS = "chunk_id string, cell_id bigint, construct string, gene_idx int, cnt double"
+
+
+def sparse(spark, root, rows, n=0):
+    spark.createDataFrame(rows, COUNTS).coalesce(1).write.parquet(f"{root}/in/{n}")
+    A.accumulate(
+        A.chunk_stream(spark, f"{root}/in", COUNTS), f"{root}/state", f"{root}/ckpt", {"sums": A.gene_sums, "cells": A.cell_counts},
+        "chunk_id", ["cell_id", "gene_idx"], A.refuse_bad_counts).awaitTermination()
+
+
+def test_sparse_counts_divide_by_cells(spark, tmp_path):
+    """Cells without an entry for a gene, or without any, count in the mean."""
+    log = lambda x: __import__("math").log1p(1e4 * x)
+    sparse(spark, tmp_path, [("a", 1, "X", 0, 2.0), ("a", 2, "X", None, None), ("a", 3, "T", 0, 1.0), ("a", 3, "T", 1, 3.0)])
+    sparse(spark, tmp_path, [("b", 4, "X", 1, 5.0), ("b", 5, "T", None, None)], 1)
+    out = {(r["construct"], r["gene_idx"]): (r["n"], r["mean"], r["delta"]) for r in A.finalize_genes(spark, f"{tmp_path}/state", "T").collect()}
+    assert out[("X", 0)] == pytest.approx((3, log(1) / 3, log(1) / 3 - log(0.25) / 2))
+    assert out[("X", 1)] == pytest.approx((3, log(1) / 3, log(1) / 3 - log(0.75) / 2))
+
+
+@pytest.mark.parametrize("row", [("a", 1, "X", 0, -1.0), ("a", 1, "X", 0, float("nan")), ("a", 1, "X", None, 1.0), ("a", None, "X", 0, 1.0), ("a", 1, None, 0, 1.0), ("a", 1, "X", 0, float("inf"))])
+def test_bad_counts_are_refused(spark, tmp_path, row):
+    with pytest.raises(Exception, match="bad count rows"):
+        sparse(spark, tmp_path, [("a", 7, "T", 0, 1.0), row])
+
+
 def test_finalize_needs_controls_and_treated(spark):
     only = spark.createDataFrame([("A", 1.0, 2)], "construct string, s double, n bigint")
     with pytest.raises(ValueError, match="no_control"):
