@@ -81,6 +81,7 @@ def inverse_frequency(docs: DataFrame) -> np.ndarray:
 
 
 def _sparse_rows(batches):
+    """Arrow task: the terms of each text and their counts, as packed numbers."""
     import pyarrow as pa
 
     for batch in batches:
@@ -90,21 +91,24 @@ def _sparse_rows(batches):
                 [
                     batch["doc_id"].slice(at, len(counts)),
                     batch["y"].slice(at, len(counts)),
-                    pa.array([h.astype(np.int32) for h in held], pa.list_(pa.int32())),
-                    pa.array([row[h].astype(np.int32) for row, h in zip(counts, held)], pa.list_(pa.int32())),
+                    pa.array([h.astype(np.uint16).tobytes() for h in held], pa.binary()),
+                    pa.array([row[h].astype(np.int32).tobytes() for row, h in zip(counts, held)], pa.binary()),
                 ],
                 names=["doc_id", "y", "term", "n"],
             )
 
 
-def truncated_basis(x: np.ndarray, rank: int, seed: int = 7, passes: int = 3) -> np.ndarray:
-    """Leading right singular vectors of ``x`` by randomised subspace iteration: terms x rank."""
-    rank = min(rank, *x.shape)
-    q = np.random.default_rng(seed).standard_normal((x.shape[1], min(rank + 8, *x.shape))).astype(np.float32)
+def truncated_basis(blocks, rank: int, seed: int = 7, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors (terms x rank) of the rows that ``blocks()`` yields, and the rows in that basis.
+
+    Randomised subspace iteration; no more than a block of rows is dense at a time."""
+    rows = sum(len(b) for b in blocks())
+    q = np.random.default_rng(seed).standard_normal((TERMS, min(rank + 8, rows, TERMS))).astype(np.float32)
     for _ in range(passes):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
-    return (q @ v[:rank].T).astype(np.float32)
+        q, _ = np.linalg.qr(sum(b.T @ (b @ q) for b in blocks()))
+    y = np.concatenate([b @ q for b in blocks()])
+    _, _, v = np.linalg.svd(y, full_matrices=False)
+    return (q @ v[:rank].T).astype(np.float32), y @ v[:rank].T
 
 
 @dataclass
@@ -122,18 +126,22 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, train, most: int = MOST
     """Term weights over all of ``docs``, latent space and voters from at most ``most`` labelled rows."""
     idf = inverse_frequency(docs)
     chosen = texts_of(docs, sample(labels, target, train, most))
-    rows = chosen.mapInArrow(_sparse_rows, "doc_id bigint, y double, term array<int>, n array<int>")
-    rows = sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["n"]))[:most]
-    if not rows:
+    packed = chosen.mapInArrow(_sparse_rows, "doc_id bigint, y double, term binary, n binary").toPandas()  # at most ``most`` ids
+    packed = packed.sort_values(["doc_id", "n"], kind="stable").head(most)
+    if not len(packed):
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    x = np.zeros((len(rows), TERMS), dtype=np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["term"]] = np.log1p(r["n"])
-    x *= idf
-    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
-    basis = truncated_basis(x, rank)
-    y = np.array([r["y"] for r in rows])
-    return Model(idf, basis, _unit(x @ basis), y, float(y.mean()))
+
+    def blocks():
+        for at in range(0, len(packed), BLOCK):
+            part = packed.iloc[at : at + BLOCK]
+            counts = np.zeros((len(part), TERMS), dtype=np.int32)
+            for row, term, n in zip(counts, part["term"], part["n"]):
+                row[np.frombuffer(term, np.uint16)] = np.frombuffer(n, np.int32)
+            yield weighted(counts, idf)
+
+    basis, vectors = truncated_basis(blocks, rank)
+    y = packed["y"].to_numpy()
+    return Model(idf, basis, _unit(vectors), y, float(y.mean()))
 
 
 def vote(model: Model, z: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
@@ -167,8 +175,8 @@ def _score(model: Model):
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus: int = 4, held: int = 2) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``, from ``labels`` (``doc_id``, ``quality``).
 
-    Only the text is scored.  Labels of ids whose fold is ``held`` are never learnt from.  An empty, blank or null text has
-    no vector and gets the share of good labels; so does every text when there are no labels (then 0.5).  A null ``doc_id``
+    Only the text is scored.  Labels of ids whose fold is ``held`` are never learnt from.  An empty or null text has no
+    vector and gets the share of good labels (white space has trigrams); without any label every score is 0.5.  A null ``doc_id``
     is not held out.  Repeated rows are scored each; an empty table gives no rows.
     """
     model = fit(docs, labels, "quality", fold(modulus) != held)
