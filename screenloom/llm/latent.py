@@ -1,7 +1,7 @@
 """Quality by nearest neighbours among labelled latent-semantic vectors.
 
-Terms are whole words and byte trigrams, hashed to a fixed number of dimensions, weighted by log counts and inverse document
-frequency over all documents.  A truncated decomposition of a bounded sample of labelled texts gives the latent space.  The
+Terms are whole words and byte trigrams, hashed to a fixed number of dimensions, and words that repeat the one or the second
+before; they are weighted by log counts and inverse document frequency over all documents.  A truncated decomposition of a bounded sample of labelled texts gives the latent space.  The
 labelled vectors (a few thousand by a few dozen numbers, whatever the corpus) go to every task; each document meets all of
 them in blocked matrix products and its nearest ones vote, weighted by similarity.
 """
@@ -25,7 +25,9 @@ NEIGHBOURS = 15
 SHARPNESS = 4
 #: Documents in one block of products.
 BLOCK = 512
-TERMS = WORDS + TRIGRAMS
+#: Distances at which a repeated word is a term, and what such a term weighs against others.
+REPEATS, REPEAT_WEIGHT = (1, 2), 4.0
+TERMS = WORDS + TRIGRAMS + len(REPEATS)
 
 
 def term_counts(texts):
@@ -36,6 +38,9 @@ def term_counts(texts):
         starts, stops, rows = spans(raw, ends)
         words = hasher(lowered(raw), starts, stops)
         cells = [rows * TERMS + (words >> np.uint64(52)).astype(np.int64)]
+        for i, gap in enumerate(REPEATS):
+            same = (words[gap:] == words[:-gap]) & (rows[gap:] == rows[:-gap])
+            cells.append(rows[gap:][same] * TERMS + WORDS + TRIGRAMS + i)
         if len(raw) > 2:
             b = raw.astype(np.uint32)
             grams = (b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA6B) ^ b[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(20)
@@ -77,7 +82,9 @@ def inverse_frequency(docs: DataFrame) -> np.ndarray:
     n = held.pop(-1, 0)
     df = np.zeros(TERMS)
     df[list(held)] = list(held.values())
-    return np.log((1.0 + n) / (1.0 + df)).astype(np.float32)
+    idf = np.log((1.0 + n) / (1.0 + df))
+    idf[WORDS + TRIGRAMS :] *= REPEAT_WEIGHT
+    return idf.astype(np.float32)
 
 
 def _sparse_rows(batches):
