@@ -195,10 +195,14 @@ def masked(text: Column, found: Column) -> Column:
 
 
 def redact(docs: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with every secret in ``text`` masked and ``n_chars``, where there is one, counted again."""
-    scanned = with_spans(docs, "text", "_base", "_all", allow)
-    out = scanned.withColumn("text", masked(F.col("text"), F.col("_all")))
+    """``docs`` with every secret in ``text`` masked and ``n_chars``, where there is one, counted again.
+
+    Every row and column stays; a text without secrets, null included, stays as it is."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    text = F.col(names[docs.columns.index("text")])
+    scanned = with_spans(docs.toDF(*names), names[docs.columns.index("text")], "_base", "_all", allow)
+    changed = {"text": F.when(F.size("_all") > 0, masked(text, F.col("_all"))).otherwise(text)}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        old, kind = F.col(names[docs.columns.index("n_chars")]), dict(docs.dtypes)["n_chars"]
+        changed["n_chars"] = F.when(F.size("_all") > 0, F.length(masked(text, F.col("_all"))).cast(kind)).otherwise(old)
+    return scanned.select(*[changed.get(c, F.col(n)).alias(c) for c, n in zip(docs.columns, names)])
