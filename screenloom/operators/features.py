@@ -1,6 +1,8 @@
 """Feature statistics, selection, remapping and train-only scaling."""
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from screenloom.functions.stats import pooled_m2
@@ -135,6 +137,30 @@ def apply_scaler(df: DataFrame, stats: DataFrame, features: list[str]) -> DataFr
     return out.drop("_s")
 
 
+def fit_block_scaler(df: DataFrame, vec: str, split="split", train="train", tiny=1e-12) -> DataFrame:
+    """pos, mean, scale, var, n, near_constant of every coordinate of a vector, from the training rows
+    only; one row of sums per task, whatever the width."""
+    v = array_to_vector(F.col(vec).cast("array<double>"))
+    m = df.where(F.col(split) == train).agg(Summarizer.metrics("mean", "variance", "count").summary(v).alias("m"))
+    m = m.select(vector_to_array("m.mean").alias("mean"), vector_to_array("m.variance").alias("var"), F.col("m.count").alias("n"))
+    long = m.select("n", F.posexplode(F.arrays_zip("mean", "var")).alias("pos", "z"))
+    # the summary divides by n - 1
+    var = F.col("z.var") * (F.col("n") - 1) / F.col("n")
+    return long.select(
+        "pos", F.col("z.mean").alias("mean"), F.when(var > 0, F.sqrt(var)).otherwise(1.0).alias("scale"),
+        var.alias("var"), "n", (var <= tiny).alias("near_constant"),
+    )
+
+
+def apply_block_scaler(df: DataFrame, stats: DataFrame, vec: str, name: str | None = None) -> DataFrame:
+    """Scale a vector of every split with stored statistics.  There is no way to fit from here."""
+    one = stats.agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "scale"))).alias("s")).select("s").scalar()
+    # the subquery is a column first: it may not stand inside a higher-order function
+    out = df.withColumn("_s", one)
+    scaled = F.zip_with(F.col(vec).cast("array<double>"), "_s", lambda x, s: (x - s["mean"]) / s["scale"])
+    return out.withColumn(name or vec, scaled).drop("_s")
+
+
 def support(df: DataFrame, features: list[str], split="split", train="train") -> Column:
     aggs = []
     for f in features:

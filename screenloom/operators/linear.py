@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, functions as F
+
+from screenloom.functions.sizes import broadcast_if_small
+from screenloom.session import durable
 
 ALPHAS = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]
 HELD = 64
@@ -136,13 +140,29 @@ def r2_from_gram(weights: DataFrame, g: DataFrame, by: list[str], width: int, ta
     return j.select(*fit, F.when(sst > 0, 1 - F.try_divide(sse, sst)).alias("r2"))
 
 
+def assembled(df: DataFrame, features: list[str], name: str = "_x") -> DataFrame:
+    """``features`` (numbers or arrays, in order) as one vector column."""
+    kinds = dict(df.dtypes)
+    parts = [F.col(f).cast("array<double>") if kinds[f].startswith("array") else F.array(F.col(f).cast("double")) for f in features]
+    return df.withColumn(name, array_to_vector(F.concat(*parts)))
+
+
+class Fitted:
+    """A fitted model with the features it reads."""
+
+    def __init__(self, model, features: list[str]):
+        self.model, self.features = model, features
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(assembled(df, self.features)).drop("_x")
+
+
 def fit_linear(df: DataFrame, features: list[str], label: str, alpha: float = 0.0, prediction: str = "prediction"):
-    """Ordinary (alpha 0) or ridge regression with a free intercept, as a Spark ML pipeline model.
+    """Ordinary (alpha 0) or ridge regression with a free intercept, as a Spark ML model; features are
+    numbers or arrays.
 
     Spark scales its penalty by the label's spread, so the usual alpha becomes
     alpha * stddev_pop(y) / n.  Returns None when the label is constant or there are no rows."""
-    from pyspark.ml import Pipeline
-
     n, sd = df.agg(F.count(label), F.stddev_pop(label)).first()
     if not n or not sd:
         return None
@@ -150,26 +170,24 @@ def fit_linear(df: DataFrame, features: list[str], label: str, alpha: float = 0.
         featuresCol="_x", labelCol=label, predictionCol=prediction, solver="normal", standardization=False,
         elasticNetParam=0.0, regParam=alpha * sd / n,
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), lr]).fit(df)
+    return Fitted(lr.fit(assembled(df, features)), features)
 
 
 def fit_forest(df: DataFrame, features: list[str], label: str, seed: int, trees=200, depth=20, leaf=2):
-    from pyspark.ml import Pipeline
     from pyspark.ml.regression import RandomForestRegressor
 
     rf = RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), rf]).fit(df)
+    return Fitted(rf.fit(assembled(df, features)), features)
 
 
 def fit_boosted(df: DataFrame, features: list[str], label: str, seed: int, rounds=500, depth=6, step=0.05, held_out: str | None = None):
     """Boosted trees; ``held_out`` names a boolean column of rows that decide early stopping."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.regression import GBTRegressor
 
     gbt = GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
     if held_out:
         gbt = gbt.setValidationIndicatorCol(held_out)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), gbt]).fit(df)
+    return Fitted(gbt.fit(assembled(df, features)), features)
 
 
 def probe_r2(df: DataFrame, by: list[str], vec, targets: list[str], ridge: float = 1e-3) -> DataFrame:
@@ -181,26 +199,38 @@ def probe_r2(df: DataFrame, by: list[str], vec, targets: list[str], ridge: float
     return per.groupBy(*by).agg(F.avg("r2").alias("probe_r2")) if by else per.agg(F.avg("r2").alias("probe_r2"))
 
 
-def separability(df: DataFrame, key: str, vec: str, cls: str, classes: list, k: int = 5, seed=0, ridge: float = 1.0) -> DataFrame:
-    """Mean held-out accuracy of a one-against-rest ridge classifier over stratified folds.
+def separability(df: DataFrame, key: str, vec: str, cls: str, k: int = 5, seed=0, ridge: float = 1.0) -> DataFrame:
+    """Mean held-out accuracy of a one-against-rest ridge classifier over stratified folds; NULL for
+    fewer than two classes.
 
-    Products are summed per fold once; the training table of a fold is the total less its own."""
+    Products are summed per fold once, and the vectors per fold and class: the +-1 targets of a class
+    follow from its sum and the total.  The training table of a fold is the total less its own."""
+    from screenloom.functions.ordered import ordinal
     from screenloom.operators.resample import stratified_folds
 
     width = df.select(F.max(F.size(vec))).first()[0]
-    names = [f"_is_{i}" for i in range(len(classes))]
+    ids = durable(ordinal(df.select(cls).distinct(), [], [cls], "_c").select(cls, F.col("_c").cast("int").alias("_c")))
+    n = ids.count()
     rows = stratified_folds(df.select(key, cls, vec), cls, key, k, seed)
-    for nme, c in zip(names, classes):
-        rows = rows.withColumn(nme, F.when(F.col(cls) == F.lit(c), 1.0).otherwise(-1.0))
-    g = gram(rows, ["fold"], F.col(vec), names)
-    rest = g.withColumn("s", F.sum("s").over(Window.partitionBy("i", "j")) - F.col("s"))
-    w = ridge_weights(rest, ["fold"], width, len(classes), [ridge], penalize_one=True)
+    whole = F.concat(F.col(vec).cast("array<double>"), F.array(F.lit(1.0)))
+    own = rows.groupBy("fold", cls).agg(vector_to_array(Summarizer.sum(array_to_vector(whole))).alias("_s"))
+    per_class = own.join(ids, cls).select("fold", F.col("_c").alias("j"), F.posexplode("_s").alias("i", "s"))
+
+    def rest(t: DataFrame) -> DataFrame:
+        total = t.groupBy("i", "j").agg(F.sum("s").alias("_all"))
+        spread = total.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        return spread.join(t, ["fold", "i", "j"], "left").select("fold", "i", "j", (F.col("_all") - F.coalesce("s", F.lit(0.0))).alias("s"))
+
+    g = rest(gram(rows, ["fold"], F.col(vec)))
+    ones = g.where(F.col("j") == width).select("fold", "i", F.col("s").alias("_t"))
+    targets = rest(per_class).join(ones, ["fold", "i"]).select("fold", "i", (F.col("j") + width + 1).alias("j"), (2 * F.col("s") - F.col("_t")).alias("s"))
+    w = ridge_weights(g.unionByName(targets), ["fold"], width, n, [ridge], penalize_one=True)
     per_fold = w.groupBy("fold").agg(F.sort_array(F.collect_list(F.struct("target", "w"))).alias("ws"))
-    scored = rows.join(F.broadcast(per_fold), "fold").select(
+    scored = rows.withColumn("_v", whole).join(broadcast_if_small(per_fold), "fold").select(
         "fold", cls,
-        F.transform("ws", lambda t: F.aggregate(
-            F.zip_with(F.concat(vec, F.array(F.lit(1.0))), t["w"], lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)).alias("score"),
+        F.transform("ws", lambda t: F.aggregate(F.zip_with("_v", t["w"], lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)).alias("score"),
     )
-    pick = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("score", F.array_max("score")).cast("int"))
-    acc = scored.groupBy("fold").agg(F.avg((pick == F.col(cls)).cast("double")).alias("acc"))
-    return acc.agg(F.avg("acc").alias("accuracy"), F.count(F.lit(1)).alias("n_folds"), F.lit(1.0 / len(classes)).alias("chance"))
+    picked = scored.join(ids, cls).withColumn("_hit", F.array_position("score", F.array_max("score")) - 1 == F.col("_c"))
+    acc = picked.groupBy("fold").agg(F.avg(F.col("_hit").cast("double")).alias("acc"))
+    mean = F.when(F.lit(n > 1), F.avg("acc"))
+    return acc.agg(mean.alias("accuracy"), F.count(F.lit(1)).alias("n_folds"), F.lit(1.0 / max(n, 1)).alias("chance"))

@@ -166,6 +166,17 @@ def density_weights(train: DataFrame, value: str, bins=20, sigma=2.0, cap=5.0, t
     )
 
 
+def density_weighted_error(rows: DataFrame, table: DataFrame, y: str, yhat: str) -> DataFrame:
+    """Mean squared error of scored rows, each weighted by its label's bin: bins are open on the left, and
+    labels outside the edges belong to the first or last.  A zero weight total gives the plain mean."""
+    bins = table.agg(F.array_sort(F.collect_list(F.struct("bin", "left_edge", "weight"))).alias("b")).select("b").scalar()
+    # the table is a column first: a subquery may not stand inside a higher-order function
+    marked = rows.select(F.col(y).alias("_y"), F.col(yhat).alias("_p"), bins.alias("_b"))
+    inner = F.filter(F.slice("_b", F.lit(2), F.size("_b")), lambda b: F.col("_y") > b["left_edge"])
+    weighted = marked.withColumn("_w", F.get("_b", F.size(inner))["weight"])
+    return weighted.agg(S.weighted_mse("_y", "_p", "_w").alias("weighted_mse"), F.count(F.lit(1)).alias("n"))
+
+
 def transfer_gap(per_context: DataFrame, home: Column, r2="r2", rho="spearman") -> DataFrame:
     """Home metric minus away metric for every away context, relative gap, and the worst context."""
     at_home = per_context.where(home).agg(F.avg(r2).alias("h"), F.avg(rho).alias("s"))

@@ -371,6 +371,24 @@ def a9(spark, d):
     return st.select("feature", r("mean", "mean"), r("scale", "scale"), r("var", "var"), "n", "near_constant")
 
 
+BLOCKSQL = f"""{EMB}, eb AS (SELECT cell_id, d, x, CASE WHEN cell_id % 10 < 6 THEN 'train' WHEN cell_id % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM embl),
+  bs AS (SELECT d, avg(x) AS u, stddev_pop(x) AS v, count(*) AS n FROM eb WHERE split = 'train' GROUP BY 1)"""
+
+
+@query("A9_train_scaler_vector", f"WITH {BLOCKSQL} SELECT CAST(d - 1 AS INTEGER) AS pos, {rd('u')} AS mean, {rd('CASE WHEN v > 0 THEN v ELSE 1 END')} AS scale, n, v * v <= 1e-12 AS near_constant FROM bs")
+def a9v(spark, d):
+    from screenloom.plans.inference import emb_rows
+    return X.fit_block_scaler(emb_rows(spark, d), "emb").select("pos", r("mean", "mean"), r("scale", "scale"), "n", "near_constant")
+
+
+@query("A10_frozen_scaler_vector", f"WITH {BLOCKSQL} SELECT cell_id, split, CAST(d - 1 AS INTEGER) AS pos, {rd('(x - u) / CASE WHEN v > 0 THEN v ELSE 1 END')} AS z FROM eb JOIN bs USING (d)")
+def a10v(spark, d):
+    from screenloom.plans.inference import emb_rows
+    e = emb_rows(spark, d)
+    return X.apply_block_scaler(e, X.fit_block_scaler(e, "emb"), "emb").select("cell_id", "split", F.posexplode("emb").alias("pos", "z")).select(
+        "cell_id", "split", "pos", r("z", "z"))
+
+
 @query("A10_frozen_scaler_apply", f"""WITH {MAGROWS}{SCALERS},
   p AS (SELECT max(CASE WHEN feature = 'mean_abs' THEN mean END) m1, max(CASE WHEN feature = 'mean_abs' THEN sqrt(var) END) s1,
                max(CASE WHEN feature = 'l2' THEN mean END) m2, max(CASE WHEN feature = 'l2' THEN sqrt(var) END) s2,

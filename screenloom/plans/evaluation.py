@@ -7,20 +7,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from screenloom.functions import stats as S
 from screenloom.operators import features as X, linear as L, metrics as M
-from screenloom.operators.audit import Forbidden
+from screenloom.operators.audit import Forbidden, portable_digest
 from screenloom.session import durable
 
 
 class Frozen:
-    """The written choice per arm.  Test rows are scored only through this object, so choosing always
-    comes before testing."""
+    """The written choice per arm and its digest, taken before any test row is scored.  Test rows are
+    scored only through this object, and their scores carry the digest of the choice they used."""
 
     def __init__(self, table: DataFrame):
         self.table = durable(table)
+        self.digest = self.content()
+
+    def content(self) -> str:
+        """Digest of the table as it lies in the folder now."""
+        row = portable_digest(self.table, ["arm", "selected"]).first()
+        return "|".join(str(x) for x in row)
 
     def keep(self, scores: DataFrame, arm="arm", family="family") -> DataFrame:
         chosen = self.table.select(arm, F.col("selected").alias(family))
-        return scores.join(F.broadcast(chosen), [arm, family], "left_semi")
+        return scores.join(F.broadcast(chosen), [arm, family], "left_semi").withColumn("frozen", F.lit(self.digest))
 
 
 def validation_table(scores: DataFrame) -> DataFrame:
@@ -39,29 +45,36 @@ def freeze(val: DataFrame) -> Frozen:
 def test_table(frozen: Frozen, scores: DataFrame) -> DataFrame:
     """Metrics of the chosen family per arm: each seed once, then mean and spread over seeds."""
     kept = frozen.keep(scores.where(F.col("split") == "test"))
-    keys = ["arm", "family", "seed"]
+    keys = ["arm", "family", "seed", "frozen"]
     per = kept.groupBy(*keys).agg(S.r2("y", "yhat").alias("r2")).join(
         M.spearman(kept, keys, {"rho": ("y", "yhat")}), keys)
-    return per.groupBy("arm", "family").agg(
+    return per.groupBy("arm", "family", "frozen").agg(
         F.avg("r2").alias("r2_mean"), F.stddev_samp("r2").alias("r2_sd"), F.avg("rho").alias("spearman_mean"),
         F.stddev_samp("rho").alias("spearman_sd"), F.count(F.lit(1)).alias("n_seeds"),
     )
 
 
 def sweep(rows: DataFrame, arms: dict[str, list[str]], families: dict, seeds: list[int], key: str, label: str) -> DataFrame:
-    """arm, family, seed, split, key, y, yhat for every arm, family and seed.  A family is a function
-    (training rows, features, label, seed) -> model.  Models are few; the rows they score are not."""
-    train = rows.where(F.col("split") == "train")
+    """arm, family, seed, split, key, y, yhat for every arm, family and seed.
+
+    An arm is a list of columns, numbers or vectors; they are joined to one block, scaled by the training
+    rows, and handed to each family, a function (training rows, features, label, seed) -> model.  Models
+    are few; the rows they score are not."""
     parts = []
     for arm, feats in arms.items():
+        kinds = dict(rows.dtypes)
+        block = F.concat(*[F.col(f).cast("array<double>") if kinds[f].startswith("array") else F.array(F.col(f).cast("double")) for f in feats])
+        narrow = rows.select(F.col(key).alias("key"), "split", F.col(label).alias("y"), block.alias("_arm"))
+        scaled = durable(X.apply_block_scaler(narrow, X.fit_block_scaler(narrow, "_arm"), "_arm"))
+        train, rest = scaled.where(F.col("split") == "train"), scaled.where(F.col("split") != "train")
         for family, fit in families.items():
             for seed in seeds:
-                model = fit(train, feats, label, seed)
+                model = fit(train, ["_arm"], "y", seed)
                 if model is None:
                     continue
-                parts.append(model.transform(rows.where(F.col("split") != "train")).select(
+                parts.append(model.transform(rest).select(
                     F.lit(arm).alias("arm"), F.lit(family).alias("family"), F.lit(seed).alias("seed"), "split",
-                    F.col(key).alias("key"), F.col(label).alias("y"), F.col("prediction").alias("yhat")))
+                    "key", "y", F.col("prediction").alias("yhat")))
     if not parts:
         kinds = dict(rows.dtypes)
         return rows.sparkSession.createDataFrame(
@@ -99,6 +112,14 @@ def reproduction_gate(measured: DataFrame, expected: DataFrame, key: str, tolera
         key, "expected", "mean", "sd", "k", F.coalesce(within, F.lit(False)).alias("pass"))
 
 
+def overall(gate: DataFrame) -> DataFrame:
+    """One verdict over all items: reproduced only when every one passes and there is one."""
+    return gate.agg(
+        F.count(F.lit(1)).alias("n_items"), F.count_if("pass").alias("n_passed"),
+        (F.count_if("pass") == F.count(F.lit(1))).alias("_all"),
+    ).select("n_items", "n_passed", (F.col("_all") & (F.col("n_items") > 0)).alias("pass"))
+
+
 def objective(spark: SparkSession, terms: dict[str, DataFrame | None], weights: dict[str, float]) -> DataFrame:
     """Each loss term, disabled ones as zero, and their weighted total in one row.  A term is a
     one-row, one-column frame."""

@@ -7,11 +7,11 @@ from screenloom.functions import stats as S, vector as V
 from screenloom.operators import blocks as K, controls as C, features as X, linear as L, metrics as M
 from screenloom.plans import evaluation as E
 from screenloom.plans.build import KEYS, MAG, Screen, magnitude_rows
-from screenloom.plans.inference import emb_rows
+from screenloom.plans.inference import SPLITOF, emb_rows, nsql, permsql
 from screenloom.plans.pairing import MMD, SOFT, soft_loss
-from screenloom.plans.registry import query, r
-from screenloom.plans.scoring import LABELLED, R2, labelled, rounded
-from screenloom.plans.sqltext import CELLS, EMB, SCORES, rd
+from screenloom.plans.registry import ORACLES, query, r
+from screenloom.plans.scoring import LABELLED, R2, avg_rank, labelled, pear, rounded
+from screenloom.plans.sqltext import CELLS, EMB, SCORES, normal, rd, ridge_sql
 from screenloom.sources import roles
 from screenloom.session import durable
 
@@ -42,20 +42,22 @@ def m15(spark, d):
 
 
 def _probe(spark, d):
-    e = roles.cell_embeddings(spark, d).withColumn("u0", F.col("emb")[40] + F.col("emb")[0]).withColumn("u1", F.col("emb")[41])
-    return L.probe_r2(e, [], F.slice("emb", 1, 16), ["u0", "u1"])
+    e = roles.cell_embeddings(spark, d).select("*", *V.magnitude("emb"))
+    return L.probe_r2(e, [], F.col("emb"), ["mean_abs", "max_abs"])
 
 
-@query("M20_linear_probe_r2")
-def m20(spark, d):
-    return _probe(spark, d).select(r("probe_r2", "probe_r2"))
+PROBE = f"""q_f AS (SELECT cell_id AS rid, d, x FROM embl UNION ALL SELECT cell_id, 65, 1.0 FROM emb), mg AS (SELECT cell_id, avg(abs(x)) AS a, max(abs(x)) AS b FROM embl GROUP BY 1),
+  q_y AS (SELECT cell_id AS rid, 1 AS t, a AS y FROM mg UNION ALL SELECT cell_id, 2, b FROM mg), {ridge_sql('q', [], [1e-3], center=False)},
+  q_pr AS (SELECT rid, t, sum(w * x) AS p FROM q_f JOIN q_w USING (d) GROUP BY ALL),
+  q_out AS (SELECT avg(r2) AS probe_r2 FROM (SELECT t, {R2.format(p='p')} AS r2 FROM q_pr JOIN q_y USING (rid, t) GROUP BY t))"""
 
 
-def _classes(df, col):
-    return [x[0] for x in df.select(col).distinct().orderBy(col).collect()]
+@query("M20_linear_probe_r2", f"WITH RECURSIVE {EMB}, {PROBE} SELECT {rd('probe_r2')} AS probe_r2 FROM q_out")
+def m20(spark, d):
+    return _probe(spark, d).select(r("probe_r2", "probe_r2"))
 
 
-PROBE1 = f"""{EMB}, p AS (SELECT cell_id, sum(x) FILTER (d = 1) AS z, sum(x) FILTER (d IN (1, 41)) AS u0, sum(x) FILTER (d = 42) AS u1 FROM embl GROUP BY 1),
+PROBE1 = f"""{EMB}, p AS (SELECT cell_id, sum(x) AS z, sum(x) FILTER (d IN (1, 41)) AS u0, sum(x) FILTER (d = 42) AS u1 FROM embl GROUP BY 1),
   g AS (SELECT sum(z * z) + 1e-3 AS a, sum(z) AS b, count(*) + 1e-3 AS c, sum(z * u0) AS p0, sum(u0) AS q0, sum(z * u1) AS p1, sum(u1) AS q1 FROM p),
   w AS (SELECT (c * p0 - b * q0) / (a * c - b * b) AS w0, (a * q0 - b * p0) / (a * c - b * b) AS b0, (c * p1 - b * q1) / (a * c - b * b) AS w1, (a * q1 - b * p1) / (a * c - b * b) AS b1 FROM g)
   SELECT {rd('(1 - sum((u0 - w0 * z - b0) * (u0 - w0 * z - b0)) / (var_pop(u0) * count(*)) + 1 - sum((u1 - w1 * z - b1) * (u1 - w1 * z - b1)) / (var_pop(u1) * count(*))) / 2')} AS probe_r2 FROM p, w"""
@@ -64,33 +66,49 @@ PROBE1 = f"""{EMB}, p AS (SELECT cell_id, sum(x) FILTER (d = 1) AS z, sum(x) FIL
 @query("M20_linear_probe_r2_scalar", f"WITH {PROBE1}")
 def m20s(spark, d):
     e = roles.cell_embeddings(spark, d).withColumn("u0", F.col("emb")[40] + F.col("emb")[0]).withColumn("u1", F.col("emb")[41])
-    return L.probe_r2(e, [], F.slice("emb", 1, 1), ["u0", "u1"]).select(r("probe_r2", "probe_r2"))
+    return L.probe_r2(e, [], F.array(V.vsum("emb")), ["u0", "u1"]).select(r("probe_r2", "probe_r2"))
+
 
+def separability_sql(n: str, cls: str, feats: str) -> str:
+    """``{n}_out`` (accuracy, n_folds, chance) for the classes in column ``cls``; ``feats`` gives cell_id, d, x with a constant last."""
+    return f"""{n}_x AS ({feats}),
+  {n}_k AS (SELECT cell_id, {cls} AS cls, dense_rank() OVER (ORDER BY {cls}) AS t, CAST(ntile(5) OVER (PARTITION BY {cls} ORDER BY md5(concat_ws('|', '0', cell_id))) - 1 AS INTEGER) AS fold FROM emb),
+  {n}_h AS (SELECT DISTINCT fold AS out FROM {n}_k), {n}_u AS (SELECT DISTINCT t AS u FROM {n}_k),
+  {n}_f AS (SELECT out AS fold, x.cell_id AS rid, d, x FROM {n}_h JOIN {n}_k k ON k.fold <> out JOIN {n}_x x ON x.cell_id = k.cell_id),
+  {n}_y AS (SELECT out AS fold, cell_id AS rid, u AS t, CASE WHEN u = t THEN 1.0 ELSE -1.0 END AS y FROM {n}_h JOIN {n}_k k ON k.fold <> out, {n}_u),
+  {ridge_sql(n, ['fold'], [1.0], center=False)},
+  {n}_sc AS (SELECT x.cell_id, fold, any_value(k.t) AS own, w.t, sum(w * x) AS score FROM {n}_x x JOIN {n}_k k USING (cell_id) JOIN {n}_w w USING (fold, d) GROUP BY x.cell_id, fold, w.t),
+  {n}_rn AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY score DESC, t) AS rn FROM {n}_sc),
+  {n}_ac AS (SELECT fold, avg(CASE WHEN t = own THEN 1.0 ELSE 0 END) AS acc FROM {n}_rn WHERE rn = 1 GROUP BY 1),
+  {n}_out AS (SELECT avg(acc) AS accuracy, count(*) AS n_folds, (SELECT 1.0 / count(*) FROM {n}_u) AS chance FROM {n}_ac)"""
 
-SEP1 = f"""{EMB}, z AS (SELECT cell_id, construct, sum(x) FILTER (d <= 8) AS z FROM embl GROUP BY ALL),
-  f AS (SELECT *, CAST(ntile(5) OVER (PARTITION BY construct ORDER BY md5(concat_ws('|', '0', cell_id))) - 1 AS INTEGER) AS fold FROM z),
-  k AS (SELECT DISTINCT fold FROM f), c AS (SELECT DISTINCT construct AS cls FROM f),
-  g AS (SELECT k.fold, cls, sum(z * z) + 1 AS a, sum(z) AS b, count(*) + 1 AS c, sum(z * CASE WHEN construct = cls THEN 1 ELSE -1 END) AS p, sum(CASE WHEN construct = cls THEN 1 ELSE -1 END) AS q
-    FROM k CROSS JOIN c JOIN f ON f.fold <> k.fold GROUP BY ALL),
-  w AS (SELECT fold, cls, (c * p - b * q) / (a * c - b * b) AS w, (a * q - b * p) / (a * c - b * b) AS w0 FROM g),
-  s AS (SELECT cell_id, construct, f.fold, cls, row_number() OVER (PARTITION BY cell_id ORDER BY w * z + w0 DESC, cls) AS rn FROM f JOIN w USING (fold)),
-  acc AS (SELECT fold, avg(CASE WHEN cls = construct THEN 1.0 ELSE 0 END) AS acc FROM s WHERE rn = 1 GROUP BY 1)
-  SELECT {rd('avg(acc)')} AS accuracy, count(*) AS n_folds, {rd('any_value(1.0 / n)')} AS chance FROM acc, (SELECT count(*) AS n FROM c)"""
 
+WHOLE = "SELECT cell_id, d, x FROM embl UNION ALL SELECT cell_id, 65, 1.0 FROM emb"
+ONE = "SELECT cell_id, 1 AS d, sum(x) AS x FROM embl GROUP BY 1 UNION ALL SELECT cell_id, 2, 1.0 FROM emb"
+SEPOUT = f"SELECT {rd('accuracy')} AS accuracy, n_folds, {rd('chance')} AS chance FROM s_out"
 
-@query("M21_context_separability_scalar", f"WITH {SEP1}")
+
+@query("M21_context_separability_scalar", f"WITH RECURSIVE {EMB}, {separability_sql('s', 'construct', ONE)} {SEPOUT}")
 def m21s(spark, d):
-    e = roles.cell_embeddings(spark, d).withColumn("z", F.array(V.vsum(F.slice("emb", 1, 8))))
-    return L.separability(e, "cell_id", "z", "construct", _classes(e, "construct")).select(r("accuracy", "accuracy"), "n_folds", r("chance", "chance"))
+    e = roles.cell_embeddings(spark, d).withColumn("z", F.array(V.vsum("emb")))
+    return L.separability(e, "cell_id", "z", "construct").select(r("accuracy", "accuracy"), "n_folds", r("chance", "chance"))
 
 
-@query("M21_context_separability")
+@query("M21_context_separability", f"WITH RECURSIVE {EMB}, {separability_sql('s', 'construct', WHOLE)} {SEPOUT}")
 def m21(spark, d):
     e = roles.cell_embeddings(spark, d)
-    return L.separability(e, "cell_id", "emb", "construct", _classes(e, "construct")).select(r("accuracy", "accuracy"), "n_folds", r("chance", "chance"))
+    return L.separability(e, "cell_id", "emb", "construct").select(r("accuracy", "accuracy"), "n_folds", r("chance", "chance"))
+
 
+CKAS = """ka AS (SELECT batch, cell_id, row_number() OVER (PARTITION BY batch ORDER BY cell_id) AS p, count(*) OVER (PARTITION BY batch) AS n FROM emb),
+  kp AS (SELECT a.batch AS ca, b.batch AS cb, a.p, a.cell_id AS ia, b.cell_id AS ib FROM ka a JOIN ka b ON a.p = b.p AND a.n = b.n AND a.batch < b.batch),
+  kx AS (SELECT ca, cb, p, d, x FROM kp JOIN embl ON cell_id = ia UNION ALL SELECT ca, cb, p, d + 64, x FROM kp JOIN embl ON cell_id = ib),
+  ks AS (SELECT a.ca, a.cb, a.d AS i, b.d AS j, covar_pop(a.x, b.x) * count(*) AS s FROM kx a JOIN kx b USING (ca, cb, p) GROUP BY ALL),
+  kc AS (SELECT ca, cb, sum(CASE WHEN i <= 64 AND j > 64 THEN s * s END) / (sqrt(sum(CASE WHEN i <= 64 AND j <= 64 THEN s * s END)) * sqrt(sum(CASE WHEN i > 64 AND j > 64 THEN s * s END))) AS cka FROM ks GROUP BY ALL)"""
 
-@query("M22_representation_bundle")
+
+@query("M22_representation_bundle", f"""WITH RECURSIVE {MMD}, {PROBE}, {separability_sql('s', 'batch', WHOLE)}, {CKAS}
+  SELECT {rd('(SELECT avg(mmd2) FROM mm)')} AS mean_mmd2, {rd('(SELECT avg(cka) FROM kc)')} AS mean_linear_cka, {rd('probe_r2')} AS probe_r2, {rd('accuracy')} AS separability FROM q_out, s_out""")
 def m22(spark, d):
     """Mean MMD, mean linear similarity over equal-size contexts aligned by order, probe, separability."""
     from screenloom.functions.ordered import ordinal
@@ -101,7 +119,7 @@ def m22(spark, d):
     b = pos.select(F.col("batch").alias("ctx_b"), "p", F.col("p_n").alias("nb"), F.col("emb").alias("eb"))
     same = context_pairs(e, "batch").join(a, "ctx_a").join(b, ["ctx_b", "p"]).where("na = nb")
     cka = L.linear_cka(L.gram(same, ["ctx_a", "ctx_b"], F.concat("ea", "eb")), ["ctx_a", "ctx_b"], 64, 128)
-    sep = L.separability(e, "cell_id", "emb", "batch", _classes(e, "batch"))
+    sep = L.separability(e, "cell_id", "emb", "batch")
     return E.objective(spark, {
         "mean_mmd2": K.mean_mmd2(e, "batch", "cell_id", "emb").select("mean_mmd2"),
         "mean_linear_cka": cka.agg(F.avg("linear_cka")), "probe_r2": _probe(spark, d), "separability": sep.select("accuracy"),
@@ -109,7 +127,7 @@ def m22(spark, d):
 
 
 @query("M26_composite_objective", f"""WITH {MMD}, {SOFT[len(EMB) + 2:]}, {COV[len(EMB) + 2:]},
-  e AS (SELECT avg((x - y) * (x - y)) AS l_pred FROM (SELECT cell_id, x FROM embl WHERE d = 1) a JOIN (SELECT cell_id, x AS y FROM embl WHERE d = 2) b USING (cell_id)),
+  e AS (SELECT avg((a.x - b.x) * (a.x - b.x)) AS l_pred FROM embl a JOIN embl b ON a.cell_id = b.cell_id AND b.d = a.d + 32),
   pooled AS (SELECT a.d AS i, b.d AS j, covar_samp(a.x, b.x) AS c FROM half a JOIN half b USING (cell_id) GROUP BY ALL),
   s AS (SELECT sum(CASE WHEN i <= 32 AND j > 32 THEN c * c END) / (sqrt(sum(CASE WHEN i <= 32 AND j <= 32 THEN c * c END)) * sqrt(sum(CASE WHEN i > 32 AND j > 32 THEN c * c END)) + 1e-8) AS l_sep FROM pooled),
   t AS (SELECT l_pred, (SELECT avg(mmd2) FROM mm) AS l_stab, (SELECT avg(1 - rho) FROM sc) AS l_rel, l_sep FROM e, s)
@@ -119,7 +137,7 @@ def m26(spark, d):
     e = roles.cell_embeddings(spark, d)
     g = L.gram(e, [], F.col("emb"))
     out = E.objective(spark, {
-        "l_pred": e.agg(S.mse(F.col("emb")[0], F.col("emb")[1]).alias("v")),
+        "l_pred": e.select(F.aggregate(F.zip_with(F.slice("emb", 1, 32), F.slice("emb", 33, 32), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, b: a + b).alias("q")).agg(F.avg("q") / 32),
         "l_stab": K.mean_mmd2(e, "batch", "cell_id", "emb").select("mean_mmd2"),
         "l_rel": soft_loss(spark, d).select("loss"), "l_sep": L.covariance_penalty(g, [], 32, 64).select("penalty"), "l_off": None,
     }, {"l_stab": 0.5, "l_rel": 0.1, "l_sep": 0.2, "l_off": 3.0})
@@ -169,13 +187,23 @@ def l6(spark, d):
     return p.groupBy("split").agg(r(S.r2("y", "pm"), "max_r2"), r(S.r2("y", "pc"), "count_r2"))
 
 
-@query("L6_linear_secondaries")
+SECONDARY = {"MAG": MAG, "MAX": ["max_abs"], "COUNT": ["log_n"], "MAG+COUNT": [*MAG, "log_n"]}
+L6F = " UNION ALL ".join(f"SELECT '{arm}' AS arm, rid, split, {i + 1} AS d, {c} AS x FROM lb" for arm, cs in SECONDARY.items() for i, c in enumerate(cs))
+L6SQL = f"""{LABELLED}, lb AS (SELECT *, concat_ws('|', split, batch, target) AS rid FROM lab), fr AS ({L6F}),
+  fs AS (SELECT arm, d, avg(x) AS u, stddev_pop(x) AS v FROM fr WHERE split = 'train' GROUP BY ALL),
+  fx AS (SELECT arm, rid, split, d, (x - u) / CASE WHEN v > 0 THEN v ELSE 1 END AS x FROM fr JOIN fs USING (arm, d)),
+  q_f AS (SELECT arm, rid, d, x FROM fx WHERE split = 'train'), q_y AS (SELECT DISTINCT arm, lb.rid, 1 AS t, y FROM lb JOIN q_f USING (rid)), {ridge_sql('q', ['arm'], [0.0])},
+  pr AS (SELECT arm, fx.split, rid, any_value(my) + sum(w * (x - mx)) AS p, any_value(y) AS y FROM fx JOIN q_w USING (arm, d) JOIN q_m USING (arm, d) JOIN q_my USING (arm) JOIN lb USING (rid) WHERE fx.split <> 'train' GROUP BY arm, fx.split, rid),
+  rk AS (SELECT *, {avg_rank('y', 'arm, split')} AS ry, {avg_rank('p', 'arm, split')} AS rp FROM pr)
+  SELECT arm, split, count(*) AS n, {rd(R2.format(p='p'), 4)} AS r2, {rd(pear('ry', 'rp'), 4)} AS rho FROM rk GROUP BY ALL"""
+
+
+@query("L6_linear_secondaries", f"WITH RECURSIVE {L6SQL}")
 def l6m(spark, d):
     """MAG, MAX, COUNT and MAG+COUNT fitted once on training rows, scored elsewhere."""
     rows = _mag_model_rows(spark, d)
-    arms = {"MAG": MAG, "MAX": ["max_abs"], "COUNT": ["log_n"], "MAG+COUNT": [*MAG, "log_n"]}
-    s = E.sweep(rows, arms, {"ols": lambda t, f, y, seed: L.fit_linear(t, f, y)}, [0], "key", "y")
-    rho = M.spearman(s, ["arm", "split"], {"rho": ("y", "yhat")}, limit=None)
+    s = durable(E.sweep(rows, SECONDARY, {"ols": lambda t, f, y, seed: L.fit_linear(t, f, y)}, [0], "key", "y"))
+    rho = M.spearman(s, ["arm", "split"], {"rho": ("y", "yhat")})
     return s.groupBy("arm", "split").agg(F.count("*").alias("n"), S.r2("y", "yhat").alias("r2")).join(rho, ["arm", "split"]).select(
         "arm", "split", "n", r("r2", "r2", 4), r("rho", "rho", 4))
 
@@ -194,35 +222,104 @@ def l2(spark, d):
     return out
 
 
-def _sweep_scores(spark, d):
-    rows = durable(split_scores(spark, d).withColumn("split", F.col("split")).select(
-        F.col("row_key"), "split", "y", "pred_a", "pred_b", F.get(C.noise("row_key", 1, C.SEEDS["C1"]), 0).alias("noise")))
-    fams = {
-        "ols": lambda t, f, y, seed: L.fit_linear(t, f, y),
-        "ridge": lambda t, f, y, seed: L.fit_linear(t, f, y, alpha=100.0),
-        "forest": lambda t, f, y, seed: L.fit_forest(t, f, y, seed, trees=5, depth=3),
-    }
-    return durable(E.sweep(rows, {"scores": ["pred_a", "pred_b"], "C1": ["noise"]}, fams, [0, 1], "row_key", "y"))
+def _vector_rows(spark, d):
+    """cell_id, split, y and the vector arms: z, m, and the controls C1 to C5."""
+    e = emb_rows(spark, d).select("*", *V.magnitude("emb"))
+    e = e.withColumn("m", F.array("mean_abs", F.round("l2", 6), "max_abs", "sd")).drop(*MAG)
+    e = e.withColumn("C1", C.noise("cell_id", 68, C.SEEDS["C1"]))
+    e = C.project(e, "emb", C.projection_matrix(spark, 64, 16), "C2")
+    lone = e.select("split", "cell_id", F.col("emb").alias("C3"))
+    e = e.join(C.shuffled(lone, "cell_id", ["C3"], C.SEEDS["C3"]).select("cell_id", "C3"), "cell_id")
+    mags = e.select("split", "cell_id", F.col("m").alias("q"))
+    e = e.join(C.shuffled(mags, "cell_id", ["q"], C.SEEDS["C4"]).select("cell_id", F.col("q").alias("C4")), "cell_id")
+    y = F.substring("construct", 2, 9).cast("double") + F.col("emb")[0] + F.col("m")[2]
+    return durable(e.select("cell_id", "split", y.alias("y"), F.col("emb").alias("z"), "m", "C1", "C2", "C3", "C4", C.noise("cell_id", 4, C.SEEDS["C5"]).alias("C5")))
+
+
+VECTOR_ARMS = {"z": ["z"], "m": ["m"], "zm": ["z", "m"], "C1": ["C1"], "C2": ["C2"], "C3": ["C3"], "C4": ["z", "C4"], "C5": ["z", "C5"]}
 
 
 @query("L3_sweep_select_freeze_test")
 def l3(spark, d):
-    s = _sweep_scores(spark, d)
+    """Vector arms, three families, three seeds; trees smaller than the functions' defaults."""
+    rows = _vector_rows(spark, d).withColumn("held", F.col("cell_id") % 10 == 5)
+    fams = {
+        "ridge": lambda t, f, y, seed: L.fit_linear(t, f, y, alpha=1.0),
+        "forest": lambda t, f, y, seed: L.fit_forest(t, f, y, seed, trees=10, depth=5),
+    }
+    arms = {a: VECTOR_ARMS[a] for a in ("z", "m", "zm")}
+    s = durable(E.sweep(rows, arms, fams, [0, 1, 2], "cell_id", "y"))
     frozen = E.freeze(E.validation_table(s.where("split = 'val'")))
     t = E.test_table(frozen, s)
     return t.select("arm", "family", *[r(c, c, 3) for c in ("r2_mean", "r2_sd", "spearman_mean", "spearman_sd")], "n_seeds")
 
 
-@query("L4_recoverability_probe_grid")
+ER = f"""er AS (SELECT cell_id, {SPLITOF} AS split FROM emb), mg AS (SELECT cell_id, avg(abs(x)) AS m1, round(sqrt(sum(x * x)), 6) AS m2, max(abs(x)) AS m3, stddev_pop(x) AS m4 FROM embl GROUP BY 1),
+  ml AS (SELECT cell_id, unnest([1, 2, 3, 4]) AS d, unnest([m1, m2, m3, m4]) AS x FROM mg),
+  prj AS (SELECT cell_id, j AS d, sum(x * r) AS x FROM embl JOIN (SELECT i, j, {normal(20270102, 'i', 'j')} / sqrt(16.0) AS r FROM (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 17)) AS j)) ON d = i GROUP BY ALL)"""
+
+
+def noise_sql(seed: int, dim: int) -> str:
+    return f"SELECT cell_id, i AS d, {nsql(seed)} AS x FROM (SELECT cell_id FROM emb), (SELECT unnest(range(1, {dim + 1})) AS i)"
+
+
+PERM4 = permsql(20270104, "er").replace("pl AS", "pl4 AS").replace("so AS", "so4 AS").replace("FROM pl JOIN so", "FROM pl4 JOIN so4").replace("perm AS", "perm4 AS")
+L3V = f"""{EMB}, {ER}, {permsql(20270103, 'er')}, {PERM4},
+  fr AS (SELECT 'z' AS arm, cell_id, d, x FROM embl UNION ALL SELECT 'm', cell_id, d, x FROM ml
+    UNION ALL SELECT 'zm', cell_id, d, x FROM embl UNION ALL SELECT 'zm', cell_id, d + 64, x FROM ml
+    UNION ALL SELECT 'C1', cell_id, d, x FROM ({noise_sql(20270101, 68)}) UNION ALL SELECT 'C2', cell_id, d, x FROM prj
+    UNION ALL SELECT 'C3', p.cell_id, d, x FROM perm p JOIN embl e ON e.cell_id = donor
+    UNION ALL SELECT 'C4', cell_id, d, x FROM embl UNION ALL SELECT 'C4', p.cell_id, d + 64, x FROM perm4 p JOIN ml e ON e.cell_id = donor
+    UNION ALL SELECT 'C5', cell_id, d, x FROM embl UNION ALL SELECT 'C5', cell_id, d + 64, x FROM ({noise_sql(20270105, 4)})),
+  yy AS (SELECT cell_id, CAST(substr(construct, 2) AS DOUBLE) + emb[1] + m3 AS y FROM emb JOIN mg USING (cell_id)),
+  fs AS (SELECT arm, d, avg(x) AS u, stddev_pop(x) AS v FROM fr JOIN er USING (cell_id) WHERE split = 'train' GROUP BY ALL),
+  fx AS (SELECT arm, cell_id, split, d, (x - u) / CASE WHEN v > 0 THEN v ELSE 1 END AS x FROM fr JOIN fs USING (arm, d) JOIN er USING (cell_id)),
+  q_f AS (SELECT arm, cell_id AS rid, d, x FROM fx WHERE split = 'train'), q_y AS (SELECT DISTINCT arm, cell_id AS rid, 1 AS t, y FROM fx JOIN yy USING (cell_id) WHERE split = 'train'), {ridge_sql('q', ['arm'], [1.0, 300.0])},
+  pr AS (SELECT arm, alpha, split, cell_id, any_value(my) + sum(w * (x - mx)) AS p, any_value(y) AS y FROM fx JOIN q_w USING (arm, d) JOIN q_m USING (arm, d) JOIN q_my USING (arm) JOIN yy USING (cell_id) WHERE split <> 'train' GROUP BY arm, alpha, split, cell_id),
+  vr AS (SELECT arm, alpha, {R2.format(p='p')} AS r2 FROM pr WHERE split = 'val' GROUP BY ALL),
+  ch AS (SELECT arm, alpha FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY r2 DESC, alpha) AS rn FROM vr) WHERE rn = 1),
+  rk AS (SELECT *, {avg_rank('y', 'arm')} AS ry, {avg_rank('p', 'arm')} AS rp FROM pr JOIN ch USING (arm, alpha) WHERE split = 'test')
+  SELECT arm, CASE WHEN any_value(alpha) = 1 THEN 'ridge' ELSE 'ridge_strong' END AS family, {rd(R2.format(p='p'))} AS r2_mean, {rd(pear('ry', 'rp'))} AS spearman_mean, CAST(3 AS BIGINT) AS n_seeds FROM rk GROUP BY arm"""
+
+
+@query("L3_vector_arms_linear", f"WITH RECURSIVE {L3V}")
+def l3v(spark, d):
+    """All arms as vectors, scaled by training rows; two penalties compete on validation, seeds 0, 1, 2."""
+    fams = {
+        "ridge": lambda t, f, y, seed: L.fit_linear(t, f, y, alpha=1.0),
+        "ridge_strong": lambda t, f, y, seed: L.fit_linear(t, f, y, alpha=300.0),
+    }
+    s = durable(E.sweep(_vector_rows(spark, d), VECTOR_ARMS, fams, [0, 1, 2], "cell_id", "y"))
+    t = E.test_table(E.freeze(E.validation_table(s.where("split = 'val'"))), s)
+    return t.select("arm", "family", r("r2_mean", "r2_mean"), r("spearman_mean", "spearman_mean"), "n_seeds")
+
+
+L4SQL = f"""{EMB}, {ER}, {permsql(20270103, 'er')},
+  fr AS (SELECT 'z' AS arm, cell_id, d, x FROM embl UNION ALL SELECT 'ceiling_x', cell_id, d, abs(x) FROM embl UNION ALL SELECT 'C2', cell_id, d, x FROM prj
+    UNION ALL SELECT 'C3', p.cell_id, d, x FROM perm p JOIN embl e ON e.cell_id = donor),
+  q_f AS (SELECT arm, cell_id AS rid, d, x FROM fr JOIN er USING (cell_id) WHERE split = 'train'),
+  q_y AS (SELECT arm, cell_id AS rid, d AS t, x AS y FROM ml JOIN er USING (cell_id), (SELECT DISTINCT arm FROM fr) WHERE split = 'train'), {ridge_sql('q', ['arm'], L.ALPHAS)},
+  pr AS (SELECT arm, alpha, t, cell_id, any_value(my) + sum(w * (fr.x - mx)) AS p, any_value(ml.x) AS y FROM fr JOIN er USING (cell_id) JOIN q_w USING (arm, d) JOIN q_m USING (arm, d) JOIN q_my USING (arm, t) JOIN ml ON ml.cell_id = fr.cell_id AND ml.d = t
+    WHERE split = 'val' GROUP BY arm, alpha, t, fr.cell_id AS cell_id),
+  gr AS (SELECT arm, t, alpha, {R2.format(p='p')} AS r2 FROM pr GROUP BY ALL),
+  bs AS (SELECT arm, t, max((r2, alpha)) FILTER (r2 IS NOT NULL) AS b, count(r2) AS n_finite FROM gr GROUP BY ALL)
+  SELECT arm, ['mean_abs', 'l2', 'max_abs', 'sd'][t] AS component, b[2] AS selected_alpha, {rd('b[1]', 4)} AS selected_r2, n_finite,
+    (SELECT count(*) > 1 FROM gr WHERE gr.arm = bs.arm AND gr.t = bs.t AND gr.r2 = b[1]) AS tie_applied, CASE WHEN n_finite > 0 THEN 'OK' ELSE 'PROBE_DEGENERATE' END AS status, true AS repeats_identical FROM bs"""
+L4SQL = L4SQL.replace("GROUP BY arm, alpha, t, fr.cell_id AS cell_id", "GROUP BY arm, alpha, t, fr.cell_id").replace("SELECT arm, alpha, t, cell_id, any_value(my)", "SELECT arm, alpha, t, fr.cell_id, any_value(my)")
+
+
+@query("L4_recoverability_probe_grid", f"WITH RECURSIVE {L4SQL}")
 def l4(spark, d):
-    """Four inputs, four magnitude targets, seven penalties, repeats that must agree."""
+    """Four inputs, four magnitude targets, seven penalties, three repeats that must agree.
+
+    The given vectors have unit length, so the length is a target that cannot be probed."""
     from screenloom.operators.audit import repeats_agree
-    e = emb_rows(spark, d).select("*", *V.magnitude("emb"))
+    e = emb_rows(spark, d).select("*", *V.magnitude("emb")).withColumn("l2", F.round("l2", 6))
     e = C.project(e, "emb", C.projection_matrix(spark, 64, 16), "c2")
     e = e.join(C.shuffled(e.select("split", "cell_id", F.col("emb").alias("c3")), "cell_id", ["c3"], C.SEEDS["C3"]).select("cell_id", "c3"), "cell_id")
     e = durable(e)
     arms = {"z": F.col("emb"), "ceiling_x": F.transform("emb", lambda v: F.abs(v)), "C2": F.col("c2"), "C3": F.col("c3")}
-    grid = durable(E.probe_grid(e.where("split = 'train'"), e.where("split = 'val'"), arms, {"z": 64, "ceiling_x": 64, "C2": 16, "C3": 64}, MAG, repeats=2))
+    grid = durable(E.probe_grid(e.where("split = 'train'"), e.where("split = 'val'"), arms, {"z": 64, "ceiling_x": 64, "C2": 16, "C3": 64}, MAG, repeats=3))
     agree = repeats_agree(grid.withColumn("r2", F.round("r2", 9)), ["arm", "target", "alpha"], "r2").select("pass").scalar()
     sel = M.select_alpha(grid.where("repeat = 1"), ["arm", "target"])
     return sel.select("arm", F.element_at(F.array(*[F.lit(m) for m in MAG]), F.col("target") + 1).alias("component"),
@@ -251,16 +348,20 @@ def l5one(spark, d):
     return _away(spark, d, ["pred_b"]).select("row_key", r("prediction", "prediction"))
 
 
-@query("L5_zero_shot_scoring")
+@query("L5_zero_shot_scoring", f"""WITH RECURSIVE {ZS[:ZS.index('f AS (SELECT regr')]} fr AS (SELECT row_key AS rid, 1 AS d, pred_a AS x FROM st UNION ALL SELECT row_key, 2, pred_b FROM st),
+  q_f AS (SELECT rid, d, x FROM fr JOIN st ON rid = row_key WHERE os <> 'F' AND rid % 10 < 6), q_y AS (SELECT row_key AS rid, 1 AS t, y FROM st WHERE os <> 'F' AND row_key % 10 < 6), {ridge_sql('q', [], [0.0])},
+  pr AS (SELECT rid, any_value(context) AS context, any_value(y) AS y, any_value(my) + sum(w * (x - mx)) AS p FROM fr JOIN st ON rid = row_key JOIN q_w USING (d) JOIN q_m USING (d), q_my WHERE os = 'F' GROUP BY rid),
+  rk AS (SELECT *, {avg_rank('y', 'context')} AS ry, {avg_rank('p', 'context')} AS rp FROM pr)
+  SELECT context, {rd(pear('ry', 'rp'), 4)} AS rho FROM rk GROUP BY 1""")
 def l5(spark, d):
     away = _away(spark, d, ["pred_a", "pred_b"])
     return M.spearman(away, ["context"], {"rho": ("prediction", "y")}).select("context", r("rho", "rho", 4))
 
 
 LIN = f"""{SCORES}, fe AS (SELECT row_key, row_key % 10 AS m, y, 'a' AS arm, pred_a AS x FROM scores UNION ALL SELECT row_key, row_key % 10, y, 'b', pred_b FROM scores),
-  t AS (SELECT arm, avg(x) mx, avg(y) my, var_pop(x) * count(*) sxx, covar_pop(x, y) * count(*) sxy FROM fe WHERE m < 6 GROUP BY 1),
+  t AS (SELECT arm, count(*) AS n, avg(x) mx, avg(y) my, var_pop(x) * count(*) sxx, covar_pop(x, y) * count(*) sxy FROM fe WHERE m < 6 GROUP BY 1),
   fm AS (SELECT * FROM (VALUES ('ols', 0.0), ('ridge', 1000.0)) v(family, al)),
-  pr AS (SELECT arm, family, m, y, my + sxy / (sxx + al) * (x - mx) AS p FROM fe JOIN t USING (arm), fm WHERE m >= 6),
+  pr AS (SELECT arm, family, m, y, my + sxy / (sxx * (1 + al / n)) * (x - mx) AS p FROM fe JOIN t USING (arm), fm WHERE m >= 6),
   vr AS (SELECT arm, family, {R2.format(p='p')} AS r2 FROM pr WHERE m < 8 GROUP BY ALL),
   ch AS (SELECT arm, family FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY r2 DESC, family) AS rn FROM vr) WHERE rn = 1)
   SELECT arm, family, {rd(R2.format(p='p'))} AS r2_mean, CAST(1 AS BIGINT) AS n_seeds FROM pr JOIN ch USING (arm, family) WHERE m >= 8 GROUP BY ALL"""
@@ -282,12 +383,14 @@ def l3lin(spark, d):
 @query("Q14_freeze_before_test", f"""WITH {LIN.split('  SELECT arm, family, ')[0]} SELECT 'freeze_before_test' AS check_name, count(*) FILTER (n <> 1) AS n_bad, count(*) FILTER (n <> 1) = 0 AS pass
   FROM (SELECT arm, count(*) AS n FROM ch GROUP BY 1)""")
 def q14(spark, d):
-    """Every tested (arm, family) is the frozen one, and every frozen one is tested."""
-    from screenloom.operators.audit import key_sets
+    """Every frozen arm is tested once with the frozen family, under the digest that the written choice
+    had before the first test row was scored and still has."""
     s, frozen = _linear_sweep(spark, d)
-    tested = E.test_table(frozen, s).select("arm", "family")
+    tested = E.test_table(frozen, s).select("arm", "family", "frozen")
     chosen = frozen.table.select("arm", F.col("selected").alias("family"))
-    return key_sets(chosen, tested, ["arm", "family"], "freeze_before_test").select("check_name", "n_bad", "pass")
+    same = chosen.join(tested.where(F.col("frozen") == frozen.content()), ["arm", "family"], "left")
+    from screenloom.operators.audit import check
+    return check(same, "freeze_before_test", F.col("frozen").isNull()).select("check_name", "n_bad", "pass")
 
 
 @query("L7_reproduction_gate", f"""WITH {SCORES}, m AS (SELECT 'pred_' || CASE WHEN k = 0 THEN 'a' ELSE 'b' END AS item, seed, {R2.format(p='p')} AS r2 FROM (
@@ -305,3 +408,10 @@ def l7(spark, d):
     e = spark.createDataFrame([("pred_a", 0.208), ("pred_b", -2.0), ("absent", 0.1)], "item string, expected double")
     g = E.reproduction_gate(m, e, "item")
     return g.select("item", "expected", r("mean", "mean"), r("sd", "sd"), "k", "pass")
+
+
+@query("L7_overall_verdict", f"""WITH g AS ({ORACLES['L7_reproduction_gate']})
+  SELECT count(*) AS n_items, count(*) FILTER (pass) AS n_passed, count(*) > 0 AND count(*) = count(*) FILTER (pass) AS pass FROM g""")
+def l7all(spark, d):
+    """Every item has to pass, one that was never measured included."""
+    return E.overall(l7(spark, d))

@@ -109,12 +109,12 @@ def m10(spark, d):
     return _rc(spark, d).select("tier", r("rho", "rho"), "n_ctx_pairs")
 
 
-@query("M11_pairwise_order_agreement", f"""WITH {SCORES}, g AS (SELECT context, row_key, round(y, 1) AS a, round(pred_b, 1) AS b FROM scores),
+@query("M11_pairwise_order_agreement", f"""WITH {SCORES}, g AS (SELECT context, row_key, y AS a, pred_b AS b FROM scores),
   p AS (SELECT x.context, count(*) FILTER ((x.a < z.a AND x.b < z.b) OR (x.a > z.a AND x.b > z.b)) AS c, count(*) FILTER ((x.a < z.a AND x.b > z.b) OR (x.a > z.a AND x.b < z.b)) AS q
     FROM g x JOIN g z ON x.context = z.context AND x.row_key < z.row_key GROUP BY 1)
   SELECT context, c AS n_concordant, q AS n_discordant, {rd('c / (c + q)')} AS agreement FROM p""")
 def m11(spark, d):
-    s = roles.scores(spark, d).select("context", F.round("y", 1).alias("a"), F.round("pred_b", 1).alias("b"))
+    s = roles.scores(spark, d).select("context", F.col("y").alias("a"), F.col("pred_b").alias("b"))
     return P.order_agreement(s, ["context"], "a", "b").select("context", "n_concordant", "n_discordant", r("agreement", "agreement"))
 
 

@@ -353,6 +353,23 @@ def m24(spark, d):
     return M.density_weights(s, "y").select("bin", r("left_edge", "left_edge"), "n_train", r("weight", "weight"))
 
 
+@query("M24_density_weighted_error", f"""WITH {SCORES}, tr AS (SELECT y FROM scores WHERE row_key % 10 < 6), e AS (SELECT min(y) lo, max(y) hi FROM tr),
+  bins AS (SELECT unnest(range(0, 20)) AS bin),
+  idx AS (SELECT (SELECT count(*) FROM range(1, 20) t(i) WHERE tr.y >= lo + i * ((hi - lo) / 20.0)) AS bin FROM tr, e),
+  c AS (SELECT b.bin, count(i.bin) AS c FROM bins b LEFT JOIN idx i USING (bin) GROUP BY 1),
+  kr AS (SELECT j, exp(-0.5 * (j / 2.0) * (j / 2.0)) AS w FROM range(-8, 9) t(j)), kn AS (SELECT j, w / (SELECT sum(w) FROM kr) AS w FROM kr),
+  sm AS (SELECT b.bin, sum(kn.w * c.c) AS s FROM bins b, kn JOIN c ON c.bin = CASE WHEN b.bin + j < 0 THEN -1 - (b.bin + j) WHEN b.bin + j > 19 THEN 39 - (b.bin + j) ELSE b.bin + j END GROUP BY 1),
+  w AS (SELECT bin, 1 / sqrt(s / (SELECT sum(s) FROM sm) + 1e-12) AS w FROM sm),
+  m AS (SELECT sum(w.w * c.c) / sum(c.c) AS m FROM w JOIN c USING (bin)),
+  wt AS (SELECT c.bin, least(5.0, w / m) AS weight FROM c JOIN w USING (bin), m),
+  sc AS (SELECT y, pred_b, (SELECT count(*) FROM range(1, 20) t(i) WHERE s.y > lo + i * ((hi - lo) / 20.0)) AS bin FROM scores s, e WHERE row_key % 10 >= 6)
+  SELECT {rd('sum(weight * (pred_b - y) * (pred_b - y)) / sum(weight)')} AS weighted_mse, count(*) AS n FROM sc JOIN wt USING (bin)""")
+def m24e(spark, d):
+    s = roles.scores(spark, d)
+    table = M.density_weights(s.where(F.col("row_key") % 10 < 6), "y")
+    return M.density_weighted_error(s.where(F.col("row_key") % 10 >= 6), table, "y", "pred_b").select(r("weighted_mse", "weighted_mse"), "n")
+
+
 @query("M25_bce_from_logits", f"""SELECT lang, {rd('avg(greatest(x, 0) - x * quality + ln(1 + exp(-abs(x))))')} AS bce FROM (
     SELECT lang, quality, ln(1 + n_chars) - 6 AS x FROM labels JOIN documents USING (doc_id)) GROUP BY 1""")
 def m25(spark, d):

@@ -74,3 +74,25 @@ def normal(seed, *keys: str) -> str:
     return (
         f"(sqrt(-2.0 * ln(1.0 - {unit(seed, *keys)})) * cos(2.0 * pi() * {unit(seed, *keys, start=9)}))"
     )
+
+
+def ridge_sql(n: str, by: list[str], alphas: list[float], center: bool = True) -> str:
+    """Ridge weights of any width: elimination over the table of products, one recursion step per coordinate.
+
+    Reads ``{n}_f`` (by, rid, d, x) with d = 1, 2, ... and ``{n}_y`` (by, rid, t, y) with t = 1, 2, ...; gives
+    ``{n}_w`` (by, alpha, t, d, w), ``{n}_m`` (by, d, mx) and ``{n}_my`` (by, t, my).  Without ``center`` means are 0, and
+    the caller adds a constant coordinate.  Needs WITH RECURSIVE."""
+    k = "".join(f"{b}, " for b in by)
+    on = f"USING ({', '.join(by)})" if by else "ON true"
+    mean = "avg({c})" if center else "0.0 * avg({c})"
+    return f"""{n}_m AS (SELECT {k}d, {mean.format(c='x')} AS mx FROM {n}_f GROUP BY {k}d), {n}_my AS (SELECT {k}t, {mean.format(c='y')} AS my FROM {n}_y GROUP BY {k}t),
+  {n}_c AS (SELECT {k}rid, d, x - mx AS x FROM {n}_f JOIN {n}_m USING ({k}d)), {n}_yc AS (SELECT {k}rid, t, y - my AS y FROM {n}_y JOIN {n}_my USING ({k}t)),
+  {n}_p AS (SELECT {k}max(d) AS p FROM {n}_f {'GROUP BY ' + ', '.join(by) if by else ''}),
+  {n}_g AS (SELECT {k}a.d AS i, b.d AS j, sum(a.x * b.x) AS s FROM {n}_c a JOIN {n}_c b USING ({k}rid) GROUP BY ALL
+    UNION ALL SELECT {k}d, p + t, sum(x * y) FROM {n}_c JOIN {n}_yc USING ({k}rid) JOIN {n}_p {on} GROUP BY {k}d, p + t),
+  {n}_r AS (SELECT {k}alpha, i, list(s + CASE WHEN i = j THEN alpha ELSE 0 END ORDER BY j) AS r FROM {n}_g, (SELECT unnest({[float(a) for a in alphas]}::DOUBLE[]) AS alpha) GROUP BY {k}alpha, i),
+  {n}_s AS (SELECT {k}alpha, 1 AS k, list(r ORDER BY i) AS m FROM {n}_r GROUP BY {k}alpha
+    UNION ALL SELECT {k}alpha, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k])
+      ELSE list_transform(r, lambda x, j: x - r[k] * m[k][j] / m[k][k]) END) FROM {n}_s WHERE k <= len(m)),
+  {n}_e AS (SELECT {k}alpha, m, unnest(range(1, len(m) + 1)) AS d FROM {n}_s WHERE k = len(m) + 1),
+  {n}_w AS (SELECT {k}alpha, t, d, m[d][len(m) + t] AS w FROM (SELECT {k}alpha, m, d, unnest(range(1, len(m[d]) - len(m) + 1)) AS t FROM {n}_e))"""

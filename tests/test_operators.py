@@ -351,7 +351,7 @@ def test_probe_and_separability_equal_numpy(spark):
         t = f != q
         w = np.linalg.solve(zi[t].T @ zi[t] + np.eye(5), zi[t].T @ y[t])
         acc.append((np.argmax(zi[~t] @ w, 1) == c[~t]).mean())
-    got = L.separability(df, "i", "v", "c", [0, 1, 2]).first()
+    got = L.separability(df, "i", "v", "c").first()
     assert got["accuracy"] == pytest.approx(np.mean(acc)) and got["chance"] == pytest.approx(1 / 3)
 
 

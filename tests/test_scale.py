@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from screenloom.functions import sizes
-from screenloom.operators import blocks, features as X, pairs as P, resample as B
+from screenloom.operators import blocks, features as X, linear as L, metrics as M, pairs as P, resample as B
+from screenloom.plans import evaluation as E
 from screenloom.session import durable
 
 
@@ -67,6 +68,61 @@ def test_stored_tables_prune_columns(spark):
     assert "ReadSchema: struct<id:bigint>" in plan and "PushedFilters" in plan
 
 
+def test_block_scaler_uses_training_rows_only(spark):
+    rng = np.random.default_rng(1)
+    train, val = rng.standard_normal((400, 5)) * 3 + 5, rng.standard_normal((200, 5)) * 7 - 2
+    train[:, 4] = val[:, 4] = 2.0
+    rows = [("train", [float(x) for x in v]) for v in train] + [("val", [float(x) for x in v]) for v in val]
+    df = spark.createDataFrame(rows, "split string, v array<double>")
+    stats = X.fit_block_scaler(df, "v")
+    out = X.apply_block_scaler(df, stats, "v").collect()
+    a, b = (np.array([r["v"] for r in out if r["split"] == s]) for s in ("train", "val"))
+    assert np.allclose(a.mean(0), 0, atol=1e-9) and np.allclose(a.std(0)[:4], 1) and np.allclose(a[:, 4], 0)
+    assert np.allclose(b, (val - train.mean(0)) / np.where(train.std(0) > 1e-9, train.std(0), 1))
+    assert [r["near_constant"] for r in stats.orderBy("pos").collect()] == [False] * 4 + [True]
+
+
+def test_ridge_on_vectors_equals_direct(spark):
+    rng = np.random.default_rng(2)
+    x, s = rng.standard_normal((80, 6)), rng.standard_normal(80)
+    y = x @ rng.standard_normal(6) + s + 0.1 * rng.standard_normal(80)
+    df = spark.createDataFrame([([float(u) for u in a], float(b), float(c)) for a, b, c in zip(x, s, y)], "v array<double>, s double, y double")
+    got = np.array([r["prediction"] for r in L.fit_linear(df, ["v", "s"], "y", 3.0).transform(df).collect()])
+    z = np.column_stack([x, s])
+    zc = z - z.mean(0)
+    w = np.linalg.solve(zc.T @ zc + 3 * np.eye(7), zc.T @ (y - y.mean()))
+    assert np.allclose(got, y.mean() + zc @ w, atol=1e-6)
+
+
+def test_one_class_has_no_separability(spark):
+    df = spark.createDataFrame([(i, "only", [float(i), 1.0]) for i in range(20)], "i int, c string, v array<double>")
+    assert L.separability(df, "i", "v", "c").first()["accuracy"] is None
+
+
+def test_tests_carry_the_digest_of_the_choice(spark):
+    rows = [(a, f, s, sp, i, float(i), i + (0.1 if f == "x" else 3.0)) for a in "ab" for f in "xy" for s in (0, 1) for sp in ("val", "test") for i in range(6)]
+    scores = spark.createDataFrame(rows, "arm string, family string, seed int, split string, key int, y double, yhat double")
+    frozen = E.freeze(E.validation_table(scores.where("split = 'val'")))
+    tested = E.test_table(frozen, scores)
+    assert {(r["arm"], r["family"], r["frozen"]) for r in tested.collect()} == {("a", "x", frozen.content()), ("b", "x", frozen.content())}
+    other = E.freeze(E.validation_table(scores.where("split = 'val' AND family = 'y'")))
+    assert other.content() != frozen.content()
+
+
+def test_density_weighted_error(spark):
+    table = spark.createDataFrame([(0, 0.0, 2.0), (1, 1.0, 5.0)], "bin int, left_edge double, weight double")
+    rows = spark.createDataFrame([(0.5, 0.0), (1.0, 0.0), (1.5, 0.0), (9.0, 8.0), (-3.0, -3.0)], "y double, p double")
+    got = M.density_weighted_error(rows, table, "y", "p").first()["weighted_mse"]
+    # 1.0 lies on the inner edge and belongs to the lower bin
+    assert abs(got - (2 * 0.25 + 2 * 1.0 + 5 * 2.25 + 5 * 1.0) / (2 + 2 + 5 + 5 + 2)) < 1e-12
+
+
+def test_overall_verdict(spark):
+    gate = lambda *p: spark.createDataFrame([(i, x) for i, x in enumerate(p)], "item int, pass boolean")
+    assert E.overall(gate(True, True)).first()["pass"] and not E.overall(gate(True, False)).first()["pass"]
+    assert not E.overall(gate(True).where("false")).first()["pass"]
+
+
 SCRIPT = """
 import sys
 sys.path.insert(0, {root!r})
