@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from screenloom.llm.secrets import let
 from screenloom.session import durable
 
 # Common words of four languages.
@@ -18,10 +19,9 @@ ANCHORS = {
     "es": "el la los las de del y en un una que es se no por con para su al lo como más o",
 }
 CHAIN = 3
-_ANCHOR = "(?:" + "|".join(sorted({w for ws in ANCHORS.values() for w in ws.split()})) + ")(?= |$)"
-#: An anchor, and looking ahead from it, the anchor with its chain and the common words between.
-SPOT = rf"(?<![^ ])(?=({_ANCHOR}(?:(?: {_ANCHOR})*+ [^ ]++){{{CHAIN}}})){_ANCHOR}"
-INNER = f" {_ANCHOR}"
+_COMMON = sorted({w for ws in ANCHORS.values() for w in ws.split()})
+#: Stands between an anchor and what follows it.
+_TIE = "\u0001"
 
 
 def normal(text: Column) -> Column:
@@ -29,15 +29,42 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def _chains(plain: Column) -> Column:
+    """Hash of each anchor with its chain, in time linear in the text however the anchors lie.
+
+    Anchors are tied to the word behind them, so a split at spaces gives one unit for each content word: the anchors
+    before it, then the word.  All of them have the chain that begins with that word."""
+    tied = F.transform(F.split(plain, " "), lambda w: F.concat(w, F.when(w.isin(*_COMMON), _TIE).otherwise(" ")))
+
+    def of_units(units):
+        def of_words(words):
+            # behind the last content word there is one unit without any
+            last = F.size(units) - 1 - (CHAIN - 1)
+            at = F.slice(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), F.lit(1), F.greatest(last, F.lit(0)))
+            spots = F.filter(at, lambda j: F.contains(F.get(units, j), F.lit(_TIE)))
+
+            def signs(j):
+                chain = F.concat_ws(" ", *[F.get(words, j + i) for i in range(CHAIN)])
+                anchors = F.split(F.get(units, j), _TIE)
+                anchors = F.array_distinct(F.slice(anchors, F.lit(1), F.size(anchors) - 1))
+                return let(chain, lambda c: F.transform(anchors, lambda a: F.xxhash64(F.concat_ws(" ", a, c))))
+
+            return F.flatten(F.transform(spots, signs))
+
+        return let(F.transform(units, lambda u: F.substring_index(u, _TIE, -1)), of_words)
+
+    return let(F.split(F.array_join(tied, ""), " "), of_units)
+
+
 def signatures(text: Column) -> Column:
     """Sorted distinct 64-bit signatures.  A text without any spot has one, of all its words; one without words has none."""
-    plain = normal(text)
-    chains = F.regexp_extract_all(plain, F.lit(SPOT), F.lit(1))
-    # the anchor stands first and has no space before it, so only the words between are taken out
-    hashed = F.transform(chains, lambda m: F.xxhash64(F.regexp_replace(m, INNER, "")))
-    found = F.sort_array(F.array_distinct(hashed))
-    whole = F.when(plain != "", F.array(F.xxhash64(plain))).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, f).otherwise(whole))[0]
+
+    def of(plain):
+        found = F.sort_array(F.array_distinct(_chains(plain)))
+        whole = F.when(plain != "", F.array(F.xxhash64(plain))).otherwise(F.array().cast("array<bigint>"))
+        return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole))
+
+    return let(normal(text), of)
 
 
 def fingerprint(signs: Column) -> Column:
