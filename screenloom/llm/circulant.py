@@ -265,7 +265,8 @@ def near_duplicates(
     least_id = joined.groupBy("root").agg(F.min("rep").alias("component"))
     merged = joined.join(least_id, "root").select("cls", "component")
     of_class = classes.select("cls", "rep").join(merged, "cls", "left")
-    of_class = of_class.select("cls", F.coalesce("component", "rep").alias("component"))
+    # stored, so that the last join is a plain one whose hot classes the engine can split
+    of_class = durable(of_class.select("cls", F.coalesce("component", "rep").alias("component")))
     out = seen.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
