@@ -102,7 +102,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = sorted(heads, reverse=True)
     follows = [(heads[i - 1][0], heads[i][1]) for i in range(len(heads))]  # the range before wants this head
     guests = spark.createDataFrame(follows, "part int, doc_id bigint")
-    guests = guests.withColumnRenamed("doc_id", "_id").join(docs, F.col("_id").eqNullSafe(F.col("doc_id")))
+    # at most ``parts`` ids, so they go to the texts and not the texts to them
+    guests = docs.join(F.broadcast(guests.withColumnRenamed("doc_id", "_id")), F.col("_id").eqNullSafe(F.col("doc_id")))
     guests = guests.groupBy("part").agg(F.max("text").alias("text"))
     every = ranged.select("part", "doc_id", "text", F.lit(0).alias("guest")).unionByName(
         guests.select("part", F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(1).alias("guest"))
