@@ -98,6 +98,27 @@ def remap(values: DataFrame, groups: DataFrame, genes: DataFrame, wanted: DataFr
     )
 
 
+def assemble(values: DataFrame, groups: DataFrame, chosen: DataFrame, keys: list[str], value: str, name: str = "profile") -> DataFrame:
+    """One row per group with its values on the chosen genes as a vector, absent ones zero.
+
+    ``chosen`` is (gene_idx, pos); positions run from 0.  The list travels in pieces of ``PIECE`` genes."""
+    piece = F.floor(F.col("pos") / PIECE).cast("bigint").alias("_piece")
+    packed = chosen.groupBy(piece).agg(F.collect_list(F.struct("pos", "gene_idx")).alias("m"))
+    pieces = packed.agg(F.max("_piece")).scalar()
+    spread = groups.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), pieces)).alias("_piece"))
+    grid = spread.join(packed, "_piece").select(*keys, F.explode("m").alias("m")).select(*keys, "m.*")
+    filled = grid.join(values.select(*keys, "gene_idx", F.col(value).alias("_v")), [*keys, "gene_idx"], "left")
+    rows = filled.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_v", F.lit(0.0)).alias("v")))).alias("_m"))
+    return rows.select(*keys, F.transform("_m", lambda x: x["v"]).alias(name))
+
+
+def positions(chosen: DataFrame) -> DataFrame:
+    """gene_idx, pos: chosen genes numbered from 0 in the order of their index."""
+    from screenloom.functions.ordered import ordinal
+
+    return ordinal(chosen.select("gene_idx"), [], ["gene_idx"], "pos").select("gene_idx", F.col("pos").cast("int").alias("pos"))
+
+
 def fit_scaler(df: DataFrame, features: list[str], split="split", train="train", tiny=1e-12) -> DataFrame:
     """feature, mean, scale, var, n, near_constant from the training rows only.
 

@@ -99,22 +99,23 @@ def cascade(
     df: DataFrame, context: str, row: str, sample: str | None = None, cluster: str | None = None, u: str | None = None,
     k: int = 1, limit=GROUP_LIMIT,
 ) -> DataFrame:
-    """All tiers in order; a tier without its column is skipped.  The context pairs already served
-    are a handful of rows, written once so that later tiers do not repeat the earlier joins."""
-    df = big_enough(df, context)
+    """All tiers in order; a tier without its column is skipped.  The columns in use are written once,
+    and so is every tier: what later tiers and the caller read is never joined again."""
+    named = [c for c in (context, row, sample, cluster, u) if c]
+    df = big_enough(durable(df.select(*dict.fromkeys(named))), context)
     empty = df.sparkSession.createDataFrame([], df.select(
         F.col(context).alias("ctx_a"), F.col(context).alias("ctx_b")).schema)
     parts, done = [], empty
     if sample:
-        t = tier1(df, context, row, sample)
+        t = durable(tier1(df, context, row, sample))
         parts.append(t)
         done = durable(covered(t))
     if cluster:
-        t = tier2(df, context, row, cluster, done, limit)
+        t = durable(tier2(df, context, row, cluster, done, limit))
         parts.append(t)
         done = durable(done.unionByName(covered(t)))
     if u:
-        parts.append(tier3(df, context, row, u, done, k, limit))
+        parts.append(durable(tier3(df, context, row, u, done, k, limit)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -26,8 +26,8 @@ class Screen:
     ``keep`` these sums, a table of groups x genes, are written once, so that several uses in one
     query do not read and normalise the counts again."""
 
-    def __init__(self, spark, d, min_cells=10, keep=True):
-        self.spark, self.d, self.min_cells, self.keep = spark, d, min_cells, keep
+    def __init__(self, spark, d, min_cells=10, keep=True, genes=roles.N_GENES):
+        self.spark, self.d, self.min_cells, self.keep, self.genes = spark, d, min_cells, keep, genes
 
     @cached_property
     def cells(self):
@@ -35,7 +35,7 @@ class Screen:
 
     @cached_property
     def norm(self):
-        return N.library_log1p(roles.counts(self.spark, self.d))
+        return N.library_log1p(roles.counts(self.spark, self.d, self.genes))
 
     @cached_property
     def treated(self):
@@ -350,6 +350,26 @@ def w2(spark, d):
     return X.top_genes(v, "var", 16).select("gene_idx", r("var", "var")).orderBy("gene_idx")
 
 
+WIDE = BULK.replace("CAST(l_partkey % 64 AS INTEGER)", "CAST(l_partkey AS INTEGER)")
+
+
+@query("A2_pseudobulk_mean_wide", f"WITH {WIDE} SELECT split, batch, target, gene_idx, {rd('mean')} AS mean FROM profile")
+def a2w(spark, d):
+    """Every part is a gene."""
+    return Screen(spark, d, keep=False, genes=None).profile.select(*KEYS, "gene_idx", r("mean", "mean"))
+
+
+@query("W2_top_variable_genes_wide", f"""WITH {WIDE}, n AS (SELECT count(*) AS n FROM sizes WHERE split = 'train'),
+  v AS (SELECT gene_idx, (sum(mean * mean) - sum(mean) * sum(mean) / any_value(n)) / any_value(n) AS var FROM profile, n WHERE split = 'train' GROUP BY 1)
+  SELECT gene_idx, {rd('var')} AS var FROM v ORDER BY round(v.var, 9) DESC, gene_idx LIMIT 2000""")
+def w2w(spark, d):
+    """The published 2,000 genes out of all parts."""
+    s = Screen(spark, d, keep=False, genes=None)
+    train = F.col("split") == "train"
+    v = X.gene_stats(s.profile.where(train), s.sizes.where(train)).withColumn("rounded", F.round("var", 9))
+    return X.top_genes(v, "rounded", 2000).select("gene_idx", r("var", "var"))
+
+
 @query("W3_top_cross_context_genes", f"""WITH {A8SQL}
   SELECT gene_idx, {rd('score', 3)} AS score FROM ratio ORDER BY CAST(ratio.score AS FLOAT) DESC, gene_idx LIMIT 16""")
 def w3(spark, d):
@@ -487,3 +507,21 @@ def flagship(spark, d, min_cells=10, k=16):
   SELECT split, batch, target, gene_idx, {rd('delta')} AS delta FROM delta WHERE gene_idx IN (SELECT gene_idx FROM top)""")
 def flagship_query(spark, d):
     return flagship(spark, d)
+
+
+def assembled(s: Screen, labels, listed, variants):
+    """variant, keys, target_id, context_id, n_cells, y, profile for each (name, values, value, chosen genes).
+
+    Groups whose target is not among the ``listed`` genes are left out before anything is assembled."""
+    listed = listed.select(F.concat(F.lit("T"), F.col("gene_idx").cast("string")).alias("target")).distinct()
+    groups = s.sizes.join(listed, "target", "left_semi")
+    targets = X.id_registry([s.cells.where(F.col("target") != CONTROL)], CONTROL)
+    contexts = X.id_registry([s.cells.select(F.col("batch").alias("context"))], "none", "context").select(
+        F.col("context").alias("batch"), F.col("target_id").alias("context_id"))
+    base = groups.join(targets, "target").join(contexts, "batch").join(labels, KEYS, "left")
+    out = None
+    for name, values, value, chosen in variants:
+        vec = X.assemble(values, groups, X.positions(chosen), KEYS, value)
+        one = base.join(vec, KEYS).select(F.lit(name).alias("variant"), *KEYS, "target_id", "context_id", "n_cells", "y", "profile")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -279,6 +279,7 @@ def a13(spark, d):
 def labelled(spark, d):
     """Magnitude scalars, cell count and label per group."""
     s = Screen(spark, d)
+    s.norm = durable(s.norm)  # read by the sums and by the histograms
     return magnitude_rows(s).join(labels_of(s).select(*KEYS, "y"), KEYS).withColumn("log_n", F.log1p("n_cells"))
 
 

@@ -22,8 +22,8 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def counts(spark: SparkSession, d: str) -> DataFrame:
-    """cell_id, gene_idx, cnt: one row per non-zero entry.
+def counts(spark: SparkSession, d: str, genes: int | None = N_GENES) -> DataFrame:
+    """cell_id, gene_idx, cnt: one row per non-zero entry; ``genes`` None keeps every part as a gene.
 
     Entries hardly repeat, so sums before the shuffle would save nothing; dealt by cell, one shuffle
     serves this grouping, the per-cell totals and the join with the cell table."""
@@ -31,7 +31,7 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
     return (
         li.select(
             F.col("l_orderkey").alias("cell_id"),
-            (F.col("l_partkey") % N_GENES).cast("int").alias("gene_idx"),
+            (F.col("l_partkey") % genes if genes else F.col("l_partkey")).cast("int").alias("gene_idx"),
             F.col("l_quantity").alias("q"),
         )
         .repartition("cell_id")
