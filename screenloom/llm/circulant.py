@@ -221,13 +221,14 @@ def links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, shingle: int,
     """Pairs ``a, b`` of linked classes that connect the same classes as all links do.
 
     A large cluster is dealt to blocks by the classes' hash; every pair of blocks is one group of bounded size."""
-    sized = grouped.withColumnRenamed("node", "cls").join(classes.select("cls", "rep", "n_shingles"), "cls")
+    # both stored, so that the join of a hot cluster's members is a plain one that the engine can split
+    sized = durable(grouped.withColumnRenamed("node", "cls").join(classes.select("cls", "rep", "n_shingles"), "cls"))
     parts = sized.groupBy("root").agg(
         F.greatest(
             F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)
         ).cast("int").alias("parts")
     )
-    dealt = sized.join(parts, "root").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    dealt = sized.join(durable(parts), "root").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     wanted = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
     sets = wanted.join(dealt.select("rep", "cls", "root", "block", "parts"), "rep").select("cls", "root", "block", "parts", "text")
