@@ -65,6 +65,8 @@ def sweep(rows: DataFrame, arms: dict[str, list[str]], families: dict, seeds: li
         kinds = dict(rows.dtypes)
         block = F.concat(*[F.col(f).cast("array<double>") if kinds[f].startswith("array") else F.array(F.col(f).cast("double")) for f in feats])
         narrow = rows.select(F.col(key).alias("key"), "split", F.col(label).alias("y"), block.alias("_arm"))
+        if narrow.where(F.col("split") == "train").isEmpty():
+            continue
         scaled = durable(X.apply_block_scaler(narrow, X.fit_block_scaler(narrow, "_arm"), "_arm"))
         train, rest = scaled.where(F.col("split") == "train"), scaled.where(F.col("split") != "train")
         for family, fit in families.items():
