@@ -6,14 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 from screenloom.session import durable
 
 
-def _smallest(pairs: DataFrame, keep_self: bool) -> DataFrame:
-    """Point every neighbour ``v`` of ``u`` at the smallest of ``u`` and its neighbours."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = pairs.join(least, "u")
-    out = met.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if keep_self:
-        out = out.union(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+def _least(pairs: DataFrame) -> DataFrame:
+    """``u, m``: the smallest of ``u`` and its neighbours.  Stored, so that the join that follows is a plain one, whose
+    hubs the engine can split."""
+    return durable(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -30,10 +26,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = tree.union(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Only neighbours above u move; those below it are moved from their own side.
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = _least(both)
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
-        tree = durable(_smallest(large, keep_self=True))
+        large = durable(large.where(F.col("u") != F.col("v")).distinct())
+        # every node above the smallest of its group points at it, and so does the node itself
+        least = _least(large)
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.union(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v"))
+        tree = durable(small.distinct())
         now = tree.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or now[0] == 0:
             break
