@@ -487,6 +487,19 @@ def test_pipeline(spark):
     assert p.run(spark, FOLDER).count() > 0
 
 
+def test_pipeline_drops_copies_from_80(spark):
+    import corpus_pipeline as p
+
+    w = [f"w{i}" for i in range(104)]  # 100 shingles
+    def tail(n):  # another end of n words: similarity (100 - n) / (100 + n)
+        return " ".join([*w[: len(w) - n], *(f"x{i}" for i in range(n))])
+    texts = [tail(0), tail(11), " ".join(["other", *(f"v{i}" for i in range(103))]), " ".join(["other", *(f"v{i}" for i in range(89)), *(f"y{i}" for i in range(14))])]
+    sets = [shingle_set(t) for t in texts]
+    assert 0.8 <= jaccard(sets[0], sets[1]) < 0.85 and jaccard(sets[2], sets[3]) < 0.8
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id for r in p.near_duplicates(spark, df, FOLDER).collect()} == {0, 2, 3}
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, empty):
     import corpus_pipeline as p
 
