@@ -56,7 +56,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spots.fingerprints(table(spark, sf_dir, "documents"))
+    return spots.fingerprints(table(spark, sf_dir, "documents"), gaps=True)
 
 
 @query

@@ -29,11 +29,21 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _chains(plain: Column) -> Column:
+def _runs(plain: Column) -> Column:
+    """Hash of every ``CHAIN`` words in a row, common or not."""
+    words = F.split(plain, " ")
+    starts = lambda w: F.sequence(F.lit(0), F.size(w) - CHAIN)
+    chain = lambda w, j: F.concat_ws(" ", *[F.get(w, j + i) for i in range(CHAIN)])
+    return let(words, lambda w: F.when(F.size(w) >= CHAIN, F.transform(starts(w), lambda j: F.xxhash64(chain(w, j)))))
+
+
+def _chains(plain: Column, gaps: bool = False) -> Column:
     """Hash of each anchor with its chain, in time linear in the text however the anchors lie.
 
     Anchors are tied to the word behind them, so a split at spaces gives one unit for each content word: the anchors
-    before it, then the word.  All of them have the chain that begins with that word."""
+    before it, then the word.  All of them have the chain that begins with that word.  With ``gaps`` a content word that has no
+    spot within ``CHAIN`` content words on either side is a spot without anchor, by its chain alone; as the rule looks at the
+    neighbours only, an edit changes nothing farther off."""
     tied = F.transform(F.split(plain, " "), lambda w: F.concat(w, F.when(w.isin(*_COMMON), _TIE).otherwise(" ")))
 
     def of_units(units):
@@ -41,13 +51,27 @@ def _chains(plain: Column) -> Column:
             # behind the last content word there is one unit without any
             last = F.size(units) - 1 - (CHAIN - 1)
             at = F.slice(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), F.lit(1), F.greatest(last, F.lit(0)))
-            spots = F.filter(at, lambda j: F.contains(F.get(units, j), F.lit(_TIE)))
+            spot = lambda j: F.contains(F.get(units, j), F.lit(_TIE))
+
+            def lone(flags, j):
+                near = F.lit(False)
+                for i in range(1, CHAIN + 1):
+                    near = near | F.coalesce(F.get(flags, j - i), F.lit(False)) | F.coalesce(F.get(flags, j + i), F.lit(False))
+                return ~near
+
+            if gaps:
+                spots = let(F.transform(at, spot), lambda flags: F.filter(at, lambda j: F.get(flags, j) | lone(flags, j)))
+            else:
+                spots = F.filter(at, spot)
 
             def signs(j):
                 chain = F.concat_ws(" ", *[F.get(words, j + i) for i in range(CHAIN)])
                 anchors = F.split(F.get(units, j), _TIE)
                 anchors = F.array_distinct(F.slice(anchors, F.lit(1), F.size(anchors) - 1))
-                return let(chain, lambda c: F.transform(anchors, lambda a: F.xxhash64(F.concat_ws(" ", a, c))))
+                tied_to = lambda c: F.transform(anchors, lambda a: F.xxhash64(F.concat_ws(" ", a, c)))
+                if not gaps:
+                    return let(chain, tied_to)
+                return let(chain, lambda c: F.when(spot(j), tied_to(c)).otherwise(F.array(F.xxhash64(c))))
 
             return F.flatten(F.transform(spots, signs))
 
@@ -56,12 +80,17 @@ def _chains(plain: Column) -> Column:
     return let(F.split(F.array_join(tied, ""), " "), of_units)
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct 64-bit signatures.  A text without any spot has one, of all its words; one without words has none."""
+def signatures(text: Column, gaps: bool = False) -> Column:
+    """Sorted distinct 64-bit signatures.  A text without any spot has one, of all its words; one without words has none.
+
+    With ``gaps`` stretches without spots have signatures too, a text of fewer than ``CHAIN`` content words those of all its
+    runs of ``CHAIN`` words, and only a text of fewer words one of them all."""
 
     def of(plain):
-        found = F.sort_array(F.array_distinct(_chains(plain)))
+        found = F.sort_array(F.array_distinct(_chains(plain, gaps)))
         whole = F.when(plain != "", F.array(F.xxhash64(plain))).otherwise(F.array().cast("array<bigint>"))
+        if gaps:
+            whole = F.coalesce(F.sort_array(F.array_distinct(_runs(plain))), whole)
         return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole))
 
     return let(normal(text), of)
@@ -112,13 +141,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     return every.withColumn("next_text", F.lead("text").over(order)).where(F.col("guest") == 0).select("doc_id", "text", "next_text")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, gaps: bool = False) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` for every row of ``docs``.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  The edited text ends in the first third (rounded down)
     of as many code points of the next document by descending id.  Null text counts as empty; a single row is its own
     successor.  Rows that repeat an id follow each other by text, descending; a null id comes last.  Texts equal
-    after normalisation have equal fingerprints.  An empty table gives no rows.
+    after normalisation have equal fingerprints.  An empty table gives no rows.  ``gaps`` is that of :func:`signatures`.
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = F.length("text")
@@ -129,8 +158,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.concat(F.substring("text", F.lit(1), n - moved), F.substring("next_text", F.lit(1), moved)).alias("edited"),
     )
     signed = edited.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("own"),
-        signatures(F.col("edited")).alias("changed"), signatures(F.col("next_text")).alias("following"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text"), gaps).alias("own"),
+        signatures(F.col("edited"), gaps).alias("changed"), signatures(F.col("next_text"), gaps).alias("following"),
     )
     return signed.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),
@@ -139,16 +168,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(docs: DataFrame, least: float = 0.8, gaps: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pairs of different fingerprints with a likeness of ``least`` or more, and which document has which.
 
     Gives ``(a, b, likeness)`` over the smallest ``doc_id`` of each fingerprint, and ``(doc_id, representative)``.  Sets are
     dealt to length partitions whose bounds grow by 1 / ``least``, so likely partners sit in the same or the next one; there
     they meet on one of the rarest signatures, of which each set needs only so many that two alike sets share one.  Copies
-    are compared once.  Texts without words, and rows without id, have no partners.
+    are compared once.  Texts without words, and rows without id, have no partners.  ``gaps`` is that of :func:`signatures`.
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = durable(plain.where(F.col("doc_id").isNotNull()).select("doc_id", signatures(F.col("text")).alias("signs")))
+    signed = durable(plain.where(F.col("doc_id").isNotNull()).select("doc_id", signatures(F.col("text"), gaps).alias("signs")))
     signed = signed.withColumn("print", F.sha2(fingerprint(F.col("signs")), 256))
     named = durable(signed.groupBy("print").agg(F.min("doc_id").alias("representative")))
     members = signed.join(named, "print").select("doc_id", "representative")

@@ -187,6 +187,44 @@ def test_spot_pairs(docs, empty):
     assert spots.similar_pairs(empty)[0].count() == 0
 
 
+def gap_set(text):
+    w = [x for x in regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).strip(" ").split(" ") if x]
+    content, n = [i for i, v in enumerate(w) if v not in ANCHORS], spots.CHAIN
+    last = len(content) - n + 1
+    spot = [content[j] > 0 and w[content[j] - 1] in ANCHORS for j in range(max(last, 0))]
+    out = set()
+    for j in range(last):
+        chain = [w[i] for i in content[j : j + n]]
+        if spot[j]:
+            before = w[content[j - 1] + 1 if j else 0 : content[j]]
+            out |= {" ".join([a, *chain]) for a in before}
+        elif not any(spot[max(j - n, 0) : j + n + 1]):
+            out.add(" ".join(chain))
+    out = out or {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or ({" ".join(w)} if w else set())
+    return {xxhash.xxh64_intdigest(x.encode(), 42) for x in out}
+
+
+def test_fingerprints_of_texts_without_anchors(spark, docs, odd):
+    rows = [f"w{i}" for i in range(60)]
+    extra = [rows, [*rows[:40], *(f"x{i}" for i in range(20))], [*rows[:30], "y", *rows[31:]], "the of and to in a".split(), ["one", "two"], "a b c d of e".split()]
+    table = spark.createDataFrame([(5000 + i, " ".join(t), "en", "s", 1) for i, t in enumerate(extra)], SCHEMA)
+    every = docs.union(table).unionByName(odd.select(*docs.columns)).where("doc_id is not null").select("doc_id", "text")
+    signed = every.select("doc_id", "text", spots.signatures(F.coalesce("text", F.lit("")), True).alias("signs")).collect()
+    assert all({s % 2**64 for s in r.signs} == gap_set(r.text or "") for r in signed)
+    sets = [gap_set(" ".join(t)) for t in extra]
+    assert jaccard(sets[0], sets[1]) > 0.4 and jaccard(sets[0], sets[2]) > 0.8 and [len(s) for s in sets[3:5]] == [4, 1]
+    pairs, _ = spots.similar_pairs(table, gaps=True)
+    assert {tuple(sorted((r.a, r.b))) for r in pairs.collect()} == {(5000, 5002)}
+
+
+def test_registered_fingerprints_survive_edits(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "z" + text[1:], "en", "s", len(text))], SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["op2_document_fingerprints"](spark, str(tmp_path)).collect()
+    assert len(got) == 2 and all(r.near_edited > 0.4 and r.near_next > 0.9 for r in got)
+
+
 # 3
 
 def shingle_set(text, k=5):
