@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from screenloom.llm import brown, chat, circulant, ftrl, latent, licenses, mixing, secrets, spots, winnow
+from screenloom.llm import brown, chat, circulant, ftrl, latent, licenses, mixing, negatives, secrets, spots, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -67,3 +67,9 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)

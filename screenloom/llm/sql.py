@@ -144,7 +144,21 @@ SELECT d.doc_id, count(DISTINCT license) AS n_licenses, coalesce(string_agg(DIST
   coalesce(max(share), 0.0)::DOUBLE AS containment FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"""
 
 
+def _op13() -> str:
+    return """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same, list_dot_product(a.q, c.q)::BIGINT AS score
+    FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+  p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_hard_negatives": _op13(),
     "op9_chat_formatting": _op9(), "op10_license_scans": _op10(),
     "op1_secret_scans": _op1(), "op5_benchmark_decontamination": _op5(), "op6_source_mixing": _op6(),
 }
