@@ -1,7 +1,7 @@
 """DuckDB SQL for the operators that SQL can express over whole tables."""
 from __future__ import annotations
 
-from screenloom.llm import chat, licenses, mixing, secrets, winnow
+from screenloom.llm import chat, licenses, mixing, phrases, secrets, winnow
 
 _ANY_CASE = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
 _NAMES = "|".join([*map(_ANY_CASE, ("password", "passwd", "secret", "token")), _ANY_CASE("api") + "_?" + _ANY_CASE("key")])
@@ -157,7 +157,31 @@ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 *
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10"""
 
 
+def _op12() -> str:
+    """Every phrase of every piece counted; HUGEINT holds the products."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    grams = "SELECT lang, {k} AS k, array_to_string(w[i + 1 : i + {k}], ' ') AS phrase, count(*) AS a FROM " \
+        "(SELECT lang, w, unnest(range(len(w) - {k} + 1)) AS i FROM p WHERE len(w) >= {k}) GROUP BY ALL"
+    every = " UNION ALL ".join(grams.format(k=k) for k in range(1, phrases.LONGEST + 1))
+    return f"""WITH t AS (SELECT coalesce(lang, '{phrases.NO_LANG}') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+  p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t),
+  g AS ({every}),
+  n AS (SELECT lang, sum(a)::BIGINT AS n FROM g WHERE k = 1 GROUP BY 1),
+  f AS MATERIALIZED (SELECT * FROM g WHERE a >= {phrases.THRESHOLD}),
+  c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+  i AS (SELECT lang, k - 1 AS k, unnest([array_to_string(w[1 : k - 1], ' '), array_to_string(w[2 : k], ' ')]) AS phrase, a FROM c WHERE k > 2),
+  j AS (SELECT lang, phrase, max(a) AS most FROM i GROUP BY ALL),
+  o AS (SELECT c.*, unnest(range(1, k)) AS cut FROM c LEFT JOIN j USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a),
+  s AS (SELECT o.lang, o.phrase, o.a, cut, x.a AS l, y.a AS r, n, ((1000::HUGEINT * o.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score FROM o
+    JOIN f x ON x.lang = o.lang AND x.phrase = array_to_string(w[1 : cut], ' ')
+    JOIN f y ON y.lang = o.lang AND y.phrase = array_to_string(w[cut + 1 : o.k], ' ') JOIN n ON n.lang = o.lang),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM b
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= {phrases.TOP}"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_phrase_collocations": _op12(),
     "op13_hard_negatives": _op13(),
     "op9_chat_formatting": _op9(), "op10_license_scans": _op10(),
     "op1_secret_scans": _op1(), "op5_benchmark_decontamination": _op5(), "op6_source_mixing": _op6(),
