@@ -232,7 +232,7 @@ def shingle_set(text, k=5):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def near_groups(rows):
+def near_groups(rows, least=85):
     """component by position: ids of linked texts, compared pair by pair"""
     sets = [shingle_set(t) for _, t in rows]
     parent = list(range(len(rows)))
@@ -244,7 +244,7 @@ def near_groups(rows):
         for j in range(i):
             if rows[i][0] is not None and rows[j][0] is not None and sets[i] and sets[j]:
                 both = len(sets[i] & sets[j])
-                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                if 100 * both >= least * (len(sets[i]) + len(sets[j]) - both):
                     parent[top(i)] = top(j)
     low = {}
     for i, (k, _) in enumerate(rows):
@@ -285,7 +285,32 @@ def test_drop_duplicates_keeps_columns(odd):
     out = circulant.drop_duplicates(odd)
     assert out.columns == odd.columns
     ids = [r.doc_id for r in out.collect()]
-    assert 7 not in ids and 6 in ids and ids.count(None) == 2 and {1, 2, 3, 4, 8} <= set(ids)
+    assert 7 not in ids and 6 in ids and ids.count(5) == 1 and ids.count(None) == 2 and {1, 2, 3, 4, 8} <= set(ids)
+
+
+def test_drop_duplicates_decides_by_row(spark):
+    rows = [(1, "same words in five or more"), (1, "same words in five or more"), (None, "same words in five or more"), (None, "same words in five or more"),
+            (2, "same words in five or more"), (2, "nothing like the other text"), (None, None), (None, None), (None, "only without any id here"), (None, "only without any id here")]
+    got = circulant.drop_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([rows[0], rows[5], rows[6], rows[7], rows[8]], key=str)
+
+
+def test_chains_and_crowded_buckets(spark, monkeypatch):
+    """Half-similar texts that share buckets, and near copies that their bucket's centre does not link."""
+    monkeypatch.setattr(circulant, "BLOCK_DOCS", 4)
+    rng = random.Random(9)
+    w = [f"w{i}" for i in range(300)]
+    rows = []
+    for g in range(12):  # a common half, a half of its own, small edits
+        own = w[:100] + [f"g{g}x{i}" for i in range(60 + g)]
+        for _ in range(6):
+            t = list(own)
+            for _ in range(rng.randrange(0, 5)):
+                t[rng.randrange(len(t))] = "e" + str(rng.randrange(1000))
+            rows.append((len(rows), " ".join(t)))
+    got = circulant.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bands=60, rows=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(near_groups(rows))
+    assert len({r.component_id for r in got}) > 12
 
 
 def test_components(spark):
@@ -517,7 +542,7 @@ def test_pipeline(spark):
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
     assert ids[1] == {r.doc_id for r in latent.quality_scores(docs, labels).where("predicted = 1").collect()}
     rows = [(r.doc_id, r.text) for r in seen[1].collect()]
-    assert ids[2] == {c for _, _, c in near_groups(rows)}
+    assert ids[2] == {c for _, _, c in near_groups(rows, 80)}
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     assert ids[3] == {r.doc_id for r in winnow.contamination(seen[2], bench).where("not contaminated").collect()}
     assert ids[4] == ids[3] and not any(base(r.text) for r in seen[4].collect())
