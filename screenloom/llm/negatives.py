@@ -16,6 +16,8 @@ from screenloom.session import durable
 
 #: Components of the anchors and of the candidates in one pair of blocks.
 ANCHOR_BLOCK, CANDIDATE_BLOCK = 1 << 20, 1 << 22
+#: Components for which another block of candidates is made while there are cores for it.
+LEAST_BLOCK = 1 << 16
 #: Scores held at once inside a task.
 SCORES = 1 << 21
 #: Candidates that share one integer when 64 bits are too few.
@@ -205,7 +207,8 @@ def hard_negatives(
     size = F.sum(F.size("vec").cast("bigint") + 1)
     total, asked = rows.agg(F.coalesce(size, F.lit(0)), F.coalesce(F.sum(F.when(F.col("is_anchor"), F.size("vec") + 1)), F.lit(0))).first()
     n_a = max(1, math.ceil(asked / ANCHOR_BLOCK))
-    n_c = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_a, math.ceil(total / CANDIDATE_BLOCK))
+    cores = int(spark.conf.get("spark.sql.shuffle.partitions")) // n_a
+    n_c = max(1, min(cores, math.ceil(total / LEAST_BLOCK)), math.ceil(total / CANDIDATE_BLOCK))
     deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     anchors = rows.where("is_anchor")

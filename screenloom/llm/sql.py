@@ -80,8 +80,9 @@ def _op6() -> str:
         over = f"PARTITION BY {', '.join(above)}" if above else ""
         parent = f"s_{above[-1]}" if above else "s_"
         keep = ", ".join(f"c.{c}" for c in path)
+        weight = " ".join(f"WHEN '{name}' THEN {w}" for name, w in mixing.WEIGHTS[level].items())
         parts.append(f"""
-  c_{level} AS (SELECT {keep}, c.capacity, 1 AS weight, p.share FROM (SELECT {cols}, sum(capacity)::BIGINT AS capacity FROM leaves GROUP BY ALL) c
+  c_{level} AS (SELECT {keep}, c.capacity, CASE c.{level} {weight} ELSE 1 END::BIGINT AS weight, p.share FROM (SELECT {cols}, sum(capacity)::BIGINT AS capacity FROM leaves GROUP BY ALL) c
     JOIN {parent} p ON {same}),
   o_{level} AS (SELECT *, sum(weight) OVER ({over}) AS aw, coalesce(sum(capacity) OVER e, 0) AS cb, coalesce(sum(weight) OVER e, 0) AS wb
     FROM c_{level} WINDOW e AS ({over} ORDER BY capacity / weight, {level} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

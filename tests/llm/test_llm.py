@@ -427,6 +427,19 @@ def test_mixing(docs, odd, empty):
     assert {r.doc_id for r in strange} == {None, 4, 5, 6, 7, 8, 9}
 
 
+def test_mixed_rows_are_those_of_mix(docs, odd, empty):
+    for df, percent in ((docs, 60), (docs, 150), (odd, 120)):
+        rows = mixing.mixed(df.withColumn("epochs", F.lit("x")), weights=mixing.WEIGHTS, budget_percent=percent)
+        assert rows.columns == [*df.columns, "epochs"]
+        want = collections.Counter((r.doc_id, r.epochs) for r in mixing.mix(df, weights=mixing.WEIGHTS, budget_percent=percent).collect())
+        assert collections.Counter((r.doc_id, r.epochs) for r in rows.collect()) == want and want
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(texts[r.doc_id] == r.text for r in mixing.mixed(docs).collect())
+    assert mixing.mixed(empty).collect() == []
+    even = {r.doc_id for r in mixing.mix(docs).collect()}
+    assert even != {r.doc_id for r in mixing.mix(docs, weights=mixing.WEIGHTS).collect()}
+
+
 # 7, 8
 
 @pytest.mark.parametrize("score,modulus,held", [(ftrl.toxicity_scores, 5, 0), (latent.quality_scores, 4, 2)])
@@ -547,7 +560,10 @@ def test_pipeline(spark):
     assert ids[3] == {r.doc_id for r in winnow.contamination(seen[2], bench).where("not contaminated").collect()}
     assert ids[4] == ids[3] and not any(base(r.text) for r in seen[4].collect())
     assert sorted(map(tuple, p.run(spark, FOLDER).collect())) == sorted(map(tuple, seen[5].collect()))
-    assert p.run(spark, FOLDER).count() > 0
+    out = p.run(spark, FOLDER)
+    assert out.count() > 0 and out.columns == [*docs.columns, "epochs"] and not any(base(r.text) for r in out.collect())
+    masked = {r.doc_id: r.text for r in seen[4].collect()}
+    assert all(r.text == masked[r.doc_id] and r.epochs > 0 for r in out.collect())
 
 
 def test_pipeline_drops_copies_from_80(spark):
@@ -567,5 +583,8 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
     import corpus_pipeline as p
 
     for docs in (odd, empty):
-        for _, stage in p.STAGES:
-            stage(spark, docs, FOLDER).collect()
+        for name, stage in p.STAGES:
+            out = stage(spark, docs, FOLDER)
+            assert set(docs.columns) <= set(out.columns) and out.count() <= docs.count()
+            if name == "secret scans":
+                assert out.count() == docs.count()
