@@ -34,8 +34,8 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The selected documents, with how often each is taken."""
-    return mixing.mix(docs)
+    """The selected documents with all their columns, texts masked as they came, and in ``epochs`` how often each is taken."""
+    return mixing.mixed(docs, weights=mixing.WEIGHTS)
 
 
 STAGES = [
