@@ -1,30 +1,21 @@
 """Bootstrap intervals, matched subsamples, folds and batches by keyed draws."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from screenloom.functions import stats as S
-from screenloom.functions.hashing import four_uniforms, order_key
+from screenloom.functions import draws, stats as S
+from screenloom.functions.hashing import order_key
 from screenloom.functions.ordered import GROUP_LIMIT, ordinal, weighted_rank
 from screenloom.functions.sizes import broadcast_if_small
 
 
+#: Beyond so many rows, rank correlations are resampled by windows instead of inside a task.
+ROWS_IN_TASK = 2_000_000
 PART_ROWS = 200_000
 MAX_PARTS = 10_000
 
 
-def _draws(spark, n: int, reps: int, seed) -> DataFrame:
-    """(rep, hit): draw ``t`` of replicate ``rep`` hits item floor(u * n), for t = 0..n-1.
-
-    Draws are numbered, not taken from the items, so they spread over all cores whatever the
-    layout of the data; only the count n comes from it.  One digest serves four replicates."""
-    fours = spark.range(n).select("id", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 4))).alias("four"))
-    words = F.array(*four_uniforms(seed, F.col("four"), F.col("id")))
-    return fours.select("four", F.posexplode(words).alias("word", "u")).select(
-        (F.col("four") * 4 + F.col("word") + 1).alias("rep"), F.floor(F.col("u") * F.lit(float(n))).cast("bigint").alias("hit")
-    ).where(F.col("rep") <= reps)
-
-
 def summarize(deltas: DataFrame, value="delta", keys: list[str] = []) -> DataFrame:
     """Median, 95 % percentile interval, sign stability, and the count of undefined replicates."""
     q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975))).alias("q")
@@ -37,21 +28,124 @@ def summarize(deltas: DataFrame, value="delta", keys: list[str] = []) -> DataFra
     )
 
 
+def _slabs(spark, groups: int, reps: int) -> int:
+    """Into how many runs of replicates a group's work is cut while there are cores for it."""
+    cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(reps, -(-cores // max(groups, 1))))
+
+
+def _run(slab: int, slabs: int, reps: int) -> range:
+    return range(slab * reps // slabs + 1, (slab + 1) * reps // slabs + 1)
+
+
+def _block_sums(n: int, reps: int, slabs: int, seed: int, size: int, names: list[str]):
+    """Grouped Arrow task over one block of rows: for each replicate of the run the moments, weighted by multiplicities."""
+
+    def run(table):
+        import pyarrow as pa
+
+        block, slab = table["block"][0].as_py(), table["slab"][0].as_py()
+        table = table.sort_by("at")
+        moments = np.column_stack([table[c].to_numpy() for c in names])
+        known = draws.numbers(0, min(len(moments), draws.AT_ONCE))
+        wanted = _run(slab, slabs, reps)
+        sums = np.array([draws.multiplicities(seed, rep, n, block, size, known) @ moments for rep in wanted]).reshape(-1, len(names))
+        return pa.table({"rep": pa.array(list(wanted), pa.int32())} | {c: pa.array(sums[:, i]) for i, c in enumerate(names)})
+
+    return run
+
+
 def row_bootstrap_delta_r2(
-    df: DataFrame, key: str, y: str, arm_a: list[str], arm_b: list[str], reps=10000, seed=42, limit=GROUP_LIMIT
+    df: DataFrame, key: str, y: str, arm_a: list[str], arm_b: list[str], reps=10000, seed=42, limit=GROUP_LIMIT, block: int | None = None
 ) -> DataFrame:
     """rep, delta: mean R2 of arm a minus mean R2 of arm b over one shared resample of rows.
 
-    Drawn rows are joined and reduced per replicate with partial aggregation, so past the join only
-    one small record per task and replicate moves; multiplied rows are never written."""
+    Rows are numbered in the order of ``key`` and lie in blocks.  A task makes the multiplicities of its own block for all
+    replicates and multiplies them with the rows' moments, so that only replicates x moments move; see
+    :mod:`screenloom.functions.draws`.  While there are fewer blocks than cores, runs of replicates share a block."""
+    size = block or draws.BLOCK
     n = df.count()
-    rows = ordinal(df.select(key, y, *arm_a, *arm_b), [], [key], "_i", None if limit is None or n <= limit else 0)
-    draws = _draws(df.sparkSession, n, reps, seed)
-    items = rows.select(F.col("_i").alias("hit"), y, *arm_a, *arm_b)
-    items = broadcast_if_small(items)
-    a = sum((S.r2(y, p) for p in arm_a[1:]), S.r2(y, arm_a[0])) / len(arm_a)
-    b = sum((S.r2(y, p) for p in arm_b[1:]), S.r2(y, arm_b[0])) / len(arm_b)
-    return draws.join(items, "hit").groupBy("rep").agg((a - b).alias("delta"))
+    preds = sorted({*arm_a, *arm_b})
+    rows = ordinal(df.select(key, y, *preds), [], [key], "_i", None if limit is None or n <= limit else 0)
+    centre = df.agg(F.avg(y)).scalar()
+    rows = rows.withColumn("_y", F.col(y) - centre)
+    one = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    moments = {"n": one(F.col("_y").isNotNull()), "s": one(F.col("_y")), "q": one(F.col("_y") * F.col("_y"))}
+    for i, p in enumerate(preds):
+        d = F.col(y) - F.col(p)
+        moments |= {f"e{i}": one(d * d), f"k{i}": one((d * d).isNotNull())}
+    slabs = _slabs(df.sparkSession, -(-n // size), reps)
+    placed = rows.select(
+        F.floor(F.col("_i") / size).cast("int").alias("block"), (F.col("_i") % size).alias("at"), *[c.alias(m) for m, c in moments.items()],
+        F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"),
+    )
+    names = list(moments)
+    schema = "rep int, " + ", ".join(f"{m} double" for m in names)
+    sums = placed.groupBy("block", "slab").applyInArrow(_block_sums(n, reps, slabs, seed, size, names), schema)
+    sums = sums.groupBy("rep").agg(*[F.sum(m).alias(m) for m in names])
+    spread = F.col("q") - F.try_divide(F.col("s") * F.col("s"), F.col("n"))
+    # a resample with one distinct value leaves rounding only
+    spread = F.when(spread > F.col("q") * 1e-13, spread)
+    r2 = {p: F.when(F.col(f"k{i}") > 0, F.lit(1.0) - F.col(f"e{i}") / spread) for i, p in enumerate(preds)}
+    mean = lambda arm: sum((r2[p] for p in arm[1:]), r2[arm[0]]) / len(arm)
+    return sums.select("rep", (mean(arm_a) - mean(arm_b)).alias("delta"))
+
+
+def _rank_codes(column) -> np.ndarray:
+    """Dense ranks from 0; null comes first, NaN last."""
+    null = np.asarray(column.is_null())
+    values = column.cast("double").fill_null(0.0).to_numpy()
+    codes = np.zeros(len(values), dtype=np.int64)
+    codes[~null] = np.unique(values[~null], return_inverse=True)[1] + null.any()
+    return codes
+
+
+def _rhos(n_clusters: int, reps: int, slabs: int, seed: int, y: str, cols: list[str]):
+    """Grouped Arrow task over all rows and a run of replicates: weighted average-tie ranks and their correlations.
+
+    Every column is put in order once; a replicate's ranks are prefix sums of its weights along that order, ties kept
+    together."""
+
+    def run(table):
+        import pyarrow as pa
+
+        slab = table["slab"][0].as_py()
+        cluster = table["c"].to_numpy()
+        codes = {c: _rank_codes(table[c]) for c in (y, *cols)}
+        known = draws.numbers(0, min(n_clusters, draws.AT_ONCE))
+        out: dict[str, list] = {c: [] for c in cols}
+        wanted = _run(slab, slabs, reps)
+        for rep in wanted:
+            w = draws.multiplicities(seed, rep, n_clusters, known=known)[cluster]
+            total = w.sum()
+            dev = {}
+            for c, code in codes.items():
+                tied = np.bincount(code, weights=w)
+                # all ranks add up to a known number, so their mean is taken off at once
+                dev[c] = (np.cumsum(tied) - tied + (tied + 1) / 2 - (total + 1) / 2)[code]
+            wy = w * dev[y]
+            vy = float(wy @ dev[y])
+            for c in cols:
+                vc = float((w * dev[c]) @ dev[c])
+                out[c].append(float(wy @ dev[c]) / np.sqrt(vy * vc) if vy > 0 and vc > 0 else None)
+        return pa.table({"rep": pa.array(list(wanted), pa.int32())} | {f"rho_{i}": pa.array(out[c], pa.float64()) for i, c in enumerate(cols)})
+
+    return run
+
+
+def _weights(spark, n: int, reps: int, seed: int) -> DataFrame:
+    """rep, hit, w: the clusters that a replicate draws."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for rep in batch["id"].to_pylist():
+                w = draws.multiplicities(seed, rep, n)
+                hit = np.flatnonzero(w)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), rep)), pa.array(hit), pa.array(w[hit])], names=["rep", "hit", "w"])
+
+    return spark.range(1, reps + 1).mapInArrow(run, "rep bigint, hit bigint, w bigint")
 
 
 def cluster_bootstrap_rho(
@@ -60,19 +154,34 @@ def cluster_bootstrap_rho(
 ) -> DataFrame:
     """rep and one rank correlation per object, resampling whole clusters with replacement.
 
-    A drawn cluster's rows enter with its multiplicity as a weight; ranks are recomputed in every
-    replicate as weighted average-tie ranks.  A cluster with very many rows is cut into numbered
-    parts and its weights are repeated per part, so that no join task holds it whole.  Rows go to parts by
-    a hash of ``key``, the row's name; without one by their values, which keeps equal rows together."""
+    A drawn cluster's rows enter with its multiplicity as a weight; ranks are recomputed in every replicate as weighted
+    average-tie ranks.  Up to ``ROWS_IN_TASK`` rows, each run of replicates is one task that holds all rows and only
+    replicates x objects come out.
+
+    Beyond that, the same draws are joined with the rows and ranked by windows.  A cluster with very many rows is then cut into
+    numbered parts and its weights are repeated per part, so that no join task holds it whole.  Rows go to parts by a hash of
+    ``key``, the row's name; without one by their values, which keeps equal rows together."""
+    spark = df.sparkSession
     cols = sorted({c for cs in objects.values() for c in cs})
     rows = df.select(cluster, y, *cols, F.xxhash64(*([key] if key else [y, *cols])).alias("_h"))
     per = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
-    n, n_clusters, largest = per.agg(F.sum("_n"), F.count(F.lit(1)), F.max("_n")).first()
-    fits_one_task = limit is None or n <= limit
+    n, n_clusters, largest = per.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1)), F.max("_n")).first()
+    fits_one_task = limit is None or n <= min(limit, ROWS_IN_TASK)
     ids = ordinal(df.select(cluster).distinct(), [], [cluster], "_c", None if fits_one_task else 0)
     ids = ids.select(F.col("_c").alias("hit"), cluster)
-    weights = _draws(df.sparkSession, n_clusters, reps, seed).groupBy("rep", "hit").agg(F.count(F.lit(1)).alias("w"))
-    weights = weights.join(broadcast_if_small(ids), "hit").drop("hit")
+    if fits_one_task:
+        slabs = _slabs(spark, 1, reps)
+        own = {c: f"v{i}" for i, c in enumerate([y, *cols])}
+        at = broadcast_if_small(ids.select(F.col("hit").alias("c"), F.col(cluster).alias("_id")))
+        one = rows.select(F.col(cluster).alias("_g"), *[F.col(c).alias(v) for c, v in own.items()])
+        one = one.join(at, F.col("_g").eqNullSafe(F.col("_id"))).select("c", *own.values())
+        one = one.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
+        names = [own[c] for c in cols]
+        schema = "rep int, " + ", ".join(f"rho_{i} double" for i in range(len(cols)))
+        boot = one.groupBy("slab").applyInArrow(_rhos(n_clusters, reps, slabs, seed, own[y], names), schema)
+        rho = {c: F.col(f"rho_{i}") for i, c in enumerate(cols)}
+        return boot.select("rep", *[(sum((rho[c] for c in cs[1:]), rho[cs[0]]) / len(cs)).alias(name) for name, cs in objects.items()])
+    weights = _weights(spark, n_clusters, reps, seed).join(broadcast_if_small(ids), "hit").drop("hit")
     part = max(PART_ROWS, n // MAX_PARTS)
     if largest > part:
         # at most n / part <= MAX_PARTS clusters can be this large

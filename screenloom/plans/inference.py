@@ -8,7 +8,7 @@ from screenloom.operators import controls as C, features as X, normalize as N, p
 from screenloom.plans.build import KEYS, MAG, Screen, magnitude_rows
 from screenloom.plans.registry import query, r
 from screenloom.plans.scoring import R2
-from screenloom.plans.sqltext import CELLS, COUNTS, EMB, NCTRL, CTRL, NORM, SCORES, SCREEN, SIZES, digest, draw, normal, rd
+from screenloom.plans.sqltext import CELLS, COUNTS, EMB, NCTRL, CTRL, NORM, SCORES, SCREEN, SIZES, boot_draws, digest, normal, rd
 from screenloom.session import durable
 from screenloom.sources import roles
 
@@ -73,8 +73,10 @@ def c5(spark, d):
     return e.select("cell_id", r(V.vsum("x"), "total"), F.size("x").alias("width"))
 
 
-B1SQL = f"""{SCORES}, ix AS (SELECT *, row_number() OVER (ORDER BY row_key) - 1 AS i, count(*) OVER () AS n FROM scores),
-  dr AS (SELECT rep, CAST(floor({draw(42, 'i')} * n) AS BIGINT) AS hit FROM ix, (SELECT unnest(range(1, 41)) AS rep)),
+REPS = 10_000
+
+B1SQL = f"""{SCORES}, ix AS (SELECT *, row_number() OVER (ORDER BY row_key) - 1 AS i FROM scores),
+  dr AS {boot_draws(42, REPS, "(SELECT count(*) AS n FROM scores)")},
   d AS (SELECT rep, ({R2.format(p='pred_a')}) - ({R2.format(p='pred_b')}) AS delta FROM dr JOIN ix ON hit = i GROUP BY rep)"""
 SUMM = f"""SELECT {rd('quantile_cont(delta, 0.5)')} AS median, {rd('quantile_cont(delta, 0.025)')} AS ci_lo, {rd('quantile_cont(delta, 0.975)')} AS ci_hi,
   {rd('greatest(avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0 END), 1 - avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0 END))')} AS sign_stab, count(delta) AS n,
@@ -87,12 +89,12 @@ def _summary(s):
 
 @query("B1_paired_row_bootstrap", f"WITH {B1SQL} {SUMM} FROM d")
 def b1(spark, d):
-    boot = B.row_bootstrap_delta_r2(roles.scores(spark, d), "row_key", "y", ["pred_a"], ["pred_b"], reps=40)
+    boot = B.row_bootstrap_delta_r2(roles.scores(spark, d), "row_key", "y", ["pred_a"], ["pred_b"], reps=REPS)
     return _summary(B.summarize(boot))
 
 
-B2SQL = f"""{SCORES}, ids AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS c, count(*) OVER () AS g FROM (SELECT DISTINCT cluster FROM scores)),
-  dr AS (SELECT rep, CAST(floor({draw(20260901, 'c')} * g) AS BIGINT) AS hit FROM ids, (SELECT unnest(range(1, 21)) AS rep)),
+B2SQL = f"""{SCORES}, ids AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS c FROM (SELECT DISTINCT cluster FROM scores)),
+  dr AS {boot_draws(20260901, REPS, "(SELECT count(DISTINCT cluster) AS n FROM scores)")},
   w AS (SELECT rep, hit, count(*) AS w FROM dr GROUP BY ALL),
   bo AS (SELECT rep, w, y, pred_a, pred_b FROM w JOIN ids ON hit = c JOIN scores USING (cluster)),
   rk AS (SELECT rep, w, {', '.join(f"sum(w) OVER (PARTITION BY rep ORDER BY {c}) - sum(w) OVER (PARTITION BY rep, {c}) + (sum(w) OVER (PARTITION BY rep, {c}) + 1) / 2.0 AS r_{c}" for c in ('y', 'pred_a', 'pred_b'))} FROM bo),
@@ -102,12 +104,12 @@ B2SQL = f"""{SCORES}, ids AS (SELECT cluster, row_number() OVER (ORDER BY cluste
 
 @query("B2_paired_cluster_bootstrap", f"WITH {B2SQL} {SUMM} FROM d")
 def b2(spark, d):
-    boot = B.cluster_bootstrap_rho(roles.scores(spark, d), "cluster", "y", {"a": ["pred_a"], "b": ["pred_b"]}, reps=20, key="row_key")
+    boot = B.cluster_bootstrap_rho(roles.scores(spark, d), "cluster", "y", {"a": ["pred_a"], "b": ["pred_b"]}, reps=REPS, key="row_key")
     return _summary(B.contrast(boot, "a", "b"))
 
 
-B3SQL = f"""{SCORES}, ix AS (SELECT *, row_number() OVER (PARTITION BY row_key % 2 ORDER BY row_key) - 1 AS i, count(*) OVER (PARTITION BY row_key % 2) AS n, row_key % 2 AS screen FROM scores),
-  dr AS (SELECT screen, rep, CAST(floor({draw(42, 'i')} * n) AS BIGINT) AS hit FROM ix, (SELECT unnest(range(1, 21)) AS rep)),
+B3SQL = f"""{SCORES}, ix AS (SELECT *, row_number() OVER (PARTITION BY row_key % 2 ORDER BY row_key) - 1 AS i, row_key % 2 AS screen FROM scores),
+  dr AS {boot_draws(42, REPS, "(SELECT row_key % 2 AS screen, count(*) AS n FROM scores GROUP BY 1)")},
   d AS (SELECT screen, rep, ({R2.format(p='pred_a')}) - ({R2.format(p='pred_b')}) AS delta FROM dr JOIN ix USING (screen) WHERE hit = i GROUP BY screen, rep),
   s AS (SELECT screen, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM d GROUP BY 1),
   v AS (SELECT screen, CASE WHEN lo > 0 THEN 'resolved-positive' WHEN hi < 0 THEN 'resolved-negative' ELSE 'unresolved' END AS verdict FROM s)"""
@@ -118,7 +120,7 @@ def b3(spark, d):
     s = roles.scores(spark, d)
     out = None
     for i in (0, 1):
-        boot = B.row_bootstrap_delta_r2(s.where(F.col("row_key") % 2 == i), "row_key", "y", ["pred_a"], ["pred_b"], reps=20)
+        boot = B.row_bootstrap_delta_r2(s.where(F.col("row_key") % 2 == i), "row_key", "y", ["pred_a"], ["pred_b"], reps=REPS)
         one = B.verdict(B.summarize(boot)).withColumn("screen", F.lit(i))
         out = one if out is None else out.unionByName(one)
     return B.resolved_everywhere(out, [])

@@ -58,12 +58,19 @@ def unit(seed, *keys: str, start: int = 1) -> str:
     return f"(CAST('0x' || substr(md5(concat_ws('|', {parts})), {start}, 8) AS BIGINT) / 4294967296.0)"
 
 
-def draw(seed, t: str, rep: str = "rep") -> str:
-    """Uniform number of draw ``t`` in replicate ``rep``: word (rep - 1) % 4 of the digest of its four."""
-    return (
-        f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', ({rep} - 1) // 4, {t})), CAST(({rep} - 1) % 4 * 8 + 1 AS BIGINT), 8) AS BIGINT)"
-        " / 4294967296.0)"
-    )
+def fmix(src: str, col: str) -> str:
+    """``src`` with the 32-bit column ``col`` hashed, as in ``functions.draws``."""
+    return f"""(SELECT * EXCLUDE ({col}, h1_, h2_), xor(h2_, h2_ >> 16) AS {col} FROM
+    (SELECT *, (xor(h1_, h1_ >> 13) * 3266489909) % 4294967296 AS h2_ FROM
+    (SELECT *, (xor({col}, {col} >> 16) * 2246822507) % 4294967296 AS h1_ FROM {src})))"""
+
+
+def boot_draws(seed: int, reps: int, sizes: str) -> str:
+    """rep, hit and the columns of ``sizes`` (its ``n`` draws from n items in one block): every draw of every replicate."""
+    first = fmix(f"(SELECT rep, (({seed} + rep * 2654435761) % 4294967296)::UBIGINT AS k FROM (SELECT unnest(range(1, {reps + 1})) AS rep))", "k")
+    keys = fmix(f"(SELECT rep, xor(k, 1::UBIGINT) AS k FROM {first})", "k")
+    numbers = fmix(f"(SELECT z.*, (((t + 1) * 2654435761) % 4294967296)::UBIGINT AS g FROM (SELECT *, unnest(range(n)) AS t FROM {sizes}) z)", "g")
+    return f"(SELECT * EXCLUDE (h, g, k), ((h * n::UBIGINT) >> 32)::BIGINT AS hit FROM {fmix(f'(SELECT *, xor(g, k) AS h FROM {numbers} CROSS JOIN {keys})', 'h')})"
 
 
 def digest(seed, *keys: str) -> str:

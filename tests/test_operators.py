@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import brute
 from screenloom.functions import ordered as O, vector as V
 from screenloom.operators import audit as Q, blocks as K, controls as C, endpoint as E, features as X, joins as J
+from screenloom.functions import draws
 from screenloom.operators import linear as L, metrics as M, normalize as N, pairs as P, pseudobulk as PB, resample as B
 from screenloom.plans import evaluation as EV
 from screenloom.sources import tables, variants
@@ -192,9 +193,8 @@ def test_row_bootstrap_equals_direct_resample(spark):
     df = frame(spark, ["k", "y", "a", "b"], k=np.arange(n), y=y, a=a, b=b)
     for lim in (None, 0):
         boot = {r["rep"]: r["delta"] for r in B.row_bootstrap_delta_r2(df, "k", "y", ["a"], ["b"], 5, 3, lim).collect()}
-        hits = B._draws(spark, n, 5, 3).collect()
         for rep in range(1, 6):
-            i = np.array([h["hit"] for h in hits if h["rep"] == rep])
+            i = np.repeat(np.arange(n), draws.multiplicities(3, rep, n))
             assert len(i) == n and boot[rep] == pytest.approx(brute.r2(y[i], a[i]) - brute.r2(y[i], b[i]))
 
 
@@ -206,13 +206,42 @@ def test_cluster_bootstrap_recomputes_ranks(spark):
     df = frame(spark, ["c", "y", "p0", "p1", "p2"], c=cl, y=y, p0=p[0], p1=p[1], p2=p[2])
     for lim in (None, 0):
         boot = {r["rep"]: r for r in B.cluster_bootstrap_rho(df, "c", "y", {"u": ["p0", "p1"], "v": ["p2"]}, 4, 9, lim).collect()}
-        hits = B._draws(spark, len(ids), 4, 9).collect()
         for rep in range(1, 5):
-            i = np.concatenate([np.where(cl == ids[h["hit"]])[0] for h in hits if h["rep"] == rep])
+            w = draws.multiplicities(9, rep, len(ids))
+            i = np.concatenate([np.where(cl == ids[h])[0] for h in np.repeat(np.arange(len(ids)), w)])
             rho = [brute.spearman(y[i], q[i]) for q in p]
             assert boot[rep]["u"] == pytest.approx((rho[0] + rho[1]) / 2) and boot[rep]["v"] == pytest.approx(rho[2])
 
 
+def test_row_bootstrap_in_blocks(spark):
+    """Many blocks: the halving tree deals all draws, and each replicate equals its direct resample."""
+    n, size = 103, 10
+    y, a, b = RNG.normal(size=n), RNG.normal(size=n), RNG.normal(size=n)
+    df = frame(spark, ["k", "y", "a", "b"], k=np.arange(n), y=y, a=a, b=b)
+    boot = {r["rep"]: r["delta"] for r in B.row_bootstrap_delta_r2(df, "k", "y", ["a"], ["b"], 6, 3, block=size).collect()}
+    assert sorted(boot) == list(range(1, 7))
+    for rep in boot:
+        w = np.concatenate([draws.multiplicities(3, rep, n, blk, size) for blk in range(11)])
+        i = np.repeat(np.arange(n), w)
+        assert len(w) == len(i) == n and boot[rep] == pytest.approx(brute.r2(y[i], a[i]) - brute.r2(y[i], b[i]))
+
+
+def test_multiplicities_are_multinomial():
+    for n, size in ((40, 40), (40, 7)):
+        w = np.array([np.concatenate([draws.multiplicities(1, rep, n, blk, size) for blk in range(-(-n // size))]) for rep in range(4000)])
+        assert (w.sum(axis=1) == n).all()
+        assert abs(w.mean(axis=0) - 1).max() < 0.09 and abs(w.var(axis=0) - (1 - 1 / n)).max() < 0.2
+        assert abs(np.corrcoef(w.T)[0, 1:] + 1 / (n - 1)).max() < 0.08
+
+
+def test_row_bootstrap_of_odd_rows(spark):
+    """A null prediction is left out of the error, a resample of one value is undefined, no rows give no replicates."""
+    df = spark.createDataFrame([(1, 5.0, 5.0, None), (2, 5.0, 4.0, None)], "k int, y double, a double, b double")
+    out = B.row_bootstrap_delta_r2(df, "k", "y", ["a"], ["b"], 20).collect()
+    assert len(out) == 20 and all(r["delta"] is None for r in out)
+    assert B.row_bootstrap_delta_r2(df.where("false"), "k", "y", ["a"], ["b"], 20).collect() == []
+
+
 def test_bootstrap_summary_counts_undefined(spark):
     df = spark.createDataFrame([(0.1,), (0.3,), (-0.2,), (None,)], "delta double")
     r = B.summarize(df).first()
