@@ -97,7 +97,7 @@ B2SQL = f"""{SCORES}, ids AS (SELECT cluster, row_number() OVER (ORDER BY cluste
   dr AS {boot_draws(20260901, REPS, "(SELECT count(DISTINCT cluster) AS n FROM scores)")},
   w AS (SELECT rep, hit, count(*) AS w FROM dr GROUP BY ALL),
   bo AS (SELECT rep, w, y, pred_a, pred_b FROM w JOIN ids ON hit = c JOIN scores USING (cluster)),
-  rk AS (SELECT rep, w, {', '.join(f"sum(w) OVER (PARTITION BY rep ORDER BY {c}) - sum(w) OVER (PARTITION BY rep, {c}) + (sum(w) OVER (PARTITION BY rep, {c}) + 1) / 2.0 AS r_{c}" for c in ('y', 'pred_a', 'pred_b'))} FROM bo),
+  rk AS (SELECT rep, w, {', '.join(f"sum(w) OVER (PARTITION BY rep ORDER BY {c}) - (sum(w) OVER (PARTITION BY rep ORDER BY {c} RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0 AS r_{c}" for c in ('y', 'pred_a', 'pred_b'))} FROM bo),
   rh AS (SELECT rep, {', '.join(f"(sum(w * r_y * r_{c}) - sum(w * r_y) * sum(w * r_{c}) / sum(w)) / sqrt((sum(w * r_y * r_y) - sum(w * r_y) * sum(w * r_y) / sum(w)) * (sum(w * r_{c} * r_{c}) - sum(w * r_{c}) * sum(w * r_{c}) / sum(w))) AS rho_{c}" for c in ('pred_a', 'pred_b'))} FROM rk GROUP BY rep),
   d AS (SELECT rho_pred_a - rho_pred_b AS delta FROM rh)"""
 

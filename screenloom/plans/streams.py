@@ -22,18 +22,28 @@ def _root(spark):
     return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
-def _deliver(spark, d, path, where="true"):
-    """Write the cells with their counts as chunks, one file each: a year's cells in four parts."""
-    c = roles.cells(spark, d).join(roles.counts(spark, d), "cell_id", "left").where(where)
+def _rows(spark, d):
+    c = roles.cells(spark, d).join(roles.counts(spark, d), "cell_id", "left")
     chunk = F.concat_ws("-", "batch", F.pmod("cell_id", F.lit(4)))
-    rows = c.select(chunk.alias("chunk_id"), "cell_id", F.col("target").alias("construct"), "gene_idx", F.col("cnt").cast("double").alias("cnt"))
-    rows.repartition("chunk_id").withColumn("_file", F.col("chunk_id")).write.partitionBy("_file").parquet(path)
+    return c.select("batch", chunk.alias("chunk_id"), "cell_id", F.col("target").alias("construct"), "gene_idx", F.col("cnt").cast("double").alias("cnt"))
 
 
-def _run_chunks(spark, landing, root):
-    stream = A.chunk_stream(spark, landing, CHUNKS, per_trigger=10)
+def _deliver(spark, d, path, where="true", files=2):
+    """Write the cells with their counts as chunks, a year's cells in four; each chunk lies in several files."""
+    rows = _rows(spark, d).where(where).drop("batch").withColumn("_file", F.concat_ws("-", F.pmod(F.col("cell_id") / 4, F.lit(files)).cast("int"), "chunk_id"))
+    rows.repartition("_file").write.partitionBy("_file").parquet(path)
+
+
+def _run_chunks(spark, d, landing, root):
+    stream = A.chunk_stream(spark, landing, CHUNKS, per_trigger=20)
     outputs = {"sums": A.gene_sums, "cells": A.cell_counts}
-    A.accumulate(stream, f"{root}/state", f"{root}/checkpoint", outputs, "chunk_id", ["cell_id", "gene_idx"], A.refuse_bad_counts).awaitTermination()
+    manifest = _rows(spark, d).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    A.accumulate(stream, f"{root}/state", f"{root}/checkpoint", outputs, "chunk_id", ["cell_id", "gene_idx"], A.refuse_bad_counts, manifest).awaitTermination()
+
+
+def _fold(spark, root):
+    A.fold(spark, f"{root}/state", "sums", ["construct", "gene_idx"])
+    A.fold(spark, f"{root}/state", "cells", ["construct"])
 
 
 def _genes(spark, root):
@@ -43,32 +53,34 @@ def _genes(spark, root):
 
 @query("T1_incremental_group_mean", GENES)
 def t1(spark, d):
-    """Several micro-batches of sparse counts, normalised chunk by chunk."""
+    """Several micro-batches of sparse counts, normalised chunk by chunk; a chunk's files reach different batches."""
     root = _root(spark)
     _deliver(spark, d, f"{root}/landing/first")
-    _run_chunks(spark, f"{root}/landing", root)
+    _run_chunks(spark, d, f"{root}/landing", root)
     return _genes(spark, root)
 
 
 @query("T2_idempotent_replay", GENES)
 def t2(spark, d):
-    """Every chunk is delivered twice, the second time partly to the same and partly to a later batch."""
+    """Every chunk is delivered twice, cut into other files the second time, partly to the same and partly to later batches."""
     root = _root(spark)
     _deliver(spark, d, f"{root}/landing/first")
-    _deliver(spark, d, f"{root}/landing/again")
-    _run_chunks(spark, f"{root}/landing", root)
+    _deliver(spark, d, f"{root}/landing/again", files=1)
+    _run_chunks(spark, d, f"{root}/landing", root)
     return _genes(spark, root)
 
 
 @query("T3_resume_from_checkpoint", GENES)
 def t3(spark, d):
-    """Stopped after part of the chunks, resumed when the rest and a repeat of the part have come."""
+    """Stopped after part of the chunks and folded, resumed when the rest and a repeat of the part have come, folded again."""
     root = _root(spark)
-    _deliver(spark, d, f"{root}/landing/part", "batch < '1995'")
-    _run_chunks(spark, f"{root}/landing", root)
-    _deliver(spark, d, f"{root}/landing/rest", "batch >= '1995'")
-    _deliver(spark, d, f"{root}/landing/repeat", "batch < '1995'")
-    _run_chunks(spark, f"{root}/landing", root)
+    _deliver(spark, d, f"{root}/landing/part", "batch < '1998'")
+    _run_chunks(spark, d, f"{root}/landing", root)
+    _fold(spark, root)
+    _deliver(spark, d, f"{root}/landing/rest", "batch >= '1998'", files=1)
+    _deliver(spark, d, f"{root}/landing/repeat", "batch < '1998'", files=1)
+    _run_chunks(spark, d, f"{root}/landing", root)
+    _fold(spark, root)
     return _genes(spark, root)
 
 

@@ -18,7 +18,7 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events", per_tri
 
 
 def chunk_stream(spark: SparkSession, folder: str, schema: str, per_trigger: int = 8) -> DataFrame:
-    """File stream over delivered chunks, at any depth below ``folder``; a chunk is one file."""
+    """File stream over delivered chunks, at any depth below ``folder``."""
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
         .option("recursiveFileLookup", True).parquet(folder)
@@ -53,35 +53,87 @@ def cell_counts(batch: DataFrame) -> DataFrame:
     return batch.select("construct", "cell_id").distinct().groupBy("construct").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _row_hash(columns: list[str]):
+    return F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in sorted(columns)])
+
+
+def _refuse(status: DataFrame, chunk: str, wrong, said: str) -> None:
+    bad = [str(x[0]) for x in status.where(wrong).select(chunk).limit(5).collect()]
+    if bad:
+        raise ValueError(f"{said}: {', '.join(bad)}")
+
+
 def accumulate(
     stream: DataFrame, state: str, checkpoint: str, outputs: dict[str, Callable[[DataFrame], DataFrame]],
     chunk: str | None = None, row: list[str] | None = None, check: Callable[[DataFrame], None] | None = None,
+    manifest: DataFrame | None = None,
 ):
     """Write each micro-batch's ``outputs`` under their name and the batch number.
 
     A batch that runs again after a failure overwrites its own folders, so every batch counts once; the
-    state is one small file set per batch, summed when read.  With ``chunk`` a ledger lists the chunks
-    that earlier batches consumed, and a later delivery of one of them is skipped, whenever it comes; so
-    the state grows with chunks, never with cells.  ``row`` names a row inside a chunk, for a chunk that
-    is delivered twice to one batch.  A chunk has to arrive whole, in one file."""
+    state is one small file set per batch, summed when read and folded by :func:`fold`.
+
+    With ``chunk`` a ledger lists each consumed chunk with its number of rows and a digest of them, so the
+    ledger grows with chunks, never with cells.  A later delivery of a consumed chunk is skipped if it holds the same
+    rows, and refused if not, whenever it comes; ``row`` names a row inside a chunk, for a chunk that is delivered
+    twice to one batch, and two different rows of one name are refused.
+
+    Without ``manifest`` a chunk has to arrive whole in one micro-batch.  A manifest (the chunk and ``n_rows``) lets a
+    chunk come in any number of files and batches: its rows wait under ``pending`` until all are there and are then
+    consumed at once, a repeated delivery in parts included.  A chunk that the manifest does not name, or with
+    more rows than it says, is refused."""
     spark = stream.sparkSession
     if chunk:
         kind = dict(stream.dtypes)[chunk]
-        spark.createDataFrame([], f"{chunk} {kind}").write.mode("overwrite").parquet(f"{state}/ledger/batch=-1")
+        spark.createDataFrame([], f"{chunk} {kind}, n_rows bigint, digest decimal(38,0)").write.mode("overwrite").parquet(f"{state}/ledger/batch=-1")
+    if manifest is not None:
+        if not (chunk and row):
+            raise ValueError("a manifest needs the names of chunks and of their rows")
+        manifest.select(chunk, F.col("n_rows").cast("bigint").alias("n_want")).write.mode("overwrite").parquet(f"{state}/manifest")
+
+    def by_chunk(batch: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+        """The batch's rows with what waited before, each once, and the status of their chunks."""
+        own, names = batch.sparkSession, batch.columns
+        if manifest is not None:
+            earlier = [n for n in _numbers(own, f"{state}/pending", "batch=") if n < number]
+            if earlier:
+                batch = batch.unionByName(own.read.schema(batch.schema).parquet(f"{state}/pending/batch={max(earlier)}"))
+        hashed = batch.withColumn("_hash", _row_hash(names))
+        if row:
+            mixed = hashed.groupBy(chunk, *row).agg(F.min("_hash").alias("a"), F.max("_hash").alias("b"))
+            _refuse(mixed, chunk, "a <> b", "rows of one name differ in chunks")
+            hashed = hashed.dropDuplicates([chunk, *row])
+        hashed = hashed.persist()
+        per = hashed.groupBy(chunk).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("_hash").cast("decimal(38,0)")).alias("digest"))
+        known = own.read.option("basePath", f"{state}/ledger").parquet(f"{state}/ledger").where(F.col("batch") != number)
+        known = known.select(chunk, F.col("n_rows").alias("k_rows"), F.col("digest").alias("k_digest"))
+        status = per.join(known, chunk, "left")
+        status = status.join(own.read.parquet(f"{state}/manifest"), chunk, "left") if manifest is not None else status.withColumn("n_want", F.col("n_rows"))
+        status = status.withColumn("whole", F.col("n_rows") == F.col("n_want")).persist()
+        _refuse(status, chunk, "n_want IS NULL OR n_rows > n_want", "chunks that are not in the manifest, or with more rows than it says")
+        _refuse(status, chunk, "whole AND k_rows IS NOT NULL AND (k_rows <> n_rows OR k_digest <> digest)", "chunks came again with other rows")
+        return hashed, status
 
     def write(batch: DataFrame, number: int) -> None:
         if check:
             check(batch)
-        if chunk:
-            known = batch.sparkSession.read.option("basePath", f"{state}/ledger").parquet(f"{state}/ledger")
-            known = known.where(F.col("batch") != number).select(chunk).distinct()
-            batch = batch.join(known, chunk, "left_anti").dropDuplicates([chunk, *(row or [])] if row else None)
-        batch = batch.persist()
+        if not chunk:
+            batch = batch.persist()
+            for name, fn in outputs.items():
+                fn(batch).write.mode("overwrite").parquet(f"{state}/{name}/batch={number}")
+            batch.unpersist()
+            return
+        rows, status = by_chunk(batch, number)
+        fresh = status.where("whole AND k_rows IS NULL")
+        taken = rows.join(fresh.select(chunk), chunk, "left_semi").select(*batch.columns).persist()
         for name, fn in outputs.items():
-            fn(batch).write.mode("overwrite").parquet(f"{state}/{name}/batch={number}")
-        if chunk:
-            batch.select(chunk).distinct().write.mode("overwrite").parquet(f"{state}/ledger/batch={number}")
-        batch.unpersist()
+            fn(taken).write.mode("overwrite").parquet(f"{state}/{name}/batch={number}")
+        if manifest is not None:
+            waiting = rows.join(status.where("NOT whole").select(chunk), chunk, "left_semi").select(*batch.columns)
+            waiting.write.mode("overwrite").parquet(f"{state}/pending/batch={number}")
+        fresh.select(chunk, "n_rows", "digest").write.mode("overwrite").parquet(f"{state}/ledger/batch={number}")
+        for df in (taken, rows, status):
+            df.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -89,9 +141,71 @@ def accumulate(
     )
 
 
+def _fs(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the sub-folders ``<prefix><number>`` that a finished write left."""
+    fs, target = _fs(spark, folder)
+    if not fs.exists(target):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(target)]
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))
+    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix) and done(n))
+
+
+def open_chunks(spark: SparkSession, state: str, chunk: str) -> DataFrame:
+    """Chunks of which rows wait for others, with the number of rows that are there."""
+    last = _numbers(spark, f"{state}/pending", "batch=")
+    if not last:
+        return spark.createDataFrame([], f"{chunk} string, n_rows bigint")
+    return spark.read.parquet(f"{state}/pending/batch={last[-1]}").groupBy(chunk).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def snapshots(spark: SparkSession, state: str, name: str) -> list[tuple[int, int]]:
+    """(number, last batch inside) of every complete snapshot of one output; the note of the last batch is written last."""
+    folder = f"{state}/snapshots/{name}"
+    out = []
+    for n in _numbers(spark, f"{folder}/notes", "snapshot="):
+        out.append((n, spark.read.parquet(f"{folder}/notes/snapshot={n}").first()["upto"]))
+    return out
+
+
+def fold(spark: SparkSession, state: str, name: str, keys: list[str]) -> int:
+    """Fold one output into a new numbered snapshot, summed by ``keys``; gives its number, 0 while no batch has run.
+
+    The snapshot before stays, with the batches after it, until the new one is complete, and readers take the newest complete
+    one; a run that is killed in between changes nothing.  What neither of the last two needs is removed."""
+    done = snapshots(spark, state, name)
+    number, folder = (done[-1][0] if done else 0) + 1, f"{state}/snapshots/{name}"
+    batches = _numbers(spark, f"{state}/{name}", "batch=")
+    upto = max([*batches, *(u for _, u in done)], default=-1)
+    if upto < 0:
+        return 0
+    rows = read_output(spark, state, name)
+    sums = [F.sum(c).alias(c) for c in rows.columns if c not in (*keys, "batch")]
+    rows.groupBy(*keys).agg(*sums).write.mode("overwrite").parquet(f"{folder}/data/snapshot={number}")
+    spark.range(1).select(F.lit(upto).cast("bigint").alias("upto")).write.mode("overwrite").parquet(f"{folder}/notes/snapshot={number}")
+    if done:
+        old = [f"{folder}/{part}/snapshot={n}" for n, _ in done[:-1] for part in ("notes", "data")]
+        for path in old + [f"{state}/{name}/batch={b}" for b in batches if b <= done[-1][1]]:
+            fs, target = _fs(spark, path)
+            fs.delete(target, True)
+    return number
+
+
 def read_output(spark: SparkSession, state: str, name: str) -> DataFrame:
-    """One output over all batches, with its batch number."""
-    return spark.read.option("basePath", f"{state}/{name}").parquet(f"{state}/{name}/batch=*")
+    """One output over all batches, with its batch number; batches inside the newest snapshot come summed under its last one."""
+    done = snapshots(spark, state, name)
+    number, upto = done[-1] if done else (0, -1)
+    later = [f"{state}/{name}/batch={b}" for b in _numbers(spark, f"{state}/{name}", "batch=") if b > upto]
+    rows = spark.read.option("basePath", f"{state}/{name}").parquet(*later) if later else None
+    if not done:
+        return rows
+    folded = spark.read.parquet(f"{state}/snapshots/{name}/data/snapshot={number}").withColumn("batch", F.lit(upto).cast("int"))
+    return folded.unionByName(rows) if rows is not None else folded
 
 
 def read_state(spark: SparkSession, state: str, keys: list[str], name: str = "sums") -> DataFrame:
@@ -127,7 +241,9 @@ def finalize(state: DataFrame, construct: str, control: str) -> DataFrame:
 
 def finalize_genes(spark: SparkSession, state: str, control: str) -> DataFrame:
     """construct, gene_idx, n, mean, delta for every gene a construct has a count of: its mean over all its
-    cells, and minus the mean over all control cells."""
+    cells, and minus the mean over all control cells.  Fails while rows of a chunk wait for others."""
+    if waiting := open_chunks(spark, state, "chunk_id").limit(5).collect():
+        raise ValueError(f"cannot finalize: chunks are not whole: {waiting}")
     cells = read_output(spark, state, "cells").groupBy("construct").agg(F.sum("n").alias("n"))
     _refuse_unfinished(cells, "construct", control)
     sums = read_output(spark, state, "sums").groupBy("construct", "gene_idx").agg(F.sum("s").alias("s"))

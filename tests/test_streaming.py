@@ -117,3 +117,75 @@ def test_finalize_needs_controls_and_treated(spark):
     zero = spark.createDataFrame([("A", 1.0, 0), ("T", 1.0, 1)], "construct string, s double, n bigint")
     with pytest.raises(ValueError, match="zero_count"):
         A.finalize(zero, "construct", "T")
+
+
+def two_files(spark, root, manifest, parts, fold_after=()):
+    """Chunk ``c1`` in two files that reach two micro-batches."""
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, COUNTS).coalesce(1).write.parquet(f"{root}/in/{n}")
+        A.accumulate(
+            A.chunk_stream(spark, f"{root}/in", COUNTS, per_trigger=1), f"{root}/state", f"{root}/ckpt", {"sums": A.gene_sums, "cells": A.cell_counts},
+            "chunk_id", ["cell_id", "gene_idx"], A.refuse_bad_counts, manifest).awaitTermination()
+        if n in fold_after:
+            A.fold(spark, f"{root}/state", "cells", ["construct"])
+
+
+def cells_of(spark, root):
+    return {r["construct"]: r["s"] for r in A.read_output(spark, f"{root}/state", "cells").groupBy("construct").agg({"n": "sum"}).toDF("construct", "s").collect()}
+
+
+FIRST, SECOND = [("c1", 1, "X", 0, 2.0), ("c1", 2, "T", 0, 1.0)], [("c1", 3, "X", 1, 2.0), ("c1", 4, "T", 0, 5.0)]
+
+
+def test_chunk_in_two_files_is_consumed_whole(spark, tmp_path):
+    manifest = spark.createDataFrame([("c1", 4)], "chunk_id string, n_rows int")
+    two_files(spark, tmp_path, manifest, [FIRST])
+    assert cells_of(spark, tmp_path) == {} and [tuple(r) for r in A.open_chunks(spark, f"{tmp_path}/state", "chunk_id").collect()] == [("c1", 2)]
+    with pytest.raises(ValueError, match="not whole"):
+        A.finalize_genes(spark, f"{tmp_path}/state", "T")
+    spark.createDataFrame(SECOND, COUNTS).coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    run_more = lambda: A.accumulate(
+        A.chunk_stream(spark, f"{tmp_path}/in", COUNTS, per_trigger=1), f"{tmp_path}/state", f"{tmp_path}/ckpt", {"sums": A.gene_sums, "cells": A.cell_counts},
+        "chunk_id", ["cell_id", "gene_idx"], A.refuse_bad_counts, manifest).awaitTermination()
+    run_more()
+    assert cells_of(spark, tmp_path) == {"X": 2, "T": 2} and A.open_chunks(spark, f"{tmp_path}/state", "chunk_id").count() == 0
+    # a repeat, cut in another way
+    spark.createDataFrame([*FIRST, SECOND[0]], COUNTS).coalesce(1).write.parquet(f"{tmp_path}/in/again")
+    spark.createDataFrame(SECOND[1:], COUNTS).coalesce(1).write.parquet(f"{tmp_path}/in/again2")
+    run_more()
+    assert cells_of(spark, tmp_path) == {"X": 2, "T": 2}
+
+
+def test_second_arrival_with_other_rows_is_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="came again with other rows"):
+        two_files(spark, tmp_path, None, [FIRST, SECOND])
+    assert cells_of(spark, tmp_path) == {"X": 1, "T": 1}
+
+
+@pytest.mark.parametrize("parts,said", [
+    ([[*FIRST, *SECOND, ("c1", 5, "X", 0, 1.0)]], "more rows"), ([[("c2", 1, "X", 0, 1.0)]], "not in the manifest"), ([[*FIRST, ("c1", 1, "X", 0, 3.0)]], "rows of one name differ"),
+])
+def test_manifest_refuses(spark, tmp_path, parts, said):
+    with pytest.raises(Exception, match=said):
+        two_files(spark, tmp_path, spark.createDataFrame([("c1", 4)], "chunk_id string, n_rows int"), parts)
+
+
+def test_snapshots(spark, tmp_path):
+    """The previous snapshot is read until the next is complete; folded batches go once two snapshots hold them."""
+    parts = [[(f"c{i}", i, "X" if i % 2 else "T", 0, 1.0)] for i in range(6)]
+    two_files(spark, tmp_path, None, parts[:2], fold_after=(1,))
+    state = f"{tmp_path}/state"
+    assert A.snapshots(spark, state, "cells") == [(1, 1)] and cells_of(spark, tmp_path) == {"X": 1, "T": 1}
+    # killed between the data of the next snapshot and its note
+    spark.createDataFrame([("X", 99)], "construct string, n bigint").write.parquet(f"{state}/snapshots/cells/data/snapshot=2")
+    assert cells_of(spark, tmp_path) == {"X": 1, "T": 1}
+    for n, rows in enumerate(parts[2:]):
+        spark.createDataFrame(rows, COUNTS).coalesce(1).write.parquet(f"{tmp_path}/in/more{n}")
+    two_files(spark, tmp_path, None, [])
+    A.accumulate(
+        A.chunk_stream(spark, f"{tmp_path}/in", COUNTS, per_trigger=1), state, f"{tmp_path}/ckpt", {"sums": A.gene_sums, "cells": A.cell_counts},
+        "chunk_id", ["cell_id", "gene_idx"], A.refuse_bad_counts).awaitTermination()
+    assert cells_of(spark, tmp_path) == {"X": 3, "T": 3}
+    assert A.fold(spark, state, "cells", ["construct"]) == 2 and A.fold(spark, state, "cells", ["construct"]) == 3
+    assert cells_of(spark, tmp_path) == {"X": 3, "T": 3} and [n for n, _ in A.snapshots(spark, state, "cells")] == [2, 3]
+    assert A._numbers(spark, f"{state}/cells", "batch=") == []
