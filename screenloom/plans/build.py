@@ -37,6 +37,11 @@ class Screen:
     def norm(self):
         return N.library_log1p(roles.counts(self.spark, self.d, self.genes))
 
+    @cached_property
+    def axis(self) -> int:
+        """Number of genes: the given one, or that of the genes with any count."""
+        return self.genes or self.norm.agg(F.count_distinct("gene_idx")).first()[0]
+
     @cached_property
     def treated(self):
         return N.treated(self.cells, CONTROL)
@@ -72,7 +77,7 @@ def magnitude_rows(s: Screen):
     """split, batch, target, n_cells and the four magnitude scalars of the delta over all genes.
 
     Scalars come from sums over the long rows (absent genes are zeros), not from packed arrays."""
-    g = roles.N_GENES
+    g = s.axis
     d = F.col("delta")
     m = s.delta.groupBy(*KEYS).agg(
         (F.sum(F.abs(d)) / g).alias("mean_abs"),
@@ -359,6 +364,15 @@ def a2w(spark, d):
     return Screen(spark, d, keep=False, genes=None).profile.select(*KEYS, "gene_idx", r("mean", "mean"))
 
 
+@query("P6_row_magnitude_wide", f"""WITH {FULL.replace("CAST(l_partkey % 64 AS INTEGER)", "CAST(l_partkey AS INTEGER)")}, axis AS (SELECT count(DISTINCT gene_idx) AS g FROM norm)
+  SELECT split, batch, target, any_value(n_cells) AS n_cells, {rd('sum(abs(delta)) / any_value(g)')} AS mean_abs, {rd('sqrt(sum(delta * delta))')} AS l2, {rd('max(abs(delta))')} AS max_abs,
+    {rd('sqrt(sum(delta * delta) / any_value(g) - pow(sum(delta) / any_value(g), 2))')} AS sd FROM delta JOIN sizes USING (split, batch, target), axis GROUP BY ALL""")
+def p6w(spark, d):
+    """Every part is a gene: means and deviations are over the whole axis, the genes without a delta included."""
+    m = magnitude_rows(Screen(spark, d, genes=None))
+    return m.select(*KEYS, "n_cells", *[r(c, c) for c in MAG])
+
+
 @query("W2_top_variable_genes_wide", f"""WITH {WIDE}, n AS (SELECT count(*) AS n FROM sizes WHERE split = 'train'),
   v AS (SELECT gene_idx, (sum(mean * mean) - sum(mean) * sum(mean) / any_value(n)) / any_value(n) AS var FROM profile, n WHERE split = 'train' GROUP BY 1)
   SELECT gene_idx, {rd('var')} AS var FROM v ORDER BY round(v.var, 9) DESC, gene_idx LIMIT 2000""")

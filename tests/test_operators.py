@@ -489,3 +489,23 @@ def test_result_tables_round_trip(spark, tmp_path):
         rd = spark.read.schema(df.schema).option("header", True).format(fmt).load(f"{tmp_path}/{fmt}")
         assert rd.collect() == df.collect()
     assert tables.as_document(df, ["arm"]).first()["doc"] == '{"metric":"R2","value":0.15}'
+
+
+def test_ordered_digest(spark):
+    """A tree of digests that knows types, borders and order, and no layout."""
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(i % 7 if i % 5 else None, ["a", "bc", None, ""][i % 4]) for i in range(50)] + [(1, "a"), (1, "a")]
+    df = spark.createDataFrame(rows, "k int, s string")
+    one = lambda k, s: sha("|".join(["int:-" if k is None else f"int:{len(str(k))}:{k}", "string:-" if s is None else f"string:{len(s)}:{s}"]))
+    level = [h for _, _, h in sorted((k is not None, k or 0, one(k, s)) for k, s in rows)]
+    while len(level) > 1:
+        level = [sha("".join(level[i : i + 4])) for i in range(0, len(level), 4)]
+    of = lambda d, **o: tuple(Q.ordered_digest(d, ["k"], ["k", "s"], 4, **o).first())
+    assert of(df) == of(df.repartition(5), limit=0) == (52, level[0])
+    other = [df.limit(51), df.withColumn("k", F.col("k").cast("bigint")), df.withColumn("s", F.upper("s")), df.union(df.limit(1))]
+    assert len({of(d) for d in [df, *other]}) == 5
+    assert of(df.where("false")) == (0, sha(""))
+    with pytest.raises(ValueError, match="exact"):
+        Q.ordered_digest(df.withColumn("s", F.lit(1.5)), ["k"], ["s"])
