@@ -38,7 +38,10 @@ def numbers(start: int, stop: int) -> np.ndarray:
 
 
 def hits(key: np.uint32, numbers: np.ndarray, n: int) -> np.ndarray:
-    return (fmix(numbers ^ key).astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    out = fmix(numbers ^ key).astype(np.uint64)
+    out *= np.uint64(n)
+    out >>= np.uint64(32)
+    return out.view(np.int64)
 
 
 def block_rows(n: int, block: int, size: int) -> int:

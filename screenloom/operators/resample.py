@@ -29,9 +29,14 @@ def summarize(deltas: DataFrame, value="delta", keys: list[str] = []) -> DataFra
 
 
 def _slabs(spark, groups: int, reps: int) -> int:
-    """Into how many runs of replicates a group's work is cut while there are cores for it."""
+    """Into how many runs of replicates a group's work is cut while there are cores for it; two for each core."""
     cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(reps, -(-cores // max(groups, 1))))
+    return max(1, min(reps, -(-2 * cores // max(groups, 1))))
+
+
+def _apart(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Groups are few and small but cost much, so they are not put together by size."""
+    return df.repartition(4 * groups, *keys)
 
 
 def _run(slab: int, slabs: int, reps: int) -> range:
@@ -46,10 +51,10 @@ def _block_sums(n: int, reps: int, slabs: int, seed: int, size: int, names: list
 
         block, slab = table["block"][0].as_py(), table["slab"][0].as_py()
         table = table.sort_by("at")
-        moments = np.column_stack([table[c].to_numpy() for c in names])
-        known = draws.numbers(0, min(len(moments), draws.AT_ONCE))
+        moments = np.stack([table[c].to_numpy() for c in names])
+        known = draws.numbers(0, min(moments.shape[1], draws.AT_ONCE))
         wanted = _run(slab, slabs, reps)
-        sums = np.array([draws.multiplicities(seed, rep, n, block, size, known) @ moments for rep in wanted]).reshape(-1, len(names))
+        sums = np.array([moments @ draws.multiplicities(seed, rep, n, block, size, known).astype(np.float64) for rep in wanted]).reshape(-1, len(names))
         return pa.table({"rep": pa.array(list(wanted), pa.int32())} | {c: pa.array(sums[:, i]) for i, c in enumerate(names)})
 
     return run
@@ -81,6 +86,7 @@ def row_bootstrap_delta_r2(
     )
     names = list(moments)
     schema = "rep int, " + ", ".join(f"{m} double" for m in names)
+    placed = _apart(placed, slabs * max(1, -(-n // size)), "block", "slab")
     sums = placed.groupBy("block", "slab").applyInArrow(_block_sums(n, reps, slabs, seed, size, names), schema)
     sums = sums.groupBy("rep").agg(*[F.sum(m).alias(m) for m in names])
     spread = F.col("q") - F.try_divide(F.col("s") * F.col("s"), F.col("n"))
@@ -178,7 +184,7 @@ def cluster_bootstrap_rho(
         one = one.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
         names = [own[c] for c in cols]
         schema = "rep int, " + ", ".join(f"rho_{i} double" for i in range(len(cols)))
-        boot = one.groupBy("slab").applyInArrow(_rhos(n_clusters, reps, slabs, seed, own[y], names), schema)
+        boot = _apart(one, slabs, "slab").groupBy("slab").applyInArrow(_rhos(n_clusters, reps, slabs, seed, own[y], names), schema)
         rho = {c: F.col(f"rho_{i}") for i, c in enumerate(cols)}
         return boot.select("rep", *[(sum((rho[c] for c in cs[1:]), rho[cs[0]]) / len(cs)).alias(name) for name, cs in objects.items()])
     weights = _weights(spark, n_clusters, reps, seed).join(broadcast_if_small(ids), "hit").drop("hit")
