@@ -42,4 +42,4 @@ def test_learner_is_ftrl(monkeypatch, epochs, l1):
     want = plain(examples, epochs, l1)
     assert bias == pytest.approx(want.pop("bias"))
     assert {int(k): w[k] for k in np.flatnonzero(w)} == pytest.approx({k: v for k, v in want.items() if v})
-    assert w[3] == w.max() and (l1 == 0.0 or (w[:40] == 0).any())
+    assert w[3] > 0 and (l1 == 0.0 or (w[:40] == 0).any())
