@@ -88,16 +88,20 @@ def own_gene_histogram(norm: DataFrame, cells: DataFrame, sizes: DataFrame, own:
     c_for = groups.select(*keys, "gene_idx").join(c, ["batch", "gene_idx"]).select(
         *keys, "value", none.alias("f1"), "f2"
     )
-    # each stored entry adds to its value and takes from the zeros, which start at all cells
-    moves = F.explode(F.array(
-        F.struct(F.col("value").alias("value"), F.col("f1").alias("f1"), F.col("f2").alias("f2")),
-        F.struct(F.lit(0.0).alias("value"), (-F.col("f1")).alias("f1"), (-F.col("f2")).alias("f2")),
-    )).alias("m")
     n_ctrl = controls.groupBy("batch").agg(F.count(F.lit(1)).alias("n_ctrl"))
     zeros = groups.join(n_ctrl, "batch").select(
         *keys, F.lit(0.0).alias("value"), F.col("n_cells").alias("f1"), F.col("n_ctrl").alias("f2")
     )
-    stacked = t.unionByName(c_for).select(*keys, moves).select(*keys, "m.*").unionByName(zeros)
+    return _with_zeros(t.unionByName(c_for), zeros, keys)
+
+
+def _with_zeros(stored: DataFrame, zeros: DataFrame, keys: list[str]) -> DataFrame:
+    """Histogram of all cells: each stored entry adds to its value and takes from the zeros, which start at all cells."""
+    moves = F.explode(F.array(
+        F.struct(F.col("value").alias("value"), F.col("f1").alias("f1"), F.col("f2").alias("f2")),
+        F.struct(F.lit(0.0).alias("value"), (-F.col("f1")).alias("f1"), (-F.col("f2")).alias("f2")),
+    )).alias("m")
+    stacked = stored.select(*keys, moves).select(*keys, "m.*").unionByName(zeros)
     return stacked.groupBy(*keys, "value").agg(F.sum("f1").alias("f1"), F.sum("f2").alias("f2")).where("f1 + f2 > 0")
 
 
@@ -110,49 +114,66 @@ def label_groups(norm, cells, sizes, own: Column, keys: list[str], control: str)
     return anderson_darling(hist, keys, limit)
 
 
+#: Draws held in one word of a cell's bit mask.
+WORD = 62
+
+
+def draw_masks(df: DataFrame, by: list[str], n: int, draws: int, seed) -> DataFrame:
+    """``cell_id``, ``by`` and ``w0, w1, ...``: bit d - 1 of the words says whether draw d holds the cell.
+
+    A draw keeps the first n cells of each group in keyed random order; groups of fewer cells are left out and cells in
+    no draw have no row.  ``row_number <= n`` is pruned on the map side (window group limit), so a pool of any size ships n
+    cells per task and draw."""
+    full = df.groupBy(*by).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= n).select(*by)
+    d = df.select("cell_id", *by).join(full, by, "left_semi").select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    w = Window.partitionBy(*by, "draw").orderBy("o", "cell_id")
+    d = d.withColumn("o", order_key(seed, F.col("draw"), F.col("cell_id")))
+    d = d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    bit = f"shiftleft(1L, cast((draw - 1) % {WORD} AS int))"
+    words = [F.expr(f"bit_or(if(div(draw - 1, {WORD}) = {i}, {bit}, 0L))").alias(f"w{i}") for i in range(-(-draws // WORD))]
+    return d.groupBy("cell_id", *by).agg(*words)
+
+
 def size_controlled_labels(
     norm: DataFrame, treated: DataFrame, controls: DataFrame, own: Column, keys: list[str],
     n_treated: int, n_control: int, draws: int, seed,
 ) -> DataFrame:
     """Labels from ``draws`` repeated fixed-size subsamples of both sides, one row per draw.
 
-    Each draw keeps the first n cells in keyed random order.  ``row_number <= n`` is pruned on the
-    map side (window group limit), so a control pool of any size ships n cells per task."""
-    draw = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
-
-    def pick(df, by, n):
-        w = Window.partitionBy(*by, "draw").orderBy("o", "cell_id")
-        d = df.select("cell_id", *by, draw).withColumn("o", order_key(seed, F.col("draw"), F.col("cell_id")))
-        picked = d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("o", "rn")
-        full = picked.groupBy(*by, "draw").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == n)
-        return picked.join(full.drop("k"), [*by, "draw"], "left_semi")
-
-    on_own = treated.withColumn("own", own)
-    t = pick(treated, keys, n_treated).join(on_own.select("cell_id", "own"), "cell_id")
-    t = t.join(norm.withColumnRenamed("gene_idx", "own"), ["cell_id", "own"], "left").groupBy(
-        *keys, "draw", F.coalesce("v", F.lit(0.0)).alias("value")
-    ).agg(F.count(F.lit(1)).alias("f1"))
-    groups = t.select(*keys, "draw").distinct().withColumn("gene_idx", own)
-    c_ids = pick(controls, ["batch"], n_control)
-    seen = c_ids.join(norm, "cell_id").groupBy("batch", "draw", "gene_idx", F.col("v").alias("value")).agg(
-        F.count(F.lit(1)).alias("f2")
-    )
-    have = seen.groupBy("batch", "draw", "gene_idx").agg(F.sum("f2").alias("s2"))
-    pool = c_ids.select("batch", "draw").distinct()
-    c = groups.join(seen, ["batch", "draw", "gene_idx"]).select(*keys, "draw", "value", "f2")
-    zero = (
-        groups.join(pool, ["batch", "draw"])
-        .join(have, ["batch", "draw", "gene_idx"], "left")
-        .select(*keys, "draw", F.lit(0.0).alias("value"), (F.lit(n_control) - F.coalesce("s2", F.lit(0))).alias("f2"))
+    Cells carry a bit mask of the draws that hold them, so the values are read once: every distinct value of a group, or of
+    a batch's controls on some group's own gene, becomes one vector of counts by draw.  Groups with fewer than
+    ``n_treated`` cells, or fewer than ``n_control`` controls in their batch, have no label."""
+    t = draw_masks(treated, keys, n_treated, draws, seed).withColumn("is_treated", F.lit(True))
+    c = draw_masks(controls, ["batch"], n_control, draws, seed).withColumn("is_treated", F.lit(False))
+    sized = [
+        df.groupBy(*by).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= n).select(*by)
+        for df, by, n in ((treated, keys, n_treated), (controls, ["batch"], n_control))
+    ]
+    groups = sized[0].join(sized[1], "batch", "left_semi").withColumn("gene_idx", own)
+    members = t.withColumn("own", own).unionByName(c, allowMissingColumns=True)
+    entries = (
+        norm.join(groups.select("gene_idx").distinct(), "gene_idx", "left_semi")
+        .join(members, "cell_id")
+        .where(~F.col("is_treated") | (F.col("gene_idx") == F.col("own")))
     )
+    bits = [F.expr(f"sum(shiftright(w{i // WORD}, {i % WORD}) & 1L)") for i in range(draws)]
+    hist = durable(entries.groupBy("is_treated", *keys, "gene_idx", F.col("v").alias("value")).agg(F.array(*bits).alias("f")))
+
     none = F.lit(0).cast("bigint")
-    hist = (
-        t.select(*keys, "draw", "value", "f1", none.alias("f2"))
-        .unionByName(c.unionByName(zero).select(*keys, "draw", "value", none.alias("f1"), "f2"))
-        .groupBy(*keys, "draw", "value").agg(F.sum("f1").alias("f1"), F.sum("f2").alias("f2")).where("f1 + f2 > 0")
+    by_draw = F.posexplode("f").alias("at", "n")
+    on_t = hist.where("is_treated").join(groups.select(*keys), keys, "left_semi").select(*keys, "value", by_draw).where("n > 0").select(
+        *keys, (F.col("at") + 1).alias("draw"), "value", F.col("n").alias("f1"), none.alias("f2")
+    )
+    on_c = groups.join(hist.where(~F.col("is_treated")).select("batch", "gene_idx", "value", "f"), ["batch", "gene_idx"])
+    on_c = on_c.select(*keys, "value", by_draw).where("n > 0").select(
+        *keys, (F.col("at") + 1).alias("draw"), "value", none.alias("f1"), F.col("n").alias("f2")
+    )
+    zeros = groups.select(
+        *keys, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"), F.lit(0.0).alias("value"),
+        F.lit(n_treated).cast("bigint").alias("f1"), F.lit(n_control).cast("bigint").alias("f2"),
     )
     # a group holds at most n_treated + n_control cells: no size check needed
-    return anderson_darling(hist, [*keys, "draw"], limit=None)
+    return anderson_darling(_with_zeros(on_t.unionByName(on_c), zeros, [*keys, "draw"]), [*keys, "draw"], limit=None)
 
 
 def summarize_draws(labels: DataFrame, keys: list[str]) -> DataFrame:

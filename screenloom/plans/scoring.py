@@ -392,12 +392,13 @@ def m27(spark, d):
     return g.select("context", *[r(c, c) for c in ("gap", "gap_rel", "spearman_gap", "robustness_worst_ctx")])
 
 
-B6SQL = f"""{SCREEN}, dr AS (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS draw),
+def sized_sql(screen: str, n_treated: int, n_control: int, draws: int) -> str:
+    return f"""{screen}, dr AS (SELECT CAST(unnest(range(1, {draws + 1})) AS INTEGER) AS draw),
   t0 AS (SELECT split, batch, target, cell_id, draw, row_number() OVER (PARTITION BY split, batch, target, draw ORDER BY {digest(20270201, 'draw', 'cell_id')}, cell_id) AS rn,
          count(*) OVER (PARTITION BY split, batch, target, draw) AS k FROM cells, dr WHERE target <> 'T0'),
   c0 AS (SELECT batch, cell_id, draw, row_number() OVER (PARTITION BY batch, draw ORDER BY {digest(20270201, 'draw', 'cell_id')}, cell_id) AS rn,
          count(*) OVER (PARTITION BY batch, draw) AS k FROM cells, dr WHERE target = 'T0'),
-  t1 AS (SELECT * FROM t0 WHERE rn <= 12 AND k >= 12), c1 AS (SELECT * FROM c0 WHERE rn <= 30 AND k >= 30),
+  t1 AS (SELECT * FROM t0 WHERE rn <= {n_treated} AND k >= {n_treated}), c1 AS (SELECT * FROM c0 WHERE rn <= {n_control} AND k >= {n_control}),
   grp AS (SELECT DISTINCT split, batch, target, draw, CAST(substr(target, 2) AS INTEGER) AS gene_idx FROM t1),
   hist AS (SELECT split, batch, target, draw, v, sum(a) AS f1, sum(b) AS f2 FROM (
      SELECT g.split, g.batch, g.target, g.draw, coalesce(n.v, 0) AS v, 1 AS a, 0 AS b FROM grp g JOIN t1 USING (split, batch, target, draw) LEFT JOIN norm n ON n.cell_id = t1.cell_id AND n.gene_idx = g.gene_idx
@@ -420,11 +421,31 @@ B6SQL = f"""{SCREEN}, dr AS (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS draw
       FROM st WHERE a2 IS NOT NULL)"""
 
 
-@query("B6_size_controlled_endpoint", f"""WITH {B6SQL} SELECT split, batch, target, {rd('avg(y)')} AS y_mean, {rd('stddev_samp(y)')} AS y_std,
+def sized_summary(screen: str, n_treated: int, n_control: int, draws: int) -> str:
+    return f"""WITH {sized_sql(screen, n_treated, n_control, draws)} SELECT split, batch, target, {rd('avg(y)')} AS y_mean, {rd('stddev_samp(y)')} AS y_std,
   {rd('quantile_cont(y, 0.05)')} AS y_p5, {rd('quantile_cont(y, 0.95)')} AS y_p95, {rd('quantile_cont(y, 0.75) - quantile_cont(y, 0.25)')} AS y_iqr, count(y) AS n_valid
-  FROM ad GROUP BY ALL""")
-def b6(spark, d):
-    s = Screen(spark, d)
-    lab = E.size_controlled_labels(s.norm, s.treated, s.controls, roles.own_gene(), KEYS, 12, 30, 5, 20270201)
+  FROM ad GROUP BY ALL"""
+
+
+def sized_labels(s: Screen, n_treated: int, n_control: int, draws: int):
+    lab = E.size_controlled_labels(s.norm, s.treated, s.controls, roles.own_gene(), KEYS, n_treated, n_control, draws, 20270201)
     out = E.summarize_draws(lab, KEYS)
     return out.select(*KEYS, *[r(c, c) for c in ("y_mean", "y_std", "y_p5", "y_p95", "y_iqr")], "n_valid")
+
+
+@query("B6_size_controlled_endpoint", sized_summary(SCREEN, 12, 30, 5))
+def b6(spark, d):
+    return sized_labels(Screen(spark, d), 12, 30, 5)
+
+
+#: One pool of controls for all batches and half as many targets, so that controls reach the published number.
+POOLED = SCREEN.replace("CAST(year(o_orderdate) AS VARCHAR) AS batch", "'all' AS batch").replace("o_custkey % 32", "o_custkey % 16")
+
+
+@query("B6_size_controlled_published", sized_summary(POOLED, 27, 788, 20))
+def b6_published(spark, d):
+    """The published sizes, 27 treated and 788 control cells, drawn 20 times."""
+    s = Screen(spark, d)
+    s.cells = roles.cells(spark, d, targets=16).withColumn("batch", F.lit("all"))
+    return sized_labels(s, 27, 788, 20)
+

@@ -10,14 +10,14 @@ N_TARGETS = 32
 N_GENES = 64
 
 
-def cells(spark: SparkSession, d: str) -> DataFrame:
-    """cell_id, batch, target, split."""
+def cells(spark: SparkSession, d: str, targets: int = N_TARGETS) -> DataFrame:
+    """cell_id, batch, target, split; target T0 is the control."""
     o = read(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     digit = F.col("o_orderkey") % 10
     return o.select(
         F.col("o_orderkey").alias("cell_id"),
         F.year("o_orderdate").cast("string").alias("batch"),
-        F.concat(F.lit("T"), (F.col("o_custkey") % N_TARGETS).cast("string")).alias("target"),
+        F.concat(F.lit("T"), (F.col("o_custkey") % targets).cast("string")).alias("target"),
         F.when(digit < 6, "train").when(digit < 8, "val").otherwise("test").alias("split"),
     )
 

@@ -509,3 +509,16 @@ def test_ordered_digest(spark):
     assert of(df.where("false")) == (0, sha(""))
     with pytest.raises(ValueError, match="exact"):
         Q.ordered_digest(df.withColumn("s", F.lit(1.5)), ["k"], ["s"])
+
+
+def test_draw_masks_hold_fixed_sizes(spark):
+    from screenloom.operators.endpoint import WORD, draw_masks
+
+    cells = spark.createDataFrame([(i, "big" if i < 40 else "small") for i in range(46)], "cell_id long, batch string")
+    draws = WORD + 5
+    rows = draw_masks(cells, ["batch"], 9, draws, 3).collect()
+    assert {r.batch for r in rows} == {"big"}  # fewer than nine cells: left out
+    held = [{r.cell_id for r in rows if r[f"w{d // WORD}"] >> (d % WORD) & 1} for d in range(draws)]
+    assert all(len(h) == 9 for h in held)
+    assert len({frozenset(h) for h in held}) == draws
+    assert not any(r.w1 >> 5 for r in rows) and all(r.w0 >= 0 for r in rows)
