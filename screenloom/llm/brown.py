@@ -1,11 +1,15 @@
 """Language-model scores from a class-based bigram model.
 
-Words fall into classes: the most frequent ones by exchange clustering on their bigrams, every other word by its written form.
-A text's probability is the product of class transitions and of word emissions within the class.  Counts come from all
-training texts in Spark; what is brought together for the clustering is bounded by the number of clustered words.
-
-Words travel as 64-bit hashes.  Counts of the ``HEAD`` most frequent words go to every task; all other words meet their
-counts in a join, so no table that grows with the corpus is broadcast.
+Words fall into classes by exchange clustering.  The most frequent ones are exchanged one by one on the driver, as a start;
+every other word starts in a class of its written form.  Then all training words are exchanged in Spark: each word's left and
+right neighbours are summed by class, and every word moves to the class that makes them likeliest, all words of a pass
+against the same class counts.  A text's probability is the product of class transitions and of word emissions within the
+class.  Counts come from all training texts; what is brought to the driver is bounded by the words of the start, the words
+of the history and the classes.
+
+The class that a token is predicted from is its predecessor's class of the round before if that is one of the ``HISTORY`` most
+frequent words, else the class of its form.  Words travel as 64-bit hashes.  Counts and classes of the ``HEAD`` most frequent
+words go to every task; all other words meet theirs in a join, so no table that grows with the corpus is broadcast.
 """
 from __future__ import annotations
 
@@ -16,10 +20,16 @@ from screenloom.llm.labelled import fold
 from screenloom.llm.wordhash import END, SLICE_BYTES, WordHasher, first_words, lowered, row_slices, spans
 from screenloom.session import durable
 
-#: Words that are clustered, their classes, and words whose counts are broadcast.
-CLUSTERED, CLASSES, HEAD = 1500, 64, 100_000
-#: Passes over the clustered words.
+#: Words that the driver clusters as a start, and their classes.
+CLUSTERED, CLASSES = 1500, 64
+#: Words whose counts and classes are broadcast, and words that have their own class as history.
+HEAD, HISTORY = 100_000, 100_000
+#: Passes over the words of the start.
 SWEEPS = 6
+#: Rounds that count neighbours anew, and exchanges of all words in each.
+ROUNDS, EXCHANGES = 2, 2
+#: Neighbour counts scored at once in a task.
+ENTRIES = 1 << 13
 #: Added to each count of a word; pseudo-counts of the class distribution in a transition.
 ADD, PRIOR = 0.1, 5.0
 #: Classes by form: length (4) x ends in punctuation x holds a digit x holds bytes beyond ASCII x holds other signs.
@@ -193,9 +203,225 @@ def exchange(counts: np.ndarray, movable: int, classes: int, fixed: np.ndarray,
     return cls
 
 
-def _local(keys, cls, log_step, start, head_word, head_n, log_class, total):
-    """Arrow task: what a text's scores owe to transitions and to words with broadcast counts, and its other words."""
-    m = len(log_class)
+def _xlogx(x):
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def _before(c: np.ndarray, owner: np.ndarray, start: int) -> np.ndarray:
+    """The class before each token; ``start`` before a text's first."""
+    out = np.empty_like(c)
+    out[1:] = c[:-1]
+    out[np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)] = start
+    return out
+
+
+def _neighbours(keys: np.ndarray, history: np.ndarray, classes: int):
+    """Arrow task: how often each word has each class on its left (codes 0 to m - 1) and on its right (m on)."""
+    m = classes + FORMS + 1
+
+    def combined(parts):
+        word = np.concatenate([p[0] for p in parts])
+        unique, first, inverse = np.unique(word, return_index=True, return_inverse=True)
+        pair, back = np.unique(inverse * (2 * m) + np.concatenate([p[2] for p in parts]), return_inverse=True)
+        total = np.bincount(back, weights=np.concatenate([p[3] for p in parts]), minlength=len(pair)).astype(np.int64)
+        form = np.concatenate([p[1] for p in parts])[first]
+        at = pair // (2 * m)
+        return unique[at], form[at], pair % (2 * m), total
+
+    def run(batches):
+        import pyarrow as pa
+
+        def emit(parts):
+            word, form, code, n = combined(parts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(word.view(np.int64)), pa.array(form.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(n)],
+                names=["word", "form", "code", "n"],
+            )
+
+        find, held = Lookup(keys), []
+        for batch in batches:
+            for _, _, word, owner, form in tokens(batch["text"]):
+                at = find(word)
+                c = np.where(at >= 0, history[np.maximum(at, 0)] if len(keys) else 0, classes + form)
+                inner = owner[1:] == owner[:-1]
+                one = np.ones(len(word) + int(inner.sum()), dtype=np.int64)
+                held.append(combined([(
+                    np.concatenate([word, word[:-1][inner]]), np.concatenate([form, form[:-1][inner]]),
+                    np.concatenate([_before(c, owner, m - 1), m + c[1:][inner]]), one,
+                )]))
+                if sum(len(h[0]) for h in held) > SLICE_BYTES:
+                    yield emit(held)
+                    held = []
+        if held:
+            yield emit(held)
+
+    return run
+
+
+def neighbours(train: DataFrame, keys: np.ndarray, history: np.ndarray, classes: int) -> DataFrame:
+    """``word, form, near``: every training word's neighbours as (code, n), at most two for each class, ordered by code."""
+    parts = train.select("text").mapInArrow(_neighbours(keys, history, classes), "word bigint, form int, code int, n bigint")
+    summed = parts.groupBy("word", "code").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
+    return summed.groupBy("word").agg(F.min("form").alias("form"), F.sort_array(F.collect_list(F.struct("code", "n"))).alias("near"))
+
+
+def place(old: np.ndarray, cut: np.ndarray, code: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The best class of each word, by neighbour counts ``code, n`` (word i has those from ``cut[i]`` to ``cut[i + 1]``).
+
+    ``counts[k, code]`` are the classes' neighbour counts with every word in its old class.  The likelihood is the sum of
+    c log c over counts, minus the same over the classes' totals on either side.  The gain of each class is that of adding
+    the word to it after taking it out of its own; a word stays unless another class gains more."""
+    out = old.copy()
+    m = counts.shape[1] // 2
+    side = np.stack([counts[:, :m].sum(axis=1), counts[:, m:].sum(axis=1)])
+    flat = _xlogx(counts)
+
+    def joined(base, add):  # rows: additions, columns: classes
+        distinct, back = np.unique(add, return_inverse=True)
+        return (_xlogx(base[None, :] + distinct[:, None]) - _xlogx(base)[None, :])[back]
+
+    start = 0
+    while start < len(old):
+        stop = max(start + 1, int(np.searchsorted(cut, cut[start] + ENTRIES, side="right")) - 1)
+        rows = slice(cut[start], cut[stop])
+        own, c, k = np.repeat(np.arange(stop - start), np.diff(cut[start : stop + 1])), code[rows], n[rows].astype(np.float64)
+        kept = old[start:stop]
+        most = int(k.max()) + 1
+        distinct, first, back = np.unique(c.astype(np.int64) * most + k.astype(np.int64), return_index=True, return_inverse=True)
+        each = _xlogx(counts[:, c[first]].T + k[first][:, None]) - flat[:, c[first]].T
+        at = cut[start:stop] - cut[start]
+        gain = np.add.reduceat(each[back], at, axis=0)
+        mine = counts[kept[own], c]
+        stay = np.add.reduceat(_xlogx(mine) - _xlogx(mine - k), at)
+        for total, part in zip(side, (c < m, c >= m)):
+            size = np.bincount(own, weights=k * part, minlength=stop - start)
+            gain -= joined(total, size)
+            stay -= _xlogx(total[kept]) - _xlogx(total[kept] - size)
+        gain[np.arange(len(kept)), kept] = stay
+        best = gain.argmax(axis=1)
+        out[start:stop] = np.where(gain[np.arange(len(kept)), best] > stay + 1e-9, best, kept)
+        start = stop
+    return out
+
+
+def likelihood(counts: np.ndarray) -> float:
+    m = counts.shape[1] // 2
+    return float(_xlogx(counts).sum() - _xlogx(counts[:, :m].sum(axis=1)).sum() - _xlogx(counts[:, m:].sum(axis=1)).sum())
+
+
+def _exchanged(m: int, passes: list[np.ndarray], summed: bool):
+    """Arrow task: classes after the given passes, each against its own class counts; as rows of words, or summed."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = {}
+        for batch in batches:
+            near = batch["near"]
+            cut = near.offsets.to_numpy().astype(np.int64)
+            flat = near.flatten()
+            cut, code, n = cut - cut[0], flat.field("code").to_numpy(), flat.field("n").to_numpy()
+            cls = batch["cls"].to_numpy().astype(np.int64)
+            for counts in passes:
+                cls = place(cls, cut, code, n, counts)
+            if not summed:
+                tokens_of = np.add.reduceat(np.where(code < m, n, 0), cut[:-1]) if len(cls) else n
+                yield pa.RecordBatch.from_arrays(
+                    [batch["word"], batch["form"], pa.array(tokens_of), pa.array(cls.astype(np.int32))], names=["word", "form", "n", "cls"]
+                )
+                continue
+            pair, back = np.unique(np.repeat(cls, np.diff(cut)) << 32 | code, return_inverse=True)
+            for key, k in zip(pair.tolist(), np.bincount(back, weights=n).astype(np.int64).tolist() if len(pair) else ()):
+                total[key] = total.get(key, 0) + k
+        if summed:
+            keys = np.array(list(total), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(np.array(list(total.values()), dtype=np.int64))],
+                names=["cls", "code", "n"],
+            )
+
+    return run
+
+
+def exchange_all(near: DataFrame, classes: int, exchanges: int = EXCHANGES) -> tuple[DataFrame, np.ndarray]:
+    """(``word, form, n, cls``, class counts) after up to ``exchanges`` passes over every word of ``near`` (with ``cls``).
+
+    A pass that does not raise the likelihood is not kept and ends the exchange.  A task repeats the passes from the
+    broadcast class counts, so nothing but the final table is written."""
+    m = classes + FORMS + 1
+
+    def sums(passes):
+        rows = near.mapInArrow(_exchanged(m, passes, True), "cls int, code int, n bigint")
+        t = rows.groupBy("cls", "code").agg(F.sum("n").alias("n")).toArrow()  # at most classes x 2 m rows
+        out = np.zeros((m - 1, 2 * m))
+        out[t["cls"].to_numpy(), t["code"].to_numpy()] = t["n"].to_numpy()
+        return out
+
+    passes, counts = [], sums([])
+    for _ in range(exchanges):
+        after = sums([*passes, counts])
+        if likelihood(after) <= likelihood(counts):
+            break
+        passes, counts = [*passes, counts], after
+    words = near.mapInArrow(_exchanged(m, passes, False), "word bigint, form int, n bigint, cls int")
+    return durable(words), counts
+
+
+def _most_frequent(words: DataFrame, n: int, *columns: str):
+    """Hashes, in order, and further columns of the n most frequent words."""
+    t = words.orderBy(F.desc("n"), "word").limit(n).select("word", *columns).toArrow()
+    keys = t["word"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], *[t[c].to_numpy().astype(np.int64)[order] for c in columns]
+
+
+class Model:
+    """``words`` (word, form, n, cls) of every training word; ``keys``, ``history``: the classes that tokens are predicted from;
+    ``step[h, c]``, ``size[c]``, ``kinds[c]``: transitions, tokens and distinct words of the classes; ``home[form]``: the class of
+    unseen words, which is the one with most training words of that form that were seen once."""
+
+    def __init__(self, train: DataFrame, clustered: int, classes: int, history: int, rounds: int = ROUNDS):
+        m = self.m = classes + FORMS + 1
+        counts = durable(word_counts(train))
+        keys, _ = _most_frequent(counts, clustered, "n")
+        units = len(keys) + FORMS + 1
+        pairs = train.select("text").mapInArrow(_bigrams(keys), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+        pairs = pairs.toArrow()  # at most units * units rows
+        bigrams = np.zeros((units, units), dtype=np.float64)
+        at = pairs["pair"].to_numpy().astype(np.int64)
+        bigrams[at // units, at % units] = pairs["n"].to_numpy()
+        fixed = np.concatenate([np.zeros(len(keys), np.int64), classes + np.arange(FORMS + 1)])
+        begun = exchange(bigrams, len(keys), classes, fixed)[: len(keys)]
+
+        spark = train.sparkSession
+        started = spark.createDataFrame(list(zip(keys.view(np.int64).tolist(), begun.tolist())), "word bigint, cls int")
+        self.keys, self.history = keys, begun
+        for r in range(rounds):
+            if r:
+                started = self.words.select("word", "cls")
+                self.keys, self.history = _most_frequent(self.words, history, "cls")
+            near = neighbours(train, self.keys, self.history, classes).join(started, "word", "left")
+            near = durable(near.withColumn("cls", F.coalesce("cls", F.col("form") + classes)))
+            self.words, seen = exchange_all(near, classes)
+        steps = seen[:, :m].T
+        arrived = steps.sum(axis=0)
+        overall = (arrived + 1.0) / (arrived.sum() + m - 1)
+        self.step = (steps + PRIOR * overall) / (steps.sum(axis=1, keepdims=True) + PRIOR)
+        self.size, self.kinds, self.home = arrived, np.zeros(m - 1), classes + np.arange(FORMS)
+        best = np.zeros(FORMS)
+        tally = self.words.groupBy("form", "cls").agg(F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once"))
+        for x in sorted(tally.collect()):  # at most forms x classes rows
+            self.kinds[x.cls] += x.v
+            if x.once > best[x.form]:
+                best[x.form], self.home[x.form] = x.once, x.cls
+        self.n, self.distinct = int(self.size.sum()), int(self.kinds.sum())
+        self.log_step, self.log_class = np.log10(self.step), np.log10(self.size + ADD * (self.kinds + 1))
+
+
+def _local(keys, history, home, log_step, log_class, head_word, head_n, head_cls, total):
+    """Arrow task: what a text's scores owe to the words with broadcast counts, and its other words with the class before."""
+    m = len(log_step)
+    classes = m - 1 - FORMS
 
     def run(batches):
         import pyarrow as pa
@@ -204,24 +430,26 @@ def _local(keys, cls, log_step, start, head_word, head_n, log_class, total):
         for batch in batches:
             for at, n, word, owner, form in tokens(batch["text"]):
                 u = find(word)
-                c = np.where(u >= 0, cls[np.maximum(u, 0)] if len(keys) else 0, m - FORMS - 1 + form)
-                before = np.empty_like(c)
-                before[1:] = c[:-1]
-                before[np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)] = start
+                before = _before(np.where(u >= 0, history[np.maximum(u, 0)] if len(keys) else 0, classes + form), owner, m - 1)
                 h = known(word)
                 seen = h >= 0
-                own = np.where(seen, np.log10((head_n[np.maximum(h, 0)] if len(head_n) else 0) + ADD), 0.0)
+                c = head_cls[h[seen]] if len(head_word) else h[seen]
+                own = np.zeros(len(word))
+                own[seen] = np.log10((head_n[h[seen]] if len(head_word) else 0) + ADD)
                 shared = np.bincount(owner, weights=own, minlength=n)
-                score = shared + np.bincount(owner, weights=log_step[before, c] - log_class[c], minlength=n)
+                own[seen] += log_step[before[seen], c] - log_class[c]
                 number = np.bincount(owner, minlength=n)
-                rest = word[~seen]
                 cut = np.searchsorted(owner[~seen], np.arange(n + 1))
+                rest = pa.StructArray.from_arrays(
+                    [pa.array(word[~seen].view(np.int64)), pa.array(before[~seen].astype(np.int32)), pa.array(home[form[~seen]].astype(np.int32))],
+                    names=["word", "before", "home"],
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(at, n), batch["row"].slice(at, n), pa.array(number.astype(np.int64)),
                         pa.array(np.bincount(owner, weights=seen, minlength=n).astype(np.int64)),
-                        pa.array(shared - number * total), pa.array(score),
-                        pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(rest.view(np.int64))),
+                        pa.array(shared - number * total), pa.array(np.bincount(owner, weights=own, minlength=n)),
+                        pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), rest),
                     ],
                     names=["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rest"],
                 )
@@ -229,70 +457,43 @@ def _local(keys, cls, log_step, start, head_word, head_n, log_class, total):
     return run
 
 
-def scores(docs: DataFrame, modulus: int = 10, held: int = 0, clustered: int = CLUSTERED, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
+def scores(
+    docs: DataFrame, modulus: int = 10, held: int = 0, clustered: int = CLUSTERED, classes: int = CLASSES, head: int = HEAD, history: int = HISTORY,
+) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     Words are runs of non-space bytes after A-Z is lower-cased, then one end.  The model learns from rows whose fold is not
-    ``held``; ``base_score`` is the unigram score with 0.1 added, ``score`` the class model's log10 probability.  A class keeps
-    0.1 for an unseen word; a transition falls back on the classes' own frequencies.  A null, empty or blank text is one end.
-    A null ``doc_id`` trains and is not held out.  Repeated rows train and are scored each.  With nothing to train on,
-    all counts are zero.  An empty table gives no rows.
+    ``held``; ``base_score`` is the unigram score with 0.1 added, ``score`` the class model's log10 probability.  Every training
+    word has an exchanged class; ``history`` words are their own class as predecessors, rarer ones the class of their form.
+    A class keeps 0.1 for an unseen word; a transition falls back on the classes' own frequencies.  A null, empty or blank
+    text is one end.  A null ``doc_id`` trains and is not held out.  Repeated rows train and are scored each.  With nothing
+    to train on, all counts are zero.  An empty table gives no rows.
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held_out = F.coalesce(fold(modulus) == held, F.lit(False))
-    train = plain.where(~held_out)
-    counts = durable(word_counts(train))
-    all_n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-
-    # at most ``head`` rows, of which ``clustered`` are clustered
-    top = counts.orderBy(F.desc("n"), "word").limit(head).select("word", "n").toArrow()
-    word, n = top["word"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
-    order = np.argsort(word[:clustered])
-    keys = word[:clustered][order]
-    units = len(keys) + FORMS + 1
-    pairs = train.select("text").mapInArrow(_bigrams(keys), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = pairs.toArrow()  # at most units * units rows
-    bigrams = np.zeros((units, units), dtype=np.float64)
-    at = pairs["pair"].to_numpy().astype(np.int64)
-    bigrams[at // units, at % units] = pairs["n"].to_numpy()
-    fixed = np.concatenate([np.zeros(len(keys), np.int64), classes + np.arange(FORMS + 1)])
-    cls = exchange(bigrams, len(keys), classes, fixed)
-
-    m = classes + FORMS + 1
-    hot = np.zeros((units, m))
-    hot[np.arange(units), cls] = 1
-    steps = hot.T @ bigrams @ hot
-    arrived = steps.sum(axis=0)[: m - 1]
-    overall = (arrived + 1.0) / (arrived.sum() + m - 1)
-    step = (steps[:, : m - 1] + PRIOR * overall) / (steps[:, : m - 1].sum(axis=1, keepdims=True) + PRIOR)
-
-    # tokens and distinct words of each class
-    tally = counts.withColumn("head", F.col("word").isin(keys.view(np.int64).tolist()) if len(keys) else F.lit(False))
-    forms = tally.where(~F.col("head")).groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    size, kinds = np.zeros(m), np.zeros(m)
-    np.add.at(size, cls[: len(keys)], n[:clustered][order])
-    np.add.at(kinds, cls[: len(keys)], 1)
-    for r in forms:  # at most FORMS rows
-        size[classes + r["form"]] += r["n"]
-        kinds[classes + r["form"]] += r["v"]
-    log_class = np.log10(size + ADD * (kinds + 1))
-    by_hash = np.argsort(word)
+    model = Model(plain.where(~held_out), clustered, classes, history)
+    head_word, head_n, head_cls = _most_frequent(model.words, head, "n", "cls")
     local = _local(
-        keys, cls[: len(keys)], np.log10(step), m - 1, word[by_hash], n[by_hash], log_class,
-        float(np.log10(all_n + ADD * (distinct + 1))),
+        model.keys, model.history, model.home, model.log_step, model.log_class, head_word, head_n, head_cls,
+        float(np.log10(model.n + ADD * (model.distinct + 1))),
+    )
+    schema = (
+        "doc_id bigint, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, "
+        "rest array<struct<word: bigint, before: int, home: int>>"
     )
-    schema = "doc_id bigint, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, rest array<bigint>"
     numbered = plain.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     part = durable(numbered.mapInArrow(local, schema))  # stored, so a row keeps its number
-    rare = part.select("row", F.explode("rest").alias("word"))
-    met = rare.join(counts.select("word", "n"), "word", "left")
-    added = met.groupBy("row").agg(
-        F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("add")
-    )
+    gain = model.log_step - model.log_class
+    h, c = np.indices(gain.shape)  # (classes + forms) squared rows
+    gains = docs.sparkSession.createDataFrame(list(zip(h.ravel().tolist(), c.ravel().tolist(), gain.ravel().tolist())), "before int, cls int, gain double")
+    rare = part.select("row", F.inline("rest"))
+    met = rare.join(model.words.select("word", "n", "cls"), "word", "left").withColumn("cls", F.coalesce("cls", "home"))
+    met = met.join(F.broadcast(gains), ["before", "cls"])
+    emitted = F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))
+    added = met.groupBy("row").agg(F.count("n").alias("more"), F.sum(emitted).alias("base"), F.sum(emitted + F.col("gain")).alias("add"))
     out = part.drop("rest").join(added, "row", "left")
-    more, add = F.coalesce("more", F.lit(0)), F.coalesce("add", F.lit(0.0))
     return out.select(
         "doc_id", F.coalesce(fold(modulus) == held, F.lit(False)).alias("held_out"), "n_tokens",
-        (F.col("n_known") + more).alias("n_known"), F.lit(int(all_n)).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + add).alias("base_score"), (F.col("score") + add).alias("score"),
+        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.n).cast("bigint").alias("train_tokens"),
+        (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score"),
     )

@@ -361,6 +361,74 @@ def test_exchange_raises_likelihood():
     assert all(len(set(c[group == g])) == 1 for g in range(3))
 
 
+def test_place_is_the_best_class_by_likelihood():
+    rng = np.random.default_rng(4)
+    k, m, words = 5, 6, 40
+    near = rng.poisson(0.4, (words, 2 * m))
+    near[:, 0] += 1  # every word has a left neighbour
+    cls = rng.integers(0, k, words)
+    counts = np.zeros((k, 2 * m))
+    np.add.at(counts, cls, near)
+    at = [np.flatnonzero(x) for x in near]
+    cut = np.concatenate([[0], np.cumsum([len(a) for a in at])])
+    code, n = np.concatenate(at), np.concatenate([x[a] for x, a in zip(near, at)])
+    got = brown.place(cls, cut, code, n, counts)
+    moved = 0
+    for w in range(words):
+        def after(c):
+            t = counts.copy()
+            t[cls[w]] -= near[w]
+            t[c] += near[w]
+            return brown.likelihood(t)
+        value = [after(c) for c in range(k)]
+        assert value[got[w]] == pytest.approx(max(value), abs=1e-9)
+        moved += got[w] != cls[w]
+    assert moved > 10
+
+
+@pytest.mark.parametrize("history", [50, 100_000])
+def test_class_scores_by_brute_force(docs, odd, history):
+    """Every training word has one class; the score is the sum over tokens of transition and emission, counted anew here."""
+    import pyarrow as pa
+
+    every = docs.unionByName(odd.select(*docs.columns)).cache()
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 10 == 0
+    classes, m = 20, 20 + brown.FORMS + 1
+    train = every.where("doc_id IS NULL OR crc32(cast(cast(doc_id AS string) AS binary)) % 10 <> 0")
+    model = brown.Model(train, 100, classes, history)
+    words = {r.word: (r.n, r.cls, r.form) for r in model.words.collect()}
+    rows = every.select("doc_id", "text").collect()
+    split = []
+    for r in rows:
+        (_, _, word, _, form), = brown.tokens(pa.array([r.text], pa.string()))
+        split.append((r.doc_id, word.view(np.int64).tolist(), form.tolist()))
+    n = collections.Counter(w for k, ws, _ in split if not held(k) for w in ws)
+    assert {w: x[0] for w, x in words.items()} == n
+    own = dict(zip(model.keys.view(np.int64).tolist(), model.history.tolist()))
+    assert len(own) == min(history, len(n))
+    before = lambda ws, fs: [m - 1, *[own.get(w, classes + f) for w, f in zip(ws, fs)]][: len(ws)]
+    step, size, kinds = np.zeros((m, m - 1)), collections.Counter(), collections.Counter(x[1] for x in words.values())
+    for k, ws, fs in split:
+        if not held(k):
+            for b, w in zip(before(ws, fs), ws):
+                step[b, words[w][1]] += 1
+                size[words[w][1]] += 1
+    overall = (step.sum(0) + 1) / (step.sum() + m - 1)
+    p = (step + brown.PRIOR * overall) / (step.sum(1, keepdims=True) + brown.PRIOR)
+    want = []
+    for k, ws, fs in split:
+        s = 0.0
+        for b, w, f in zip(before(ws, fs), ws, fs):
+            c = words[w][1] if w in words else int(model.home[f])
+            s += math.log10(p[b, c]) + math.log10((n[w] + 0.1) / (size[c] + 0.1 * (kinds[c] + 1)))
+        want.append((k is None, k, round(s, 5)))
+    got = brown.scores(every, clustered=100, classes=classes, head=70, history=history).collect()
+    assert sorted((r.doc_id is None, r.doc_id, round(r.score, 5)) for r in got) == sorted(want)
+    for f in range(brown.FORMS):
+        once = collections.Counter(c for x, c, g in words.values() if g == f and x == 1)
+        assert model.home[f] == (min(once, key=lambda c: (-once[c], c)) if once else classes + f)
+
+
 # 5
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
