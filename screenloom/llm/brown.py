@@ -269,37 +269,22 @@ def place(old: np.ndarray, cut: np.ndarray, code: np.ndarray, n: np.ndarray, cou
     """The best class of each word, by neighbour counts ``code, n`` (word i has those from ``cut[i]`` to ``cut[i + 1]``).
 
     ``counts[k, code]`` are the classes' neighbour counts with every word in its old class.  The likelihood is the sum of
-    c log c over counts, minus the same over the classes' totals on either side.  The gain of each class is that of adding
-    the word to it after taking it out of its own; a word stays unless another class gains more."""
+    c log c over counts, minus the same over the classes' totals on either side.  All words move at once, so the gain of a
+    class is taken to first order: the log-probability of the word's neighbours under the class.  Hence moving all words
+    never lowers the likelihood, as it would when words were scored one by one and flocked to the same small class.  A word
+    stays unless another class is better."""
     out = old.copy()
     m = counts.shape[1] // 2
-    side = np.stack([counts[:, :m].sum(axis=1), counts[:, m:].sum(axis=1)])
-    flat = _xlogx(counts)
-
-    def joined(base, add):  # rows: additions, columns: classes
-        distinct, back = np.unique(add, return_inverse=True)
-        return (_xlogx(base[None, :] + distinct[:, None]) - _xlogx(base)[None, :])[back]
-
+    with np.errstate(divide="ignore"):
+        total = np.repeat(np.stack([counts[:, :m].sum(axis=1), counts[:, m:].sum(axis=1)], axis=1), m, axis=1)
+        log_p = (np.log(counts) - np.log(np.maximum(total, 1.0))).T
     start = 0
     while start < len(old):
         stop = max(start + 1, int(np.searchsorted(cut, cut[start] + ENTRIES, side="right")) - 1)
         rows = slice(cut[start], cut[stop])
-        own, c, k = np.repeat(np.arange(stop - start), np.diff(cut[start : stop + 1])), code[rows], n[rows].astype(np.float64)
-        kept = old[start:stop]
-        most = int(k.max()) + 1
-        distinct, first, back = np.unique(c.astype(np.int64) * most + k.astype(np.int64), return_index=True, return_inverse=True)
-        each = _xlogx(counts[:, c[first]].T + k[first][:, None]) - flat[:, c[first]].T
-        at = cut[start:stop] - cut[start]
-        gain = np.add.reduceat(each[back], at, axis=0)
-        mine = counts[kept[own], c]
-        stay = np.add.reduceat(_xlogx(mine) - _xlogx(mine - k), at)
-        for total, part in zip(side, (c < m, c >= m)):
-            size = np.bincount(own, weights=k * part, minlength=stop - start)
-            gain -= joined(total, size)
-            stay -= _xlogx(total[kept]) - _xlogx(total[kept] - size)
-        gain[np.arange(len(kept)), kept] = stay
-        best = gain.argmax(axis=1)
-        out[start:stop] = np.where(gain[np.arange(len(kept)), best] > stay + 1e-9, best, kept)
+        gain = np.add.reduceat(log_p[code[rows]] * n[rows][:, None], cut[start:stop] - cut[start], axis=0)
+        best, every = gain.argmax(axis=1), np.arange(stop - start)
+        out[start:stop] = np.where(gain[every, best] > gain[every, old[start:stop]] + 1e-9, best, old[start:stop])
         start = stop
     return out
 

@@ -361,29 +361,30 @@ def test_exchange_raises_likelihood():
     assert all(len(set(c[group == g])) == 1 for g in range(3))
 
 
-def test_place_is_the_best_class_by_likelihood():
+def test_place_takes_the_likeliest_class_and_raises_the_likelihood(monkeypatch):
+    monkeypatch.setattr(brown, "ENTRIES", 50)
     rng = np.random.default_rng(4)
     k, m, words = 5, 6, 40
     near = rng.poisson(0.4, (words, 2 * m))
     near[:, 0] += 1  # every word has a left neighbour
-    cls = rng.integers(0, k, words)
-    counts = np.zeros((k, 2 * m))
-    np.add.at(counts, cls, near)
+    cls = rng.integers(0, k - 1, words)  # the last class is empty
     at = [np.flatnonzero(x) for x in near]
     cut = np.concatenate([[0], np.cumsum([len(a) for a in at])])
     code, n = np.concatenate(at), np.concatenate([x[a] for x, a in zip(near, at)])
-    got = brown.place(cls, cut, code, n, counts)
-    moved = 0
-    for w in range(words):
-        def after(c):
-            t = counts.copy()
-            t[cls[w]] -= near[w]
-            t[c] += near[w]
-            return brown.likelihood(t)
-        value = [after(c) for c in range(k)]
-        assert value[got[w]] == pytest.approx(max(value), abs=1e-9)
-        moved += got[w] != cls[w]
-    assert moved > 10
+    values = []
+    for _ in range(4):
+        counts = np.zeros((k, 2 * m))
+        np.add.at(counts, cls, near)
+        values.append(brown.likelihood(counts))
+        got = brown.place(cls, cut, code, n, counts)
+        for w in range(words):
+            def fit(c):
+                total = [counts[c, :m].sum(), counts[c, m:].sum()]
+                return sum(x * (math.log(counts[c, e] / total[e >= m]) if counts[c, e] else -math.inf) for e, x in enumerate(near[w]) if x)
+            value = [fit(c) for c in range(k)]
+            assert value[got[w]] == pytest.approx(max(value), abs=1e-8)
+        cls = got
+    assert values == sorted(values) and values[1] > values[0]
 
 
 @pytest.mark.parametrize("history", [50, 100_000])
