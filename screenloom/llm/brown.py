@@ -271,8 +271,7 @@ def place(old: np.ndarray, cut: np.ndarray, code: np.ndarray, n: np.ndarray, cou
     ``counts[k, code]`` are the classes' neighbour counts with every word in its old class.  The likelihood is the sum of
     c log c over counts, minus the same over the classes' totals on either side.  All words move at once, so the gain of a
     class is taken to first order: the log-probability of the word's neighbours under the class.  Hence moving all words
-    never lowers the likelihood, as it would when words were scored one by one and flocked to the same small class.  A word
-    stays unless another class is better."""
+    never lowers the likelihood, which gains of single moves do not guarantee.  A word stays unless another class is better."""
     out = old.copy()
     m = counts.shape[1] // 2
     with np.errstate(divide="ignore"):
