@@ -272,20 +272,29 @@ def place(old: np.ndarray, cut: np.ndarray, code: np.ndarray, n: np.ndarray, cou
     c log c over counts, minus the same over the classes' totals on either side.  All words move at once, so the gain of a
     class is taken to first order: the log-probability of the word's neighbours under the class.  Hence moving all words
     never lowers the likelihood, which gains of single moves do not guarantee.  A word stays unless another class is better."""
-    out = old.copy()
+    if not len(old):
+        return old.copy()
     m = counts.shape[1] // 2
     with np.errstate(divide="ignore"):
         total = np.repeat(np.stack([counts[:, :m].sum(axis=1), counts[:, m:].sum(axis=1)], axis=1), m, axis=1)
         log_p = (np.log(counts) - np.log(np.maximum(total, 1.0))).T
+    # most words occur once; those with the same two neighbours are scored together
+    size = np.diff(cut)
+    once = np.flatnonzero((size == 2) & (np.add.reduceat(n, cut[:-1]) == 2))
+    name = np.arange(len(old)) + 4 * m * m
+    name[once] = code[cut[once]].astype(np.int64) * (2 * m) + code[cut[once] + 1]
+    _, first, same = np.unique(name, return_index=True, return_inverse=True)
+    upto = np.concatenate([[0], np.cumsum(size[first])])
+    rows = np.repeat(cut[first] - upto[:-1], size[first]) + np.arange(upto[-1])
+    gain = np.empty((len(first), len(counts)))
     start = 0
-    while start < len(old):
-        stop = max(start + 1, int(np.searchsorted(cut, cut[start] + ENTRIES, side="right")) - 1)
-        rows = slice(cut[start], cut[stop])
-        gain = np.add.reduceat(log_p[code[rows]] * n[rows][:, None], cut[start:stop] - cut[start], axis=0)
-        best, every = gain.argmax(axis=1), np.arange(stop - start)
-        out[start:stop] = np.where(gain[every, best] > gain[every, old[start:stop]] + 1e-9, best, old[start:stop])
+    while start < len(first):
+        stop = max(start + 1, int(np.searchsorted(upto, upto[start] + ENTRIES, side="right")) - 1)
+        part = rows[upto[start] : upto[stop]]
+        gain[start:stop] = np.add.reduceat(log_p[code[part]] * n[part][:, None], upto[start:stop] - upto[start], axis=0)
         start = stop
-    return out
+    best = gain.argmax(axis=1)
+    return np.where(gain[np.arange(len(first)), best][same] > gain[same, old] + 1e-9, best[same], old)
 
 
 def likelihood(counts: np.ndarray) -> float:
@@ -327,11 +336,10 @@ def _exchanged(m: int, passes: list[np.ndarray], summed: bool):
     return run
 
 
-def exchange_all(near: DataFrame, classes: int, exchanges: int = EXCHANGES) -> tuple[DataFrame, np.ndarray]:
-    """(``word, form, n, cls``, class counts) after up to ``exchanges`` passes over every word of ``near`` (with ``cls``).
-
-    A pass that does not raise the likelihood is not kept and ends the exchange.  A task repeats the passes from the
-    broadcast class counts, so nothing but the final table is written."""
+def exchange_all(near: DataFrame, classes: int, exchanges: int = EXCHANGES):
+    """``word, form, n, cls`` after ``exchanges`` passes over every word of ``near`` (with ``cls``), and a function that gives
+    the class counts then.  A task repeats the passes from the broadcast class counts, so nothing but the final table is
+    written."""
     m = classes + FORMS + 1
 
     def sums(passes):
@@ -341,14 +349,11 @@ def exchange_all(near: DataFrame, classes: int, exchanges: int = EXCHANGES) -> t
         out[t["cls"].to_numpy(), t["code"].to_numpy()] = t["n"].to_numpy()
         return out
 
-    passes, counts = [], sums([])
+    passes = []
     for _ in range(exchanges):
-        after = sums([*passes, counts])
-        if likelihood(after) <= likelihood(counts):
-            break
-        passes, counts = [*passes, counts], after
+        passes.append(sums(passes))
     words = near.mapInArrow(_exchanged(m, passes, False), "word bigint, form int, n bigint, cls int")
-    return durable(words), counts
+    return durable(words), lambda: sums(passes)
 
 
 def _most_frequent(words: DataFrame, n: int, *columns: str):
@@ -387,7 +392,7 @@ class Model:
             near = neighbours(train, self.keys, self.history, classes).join(started, "word", "left")
             near = durable(near.withColumn("cls", F.coalesce("cls", F.col("form") + classes)))
             self.words, seen = exchange_all(near, classes)
-        steps = seen[:, :m].T
+        steps = seen()[:, :m].T
         arrived = steps.sum(axis=0)
         overall = (arrived + 1.0) / (arrived.sum() + m - 1)
         self.step = (steps + PRIOR * overall) / (steps.sum(axis=1, keepdims=True) + PRIOR)
