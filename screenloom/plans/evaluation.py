@@ -6,7 +6,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from screenloom.functions import stats as S
-from screenloom.operators import features as X, linear as L, metrics as M
+from screenloom.functions.hashing import uniform
+from screenloom.operators import boosting, features as X, linear as L, metrics as M
 from screenloom.operators.audit import Forbidden, portable_digest
 from screenloom.session import durable
 
@@ -84,6 +85,20 @@ def sweep(rows: DataFrame, arms: dict[str, list[str]], families: dict, seeds: li
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def sweep_boosted(rows: DataFrame, arms: dict[str, list[str]], seeds: list[int], key: str, label: str, share: float = 0.1, **sizes) -> DataFrame:
+    """As ``sweep`` for boosted trees, whose arms and seeds are fitted together.  Each seed draws its own ``share`` of the
+    training rows, which decide when to stop; features are not scaled.  ``sizes`` go to ``boosting.fit``."""
+    kinds = dict(rows.dtypes)
+    blocks = [F.concat(*[F.col(f).cast("array<double>") if kinds[f].startswith("array") else F.array(F.col(f).cast("double")) for f in feats]) for feats in arms.values()]
+    each = F.array(*[F.struct(F.lit(a).alias("arm"), b.alias("_x")) for a, b in zip(arms, blocks)])
+    long = rows.select(F.col(key).alias("key"), "split", F.col(label).alias("y"), F.inline(each))
+    long = durable(long.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))))
+    train = long.where(F.col("split") == "train").withColumn("_held", uniform(F.col("seed"), "key") < share)
+    model = boosting.fit(train, ["arm", "seed"], "_x", "y", "_held", **sizes)
+    scored = model.transform(long.where(F.col("split") != "train"), "yhat").where(F.col("yhat").isNotNull())
+    return scored.select("arm", F.lit("boosted").alias("family"), "seed", "split", "key", "y", "yhat")
+
+
 def probe_grid(train: DataFrame, val: DataFrame, arms: dict, width: dict, targets: list[str], alphas=L.ALPHAS, repeats: int = 1) -> DataFrame:
     """Validation R2 of every (input, target, alpha): one pass over the rows per input, whatever the
     number of targets and penalties.  Repeats re-run the whole pass."""

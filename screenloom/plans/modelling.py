@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from screenloom.functions import stats as S, vector as V
-from screenloom.operators import blocks as K, controls as C, features as X, linear as L, metrics as M
+from screenloom.operators import blocks as K, boosting, controls as C, features as X, linear as L, metrics as M
 from screenloom.plans import evaluation as E
 from screenloom.plans.build import KEYS, MAG, Screen, magnitude_rows
 from screenloom.plans.inference import SPLITOF, emb_rows, nsql, permsql
@@ -222,6 +222,45 @@ def l2(spark, d):
     return out
 
 
+BINS, LEVELS, TREES, STEP, LEAF = 32, 3, 2, 0.05, 20
+
+
+def _boosting_sql() -> str:
+    """Trees of the two score features by even and odd keys: bins by rank, every level from its rows, no sibling by subtraction."""
+    k = "PARTITION BY grp, node"
+    sql = f"""{SCORES}, tr AS (SELECT row_key % 2 AS grp, row_key, y, pred_a, pred_b FROM scores WHERE row_key % 10 < 5),
+  lf AS (SELECT grp, row_key, 0 AS feature, pred_a AS x FROM tr UNION ALL SELECT grp, row_key, 1, pred_b FROM tr),
+  rk AS (SELECT grp, feature, x, row_number() OVER (PARTITION BY grp, feature ORDER BY x) AS p, count(*) OVER (PARTITION BY grp, feature) AS m FROM lf),
+  eg AS (SELECT DISTINCT grp, feature, x AS edge FROM rk JOIN (SELECT unnest(range(1, {BINS})) AS q) ON p = ceil(q * m / {BINS}.0)),
+  en AS (SELECT *, row_number() OVER (PARTITION BY grp, feature ORDER BY edge) AS e FROM eg),
+  b AS (SELECT lf.grp, row_key, lf.feature, count(edge) AS bin FROM lf LEFT JOIN en ON en.grp = lf.grp AND en.feature = lf.feature AND edge < x GROUP BY ALL),
+  g0 AS (SELECT grp, row_key, y - avg(y) OVER (PARTITION BY grp) AS g FROM tr)"""
+    out = []
+    for t in range(TREES):
+        sql += f", n{t}_0 AS (SELECT grp, row_key, 0 AS node FROM tr)"
+        for v in range(LEVELS):
+            sql += f""", h{t}_{v} AS (SELECT grp, node, feature, bin, sum(g) AS s, count(*) AS n FROM n{t}_{v} JOIN g{t} USING (grp, row_key) JOIN b USING (grp, row_key) GROUP BY ALL),
+  c{t}_{v} AS (SELECT *, sum(s) OVER ({k}, feature ORDER BY bin) AS sl, sum(n) OVER ({k}, feature ORDER BY bin) AS nl, sum(s) OVER ({k}, feature) AS ss, sum(n) OVER ({k}, feature) AS nn FROM h{t}_{v}),
+  k{t}_{v} AS (SELECT grp, node, feature, bin AS cut, sl * sl / nl + (ss - sl) * (ss - sl) / (nn - nl) - ss * ss / nn AS gain FROM c{t}_{v} WHERE nl >= {LEAF} AND nn - nl >= {LEAF}
+    QUALIFY gain > 1e-10 AND row_number() OVER ({k} ORDER BY gain DESC, feature, bin) = 1),
+  n{t}_{v + 1} AS (SELECT grp, row_key, 2 * node + 1 + CAST(bin > cut AS INTEGER) AS node FROM n{t}_{v} JOIN k{t}_{v} USING (grp, node) JOIN b USING (grp, row_key, feature))"""
+        every = " UNION ALL ".join(f"SELECT * FROM n{t}_{v}" for v in range(LEVELS + 1))
+        cuts = " UNION ALL ".join(f"SELECT * FROM k{t}_{v}" for v in range(LEVELS))
+        sql += f""", z{t} AS ({every}), k{t} AS ({cuts}), v{t} AS (SELECT grp, node, count(*) AS n, {STEP} * avg(g) AS value FROM z{t} JOIN g{t} USING (grp, row_key) GROUP BY ALL),
+  g{t + 1} AS (SELECT grp, row_key, g - value AS g FROM (SELECT grp, row_key, max(node) AS node FROM z{t} GROUP BY ALL) JOIN v{t} USING (grp, node) JOIN g{t} USING (grp, row_key))"""
+        out.append(f"""SELECT grp, {t} AS tree, node, k{t}.feature, {rd('edge', 9)} AS threshold, {rd('gain', 5)} AS gain, n, {rd('value', 8)} AS value
+  FROM v{t} LEFT JOIN k{t} USING (grp, node) LEFT JOIN en ON en.grp = v{t}.grp AND en.feature = k{t}.feature AND e = cut + 1""")
+    return f"WITH {sql} {' UNION ALL '.join(out)}"
+
+
+@query("L2_boosted_trees", _boosting_sql())
+def l2b(spark, d):
+    """Every node of the first boosted trees of two models that are fitted together."""
+    s = roles.scores(spark, d).where("row_key % 10 < 6").selectExpr("row_key % 2 AS grp", "array(pred_a, pred_b) AS x", "y", "row_key % 10 = 5 AS held")
+    m = boosting.fit(s, ["grp"], "x", "y", "held", rounds=TREES, depth=LEVELS, step=STEP, bins=BINS, leaf=LEAF)
+    return m.table(spark).select("grp", "tree", "node", "feature", r("threshold", "threshold", 9), r("gain", "gain", 5), "n", r("value", "value", 8))
+
+
 def _vector_rows(spark, d):
     """cell_id, split, y and the vector arms: z, m, and the controls C1 to C5."""
     e = emb_rows(spark, d).select("*", *V.magnitude("emb"))
@@ -241,14 +280,14 @@ VECTOR_ARMS = {"z": ["z"], "m": ["m"], "zm": ["z", "m"], "C1": ["C1"], "C2": ["C
 
 @query("L3_sweep_select_freeze_test")
 def l3(spark, d):
-    """Vector arms, three families, three seeds; trees smaller than the functions' defaults."""
-    rows = _vector_rows(spark, d).withColumn("held", F.col("cell_id") % 10 == 5)
+    """All vector arms, three families, three seeds; trees smaller than the functions' defaults."""
+    rows = _vector_rows(spark, d)
     fams = {
         "ridge": lambda t, f, y, seed: L.fit_linear(t, f, y, alpha=1.0),
         "forest": lambda t, f, y, seed: L.fit_forest(t, f, y, seed, trees=10, depth=5),
     }
-    arms = {a: VECTOR_ARMS[a] for a in ("z", "m", "zm")}
-    s = durable(E.sweep(rows, arms, fams, [0, 1, 2], "cell_id", "y"))
+    boosted = E.sweep_boosted(rows, VECTOR_ARMS, [0, 1, 2], "cell_id", "y", rounds=6, depth=4, step=0.3)
+    s = durable(E.sweep(rows, VECTOR_ARMS, fams, [0, 1, 2], "cell_id", "y").unionByName(boosted))
     frozen = E.freeze(E.validation_table(s.where("split = 'val'")))
     t = E.test_table(frozen, s)
     return t.select("arm", "family", *[r(c, c, 3) for c in ("r2_mean", "r2_sd", "spearman_mean", "spearman_sd")], "n_seeds")
