@@ -30,6 +30,8 @@ SWEEPS = 6
 ROUNDS, EXCHANGES = 2, 2
 #: Neighbour counts scored at once in a task.
 ENTRIES = 1 << 13
+#: Neighbours that a task holds before it sends them on, and bits of a count beside its code.
+HELD, COUNT_BITS = 1 << 21, 48
 #: Added to each count of a word; pseudo-counts of the class distribution in a transition.
 ADD, PRIOR = 0.1, 5.0
 #: Classes by form: length (4) x ends in punctuation x holds a digit x holds bytes beyond ASCII x holds other signs.
@@ -215,54 +217,92 @@ def _before(c: np.ndarray, owner: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
+def _summed(word, form, code, n, m: int):
+    """(word, form, code, n) with each word and code once, ordered by both."""
+    unique, first, inverse = np.unique(word, return_index=True, return_inverse=True)
+    pair, back = np.unique(inverse * (2 * m) + code, return_inverse=True)
+    at = pair // (2 * m)
+    return unique[at], form[first][at], pair % (2 * m), np.bincount(back, weights=n, minlength=len(pair)).astype(np.int64)
+
+
+def _packed(word, form, code, n):
+    """Arrow rows ``word, form, near`` of summed neighbours."""
+    import pyarrow as pa
+
+    cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+    ends = (np.append(cut, len(word)) * 8).astype(np.int32)
+    near = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends), pa.py_buffer((code << COUNT_BITS | n).astype("<i8"))])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(word[cut].view(np.int64)), pa.array(form[cut].astype(np.int32)), near], names=["word", "form", "near"]
+    )
+
+
+def unpacked(near):
+    """Offsets of each row's neighbours, their codes and counts, from an Arrow column ``near``."""
+    _, ends, data = near.buffers()
+    if not len(near):
+        return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.frombuffer(ends, dtype=np.int32)[near.offset : near.offset + len(near) + 1].astype(np.int64)
+    flat = np.frombuffer(data, dtype="<i8", offset=int(ends[0]), count=int(ends[-1] - ends[0]) // 8)
+    return (ends - ends[0]) // 8, flat >> COUNT_BITS, flat & ((1 << COUNT_BITS) - 1)
+
+
 def _neighbours(keys: np.ndarray, history: np.ndarray, classes: int):
     """Arrow task: how often each word has each class on its left (codes 0 to m - 1) and on its right (m on)."""
     m = classes + FORMS + 1
 
-    def combined(parts):
-        word = np.concatenate([p[0] for p in parts])
-        unique, first, inverse = np.unique(word, return_index=True, return_inverse=True)
-        pair, back = np.unique(inverse * (2 * m) + np.concatenate([p[2] for p in parts]), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate([p[3] for p in parts]), minlength=len(pair)).astype(np.int64)
-        form = np.concatenate([p[1] for p in parts])[first]
-        at = pair // (2 * m)
-        return unique[at], form[at], pair % (2 * m), total
-
     def run(batches):
-        import pyarrow as pa
-
-        def emit(parts):
-            word, form, code, n = combined(parts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(word.view(np.int64)), pa.array(form.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(n)],
-                names=["word", "form", "code", "n"],
-            )
-
         find, held = Lookup(keys), []
         for batch in batches:
             for _, _, word, owner, form in tokens(batch["text"]):
                 at = find(word)
                 c = np.where(at >= 0, history[np.maximum(at, 0)] if len(keys) else 0, classes + form)
                 inner = owner[1:] == owner[:-1]
-                one = np.ones(len(word) + int(inner.sum()), dtype=np.int64)
-                held.append(combined([(
-                    np.concatenate([word, word[:-1][inner]]), np.concatenate([form, form[:-1][inner]]),
-                    np.concatenate([_before(c, owner, m - 1), m + c[1:][inner]]), one,
-                )]))
-                if sum(len(h[0]) for h in held) > SLICE_BYTES:
-                    yield emit(held)
-                    held = []
+                unique, first, which = np.unique(word, return_index=True, return_inverse=True)
+                pair, n = np.unique(
+                    np.concatenate([which * (2 * m) + _before(c, owner, m - 1), which[:-1][inner] * (2 * m) + m + c[1:][inner]]), return_counts=True
+                )
+                row = pair // (2 * m)
+                held.append((unique[row], form[first][row], pair % (2 * m), n))
+                if sum(len(h[0]) for h in held) > HELD:
+                    held = [_summed(*map(np.concatenate, zip(*held)), m)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield _packed(*held[0])
+                        held = []
         if held:
-            yield emit(held)
+            yield _packed(*_summed(*map(np.concatenate, zip(*held)), m))
+
+    return run
+
+
+def _merged(m: int):
+    """Arrow task over rows ordered by word: one row for each word.  Holds a batch and the sums of one word."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            cut, code, n = unpacked(batch["near"])
+            size = np.diff(cut)
+            parts = np.repeat(batch["word"].to_numpy(), size), np.repeat(batch["form"].to_numpy(), size), code, n
+            if held is not None:
+                parts = tuple(map(np.concatenate, zip(held, parts)))
+            word, form, code, n = _summed(*parts, m)
+            last = word == parts[0][-1] if len(word) else np.zeros(0, bool)
+            yield _packed(*(x[~last] for x in (word, form, code, n)))
+            held = word[last], form[last], code[last], n[last]
+        if held is not None:
+            yield _packed(*held)
 
     return run
 
 
 def neighbours(train: DataFrame, keys: np.ndarray, history: np.ndarray, classes: int) -> DataFrame:
-    """``word, form, near``: every training word's neighbours as (code, n), at most two for each class, ordered by code."""
-    parts = train.select("text").mapInArrow(_neighbours(keys, history, classes), "word bigint, form int, code int, n bigint")
-    summed = parts.groupBy("word", "code").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
-    return summed.groupBy("word").agg(F.min("form").alias("form"), F.sort_array(F.collect_list(F.struct("code", "n"))).alias("near"))
+    """``word, form, near``: every training word's neighbours, at most two for each class, as 8-byte integers
+    ``code * 2**COUNT_BITS + n`` ordered by code.  A task sends at most one row of a word for each ``HELD`` neighbours that
+    it has counted; what meets then is added up along the order of the words, so no list of rows is ever held."""
+    row = "word bigint, form int, near binary"
+    parts = train.select("text").mapInArrow(_neighbours(keys, history, classes), row)
+    return parts.repartition("word").sortWithinPartitions("word").mapInArrow(_merged(classes + FORMS + 1), row)
 
 
 def place(old: np.ndarray, cut: np.ndarray, code: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -282,7 +322,7 @@ def place(old: np.ndarray, cut: np.ndarray, code: np.ndarray, n: np.ndarray, cou
     size = np.diff(cut)
     once = np.flatnonzero((size == 2) & (np.add.reduceat(n, cut[:-1]) == 2))
     name = np.arange(len(old)) + 4 * m * m
-    name[once] = code[cut[once]].astype(np.int64) * (2 * m) + code[cut[once] + 1]
+    name[once] = code[cut[once]] * (2 * m) + code[cut[once] + 1]
     _, first, same = np.unique(name, return_index=True, return_inverse=True)
     upto = np.concatenate([[0], np.cumsum(size[first])])
     rows = np.repeat(cut[first] - upto[:-1], size[first]) + np.arange(upto[-1])
@@ -310,10 +350,7 @@ def _exchanged(m: int, passes: list[np.ndarray], summed: bool):
 
         total = {}
         for batch in batches:
-            near = batch["near"]
-            cut = near.offsets.to_numpy().astype(np.int64)
-            flat = near.flatten()
-            cut, code, n = cut - cut[0], flat.field("code").to_numpy(), flat.field("n").to_numpy()
+            cut, code, n = unpacked(batch["near"])
             cls = batch["cls"].to_numpy().astype(np.int64)
             for counts in passes:
                 cls = place(cls, cut, code, n, counts)
