@@ -32,6 +32,8 @@ ROUNDS, EXCHANGES = 2, 2
 ENTRIES = 1 << 13
 #: Neighbours that a task holds before it sends them on, and bits of a count beside its code.
 HELD, COUNT_BITS = 1 << 21, 48
+#: Columns of the exchanged words and of their sums.
+EXCHANGED = ["word", "form", "n", "cls", "code"]
 #: Added to each count of a word; pseudo-counts of the class distribution in a transition.
 ADD, PRIOR = 0.1, 5.0
 #: Classes by form: length (4) x ends in punctuation x holds a digit x holds bytes beyond ASCII x holds other signs.
@@ -342,32 +344,34 @@ def likelihood(counts: np.ndarray) -> float:
     return float(_xlogx(counts).sum() - _xlogx(counts[:, :m].sum(axis=1)).sum() - _xlogx(counts[:, m:].sum(axis=1)).sum())
 
 
-def _exchanged(m: int, passes: list[np.ndarray], summed: bool):
-    """Arrow task: classes after the given passes, each against its own class counts; as rows of words, or summed."""
+def _exchanged(m: int, passes: list[np.ndarray], words: bool, summed: bool):
+    """Arrow task: classes after the given passes, each against its own class counts; as rows of words (no code), as the
+    task's sums of each class and code (no word), or both."""
 
     def run(batches):
         import pyarrow as pa
 
-        total = {}
+        total = np.zeros((m - 1) * 2 * m)
         for batch in batches:
             cut, code, n = unpacked(batch["near"])
             cls = batch["cls"].to_numpy().astype(np.int64)
             for counts in passes:
                 cls = place(cls, cut, code, n, counts)
-            if not summed:
+            if words:
                 tokens_of = np.add.reduceat(np.where(code < m, n, 0), cut[:-1]) if len(cls) else n
                 yield pa.RecordBatch.from_arrays(
-                    [batch["word"], batch["form"], pa.array(tokens_of), pa.array(cls.astype(np.int32))], names=["word", "form", "n", "cls"]
+                    [batch["word"], batch["form"], pa.array(tokens_of), pa.array(cls.astype(np.int32)), pa.nulls(len(cls), pa.int32())], names=EXCHANGED
                 )
-                continue
-            pair, back = np.unique(np.repeat(cls, np.diff(cut)) << 32 | code, return_inverse=True)
-            for key, k in zip(pair.tolist(), np.bincount(back, weights=n).astype(np.int64).tolist() if len(pair) else ()):
-                total[key] = total.get(key, 0) + k
+            if summed:
+                total += np.bincount(np.repeat(cls, np.diff(cut)) * (2 * m) + code, weights=n, minlength=len(total))
         if summed:
-            keys = np.array(list(total), dtype=np.int64)
+            at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(np.array(list(total.values()), dtype=np.int64))],
-                names=["cls", "code", "n"],
+                [
+                    pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), pa.array(total[at].astype(np.int64)),
+                    pa.array((at // (2 * m)).astype(np.int32)), pa.array((at % (2 * m)).astype(np.int32)),
+                ],
+                names=EXCHANGED,
             )
 
     return run
@@ -375,12 +379,13 @@ def _exchanged(m: int, passes: list[np.ndarray], summed: bool):
 
 def exchange_all(near: DataFrame, classes: int, exchanges: int = EXCHANGES):
     """``word, form, n, cls`` after ``exchanges`` passes over every word of ``near`` (with ``cls``), and a function that gives
-    the class counts then.  A task repeats the passes from the broadcast class counts, so nothing but the final table is
-    written."""
+    the class counts then.  A task repeats the passes from the broadcast class counts, so nothing but the final table and its
+    sums for each task are written."""
     m = classes + FORMS + 1
+    kinds = ("bigint", "int", "bigint", "int", "int")
+    row = ", ".join(f"{c} {k}" for c, k in zip(EXCHANGED, kinds))
 
-    def sums(passes):
-        rows = near.mapInArrow(_exchanged(m, passes, True), "cls int, code int, n bigint")
+    def counts_of(rows):
         t = rows.groupBy("cls", "code").agg(F.sum("n").alias("n")).toArrow()  # at most classes x 2 m rows
         out = np.zeros((m - 1, 2 * m))
         out[t["cls"].to_numpy(), t["code"].to_numpy()] = t["n"].to_numpy()
@@ -388,9 +393,9 @@ def exchange_all(near: DataFrame, classes: int, exchanges: int = EXCHANGES):
 
     passes = []
     for _ in range(exchanges):
-        passes.append(sums(passes))
-    words = near.mapInArrow(_exchanged(m, passes, False), "word bigint, form int, n bigint, cls int")
-    return durable(words), lambda: sums(passes)
+        passes.append(counts_of(near.mapInArrow(_exchanged(m, passes, False, True), row)))
+    both = durable(near.mapInArrow(_exchanged(m, passes, True, True), row))
+    return both.where("word IS NOT NULL").drop("code"), lambda: counts_of(both.where("word IS NULL"))
 
 
 def _most_frequent(words: DataFrame, n: int, *columns: str):
@@ -401,6 +406,13 @@ def _most_frequent(words: DataFrame, n: int, *columns: str):
     return keys[order], *[t[c].to_numpy().astype(np.int64)[order] for c in columns]
 
 
+def _table(spark, **columns: np.ndarray) -> DataFrame:
+    """A bounded table of numbers as a local one, which needs no job."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({name: pa.array(x) for name, x in columns.items()}))
+
+
 class Model:
     """``words`` (word, form, n, cls) of every training word; ``keys``, ``history``: the classes that tokens are predicted from;
     ``step[h, c]``, ``size[c]``, ``kinds[c]``: transitions, tokens and distinct words of the classes; ``home[form]``: the class of
@@ -420,7 +432,7 @@ class Model:
         begun = exchange(bigrams, len(keys), classes, fixed)[: len(keys)]
 
         spark = train.sparkSession
-        started = spark.createDataFrame(list(zip(keys.view(np.int64).tolist(), begun.tolist())), "word bigint, cls int")
+        started = _table(spark, word=keys.view(np.int64), cls=begun.astype(np.int32))
         self.keys, self.history = keys, begun
         for r in range(rounds):
             if r:
@@ -511,7 +523,7 @@ def scores(
     part = durable(numbered.mapInArrow(local, schema))  # stored, so a row keeps its number
     gain = model.log_step - model.log_class
     h, c = np.indices(gain.shape)  # (classes + forms) squared rows
-    gains = docs.sparkSession.createDataFrame(list(zip(h.ravel().tolist(), c.ravel().tolist(), gain.ravel().tolist())), "before int, cls int, gain double")
+    gains = _table(docs.sparkSession, before=h.ravel().astype(np.int32), cls=c.ravel().astype(np.int32), gain=gain.ravel())
     rare = part.select("row", F.inline("rest"))
     met = rare.join(model.words.select("word", "n", "cls"), "word", "left").withColumn("cls", F.coalesce("cls", "home"))
     met = met.join(F.broadcast(gains), ["before", "cls"])

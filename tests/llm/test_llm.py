@@ -361,6 +361,33 @@ def test_exchange_raises_likelihood():
     assert all(len(set(c[group == g])) == 1 for g in range(3))
 
 
+@pytest.mark.parametrize("held", [1 << 21, 50])
+def test_neighbours_are_counted_whole(spark, monkeypatch, held):
+    """Each word's classes on either side against plain counts, however often a task sends what it holds."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(brown, "HELD", held)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 40) % 30) for _ in range(60)] + ["", None, "one"]
+    stream = list(brown.tokens(pa.array(texts)))
+    word, owner, form = (np.concatenate([x[i] for x in stream]) for i in (2, 3, 4))
+    keys, classes = np.unique(word)[:6], 3
+    m, history = classes + brown.FORMS + 1, np.arange(6) % classes
+    cls = [int(history[np.searchsorted(keys, w)]) if w in keys else classes + int(f) for w, f in zip(word, form)]
+    want = collections.Counter()
+    for i, w in enumerate(word.view(np.int64).tolist()):
+        want[w, m - 1 if i == 0 or owner[i - 1] != owner[i] else cls[i - 1]] += 1
+        if i + 1 < len(word) and owner[i + 1] == owner[i]:
+            want[w, m + cls[i + 1]] += 1
+    docs = spark.createDataFrame([(x,) for x in texts], "text string").repartition(3)
+    got = {}
+    for x in brown.neighbours(docs, keys, history, classes).collect():
+        _, code, n = brown.unpacked(pa.array([bytes(x.near)]))
+        assert not any((x.word, c) in got for c in code.tolist())
+        got |= {(x.word, c): k for c, k in zip(code.tolist(), n.tolist())}
+    assert got == dict(want)
+
+
 def test_place_takes_the_likeliest_class_and_raises_the_likelihood(monkeypatch):
     monkeypatch.setattr(brown, "ENTRIES", 50)
     rng = np.random.default_rng(4)
